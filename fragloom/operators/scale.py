@@ -89,3 +89,11 @@ def merge_ranges(df: DataFrame, keys: list[str], start: str, end: str, width: in
             open_rows = merged.where(border).select(*keys, "_s", "_e")
         done = final if done is None else done.unionByName(final)
     return done.select(*keys, F.col("_s").alias(start), F.col("_e").alias(end))
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write an intermediate once to the shared checkpoint folder when several joins read it."""
+    from fragloom.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
