@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fragloom.functions import blob
-from fragloom.operators.scale import hash_bucket, merge_ranges, running_rank, running_total
+from fragloom.operators.scale import hash_bucket, merge_ranges, running_rank, running_total, with_previous
 
 ID_PATTERN = r"^FRG-([0-9a-f]{16})-(0|[1-9][0-9]*)-(0|[1-9][0-9]*)$"
 SEGMENT = 1 << 20
@@ -123,25 +123,10 @@ def duplicate_ids(df: DataFrame, key: str) -> DataFrame:
 
 
 def overlap_check(ranges: DataFrame, keys: list[str], start: str, end: str, id_col: str, bucket: Column) -> DataFrame:
-    """Ranges that begin before their predecessor in (start, end, id) order has ended.
-
-    The predecessor of a bucket's first row is the last row of the nearest earlier bucket, which comes
-    from a per-bucket summary instead of a whole-key window.
-    """
-    tagged = ranges.select(*keys, start, end, id_col).withColumn("_b", bucket)
-    order = [F.col(start), F.col(end), F.col(id_col)]
-    inner = Window.partitionBy(*keys, "_b").orderBy(*order)
-    edge = (
-        tagged.groupBy(*keys, "_b")
-        .agg(F.max(F.struct(start, end, id_col)).alias("_last"))
-        .withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_b")))
-        .select(*keys, "_b", "_carry")
-    )
-    prev = F.coalesce(F.col("_prev"), F.col("_carry"))
+    """Ranges that begin before their predecessor in (start, end, id) order has ended."""
+    slim = ranges.select(*keys, start, end, id_col)
     return (
-        tagged.withColumn("_prev", F.lag(F.struct(start, end, id_col)).over(inner))
-        .join(edge, [*keys, "_b"])
-        .withColumn("_p", prev)
+        with_previous(slim, keys, [start, end, id_col], bucket, "_p")
         .where(F.col(f"_p.{end}") > F.col(start))
         .select(
             *keys,

@@ -46,6 +46,25 @@ def running_rank(df: DataFrame, keys: list[str], order: list[Column], bucket: Co
     return running_total(df, keys, order, bucket, F.lit(1).cast("long"), out, levels)
 
 
+def with_previous(df: DataFrame, keys: list[str], order: list[str], bucket: Column, out: str) -> DataFrame:
+    """Adds the ``order`` columns of the preceding row of the key as a struct (null for the first).
+
+    A bucket's first row takes the last row of the nearest earlier bucket from one summary row per bucket.
+    """
+    tagged = df.withColumn("_b", bucket)
+    row = F.struct(*order)
+    edge = (
+        tagged.groupBy(*keys, "_b").agg(F.max(row).alias("_last"))
+        .withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_b")))
+        .select(*keys, "_b", "_carry")
+    )
+    inner = Window.partitionBy(*keys, "_b").orderBy(*order)
+    return (
+        tagged.withColumn("_prev", F.lag(row).over(inner)).join(edge, [*keys, "_b"])
+        .withColumn(out, F.coalesce("_prev", "_carry")).drop("_b", "_prev", "_carry")
+    )
+
+
 def hash_bucket(sha_hex: Column) -> Column:
     """4096 even buckets that follow the order of a hex digest."""
     return F.conv(F.substring(sha_hex, 1, 3), 16, 10).cast("long")

@@ -1,4 +1,4 @@
 """Imports every query module so that the registry is complete."""
 
-from fragloom.plans import dataset_queries, fragment_queries, link_queries, token_queries  # noqa: F401
+from fragloom.plans import dataset_queries, fragment_queries, link_queries, recovery_queries, token_queries  # noqa: F401
 from fragloom.plans.registry import ORACLES, QUERIES  # noqa: F401
