@@ -255,7 +255,7 @@ def region_rows(t):
 o AS (SELECT b.media_id, b.start, b."end", r.label, r.entity_id, least(b."end", r."end") - greatest(b.start, r.start) AS ov, row_number() OVER (PARTITION BY b.media_id, b.start ORDER BY (r.label = 'PDF_HEADER') DESC, least(b."end", r."end") - greatest(b.start, r.start) DESC, r.start, r."end") AS n
   FROM b LEFT JOIN regions r ON r.media_id = b.media_id AND r.start < b."end" AND r."end" > b.start)
 SELECT media_id, start, CASE WHEN ok THEN label ELSE 'UNKNOWN' END AS label, ok AS is_exact, CASE WHEN ok THEN entity_id ELSE 'no_overlap' END AS entity_id
-FROM (SELECT *, coalesce(label = 'PDF_HEADER' OR ov >= ("end" - start) * 0.25 OR ov >= 32, false) AS ok FROM o WHERE n = 1)""")
+FROM (SELECT *, label IS NOT NULL AND (label = 'PDF_HEADER' OR ov >= ("end" - start) * 0.25 OR ov >= 32) AS ok FROM o WHERE n = 1)""")
 def dominant_label(t):
     blocks = fr.carve_blocks(v.pdf_media(t)).select("media_id", "start", "end", F.col("start").alias("block_start"))
     return rc.dominant_label(blocks, materialize(regions(t)), "block_start").withColumnRenamed("block_start", "start")
