@@ -81,3 +81,208 @@ def apply(media: DataFrame, kind: str, offset: Column, length: Column | None = N
         F.lit(reversible).alias("reversible"),
     )
     return df.withColumn("operation", operation).withColumn("content", damaged).drop("_n", "_s", "_e", "_p")
+
+
+# ---- damage at a pattern -----------------------------------------------------------------------------
+
+_WS = r"[ \t\r\n\f\x0B]"
+_ANY = r"[\s\S]*?"
+_OBJ = "[0-9]+" + _WS + "+0" + _WS + "+obj"
+_STREAM = "(stream[\\r\\n]+)(" + _ANY + ")(?=[\\r\\n]*endstream)"
+# Name -> (pattern with groups (before)(target), action, argument, severity, recoverable).
+# The target is replaced by a text, removed, kept to a share, zeroed or overwritten with keyed noise.
+PATTERNS = {
+    "damage_xref": (r"\A([\s\S]*)(xref)", "replace", "x_ef", 0.60, True),
+    "damage_startxref": (r"\A([\s\S]*)(startxref)", "replace", "start_ref", 0.70, True),
+    "damage_trailer": (r"\A([\s\S]*)(trailer)", "replace", "tra_ler", 0.70, True),
+    "damage_object_offsets": (r"\A([\s\S]*xref" + _ANY + ")([0-9]{10})(?=" + _WS + "+[0-9]{5}" + _WS + "+[fn])", "replace", "9999999999", 0.55, True),
+    "damage_length": ("(/Length" + _WS + "+)([0-9]+)", "replace", "99999", 0.45, True),
+    "truncate_stream": (_STREAM, "keep", 0.5, 0.50, False),
+    "remove_stream_prefix": (_STREAM, "drop_head", 16, 0.55, False),
+    "remove_stream_suffix": ("()(endstream)", "remove", None, 0.50, True),
+    "corrupt_stream_bytes": (_STREAM, "noise", 0.30, 0.60, False),
+    "damage_stream_payload": (_STREAM, "zero", 0.40, 0.55, False),
+    "remove_text_operators": (r"()(\([^)\r\n]*\)" + _WS + r"*Tj|\[[^\]\r\n]*\]" + _WS + "*TJ)", "remove", None, 0.50, False),
+    "truncate_text_streams": ("(BT(?![A-Za-z0-9_]))(" + _ANY + ")(?=(?<![A-Za-z0-9_])ET)", "keep", 0.5, 0.60, False),
+    "remove_image_object": ("((?:\\A|" + _WS + "))(" + _OBJ + _ANY + "/Subtype" + _WS + "*/Image" + _ANY + "endobj)", "remove", None, 0.70, False),
+    "truncate_image_stream": ("(/Subtype" + _WS + "*/Image" + _ANY + "stream[\\r\\n]+)(" + _ANY + ")(?=[\\r\\n]*endstream)", "keep", 0.3, 0.70, False),
+    "remove_image_references": ("()(/[A-Za-z0-9_-]+" + _WS + "+Do(?![A-Za-z0-9_]))", "remove", None, 0.40, False),
+    "remove_font_object": ("((?:\\A|" + _WS + "))(" + _OBJ + _ANY + "/Type" + _WS + "*/Font" + _ANY + "endobj)", "remove", None, 0.60, False),
+    "damage_font_references": ("(/BaseFont" + _WS + "*/)([A-Za-z0-9_-]+)", "replace", "DamagedFontMissing", 0.45, True),
+    "remove_tounicode": ("()(/ToUnicode" + _WS + "+[0-9]+" + _WS + "+0" + _WS + "+R)", "remove", None, 0.50, False),
+    "remove_page_object": ("((?:\\A|" + _WS + "))(" + _OBJ + _ANY + "/Type" + _WS + "*/Page(?![A-Za-z0-9_])" + _ANY + "endobj)", "remove", None, 0.75, False),
+    "damage_page_tree": ("(/Kids" + _WS + r"*\[)([^\]]+)(?=\])", "replace", " ", 0.80, True),
+    "remove_content_ref": ("()(/Contents" + _WS + "+(?:[0-9]+" + _WS + "+0" + _WS + r"+R|\[[^\]]+\]))", "remove", None, 0.65, True),
+}
+
+
+def object_pattern(action: str, number: Column | int):
+    """Pattern row for one numbered object: remove_indirect_object, truncate_indirect_object or damage_object_boundaries."""
+    n = str(number)
+    body = "((?:\\A|" + _WS + "))(" + n + _WS + "+0" + _WS + "+obj" + _ANY + "endobj)"
+    return {
+        "remove_indirect_object": (body, "remove", None, 0.65, False),
+        "truncate_indirect_object": (body, "keep", 0.5, 0.50, False),
+        "damage_object_boundaries": ("(" + n + _WS + "+0" + _WS + "+)(obj)", "replace", "obX", 0.40, True),
+    }[action]
+
+
+def damage_pattern(media: DataFrame, name: str, rule: tuple | None = None, seed: Column | None = None) -> DataFrame:
+    """Damage the first match of a pattern (patterns anchored at the start of the text take the last one).
+
+    Rows without a match stay as they are, with a null ``operation``.
+    """
+    pattern, action, arg, severity, recoverable = rule or PATTERNS[name]
+    d = media.withColumn("_t", F.decode("content", "ISO-8859-1"))
+    # without an image no object start can match, and trying each of them would be quadratic
+    possible = F.contains("_t", F.lit("/Image")) if "/Image" in pattern else F.lit(True)
+    d = d.withColumn("_at", F.when(possible, F.regexp_instr("_t", F.lit(pattern))).otherwise(0))
+    group = lambda i: F.when(F.col("_at") > 0, F.regexp_extract("_t", pattern, i)).otherwise("")
+    d = d.withColumn("_s", (F.col("_at") - 1 + F.length(group(1))).cast("long")).withColumn("_n", F.length(group(2)).cast("long"))
+    s, n, content = F.col("_s"), F.col("_n"), F.col("content")
+    zero = F.lit(0).cast("long")
+    if action == "replace":
+        from_, to_, new = s, s + n, F.encode(F.lit(arg), "ISO-8859-1")
+    elif action == "remove":
+        from_, to_, new = s, s + n, F.unhex(F.lit(""))
+    elif action == "keep":
+        kept = F.least(n, F.greatest(F.lit(2).cast("long"), F.floor(n * arg)))
+        from_, to_, new = s + kept, s + n, F.unhex(F.lit(""))
+    elif action == "drop_head":
+        from_, to_, new = s, s + F.least(n, F.lit(arg).cast("long")), F.unhex(F.lit(""))
+    else:
+        size = F.least(n, F.greatest(F.lit(2 if action == "noise" else 4).cast("long"), F.floor(n * arg)))
+        from_ = s + F.floor((n - size) / 2)
+        to_ = from_ + size
+        new = keyed_noise(size, seed if seed is not None else F.col("media_id")) if action == "noise" else F.unhex(F.repeat(F.lit("00"), size.cast("int")))
+        new = F.when(size > 0, new).otherwise(F.unhex(F.lit("")))
+    hit = F.col("_at") > 0
+    damaged = F.concat(cut(content, zero, from_), new, cut(content, to_, F.length(content).cast("long")))
+    operation = F.when(
+        hit,
+        F.struct(
+            F.lit(name.upper()).alias("type"), from_.alias("offset_start"), to_.alias("offset_end"), (to_ - from_).alias("original_length"),
+            F.length(new).cast("long").alias("corrupted_length"), F.lit(severity).alias("severity"),
+            F.lit(SAVED if recoverable else LOST).alias("recoverability"), F.lit(recoverable).alias("reversible"),
+        ),
+    )
+    return d.withColumn("operation", operation).withColumn("content", F.when(hit, damaged).otherwise(content)).drop("_t", "_at", "_s", "_n")
+
+
+# ---- named recipes -----------------------------------------------------------------------------------
+
+# Recipe -> expected minimum share of authentic bytes.
+RECIPES = {
+    "mangled_header": 0.80, "destroyed_xref_trailer": 0.85, "unterminated_objects": 0.90, "mutated_stream_lengths": 0.95,
+    "mutilated_flate_header": 0.75, "null_byte_sectors": 0.70, "arbitrary_truncation": 0.60, "online_scramble": 0.75, "orphan_pages": 0.85,
+}
+PREAMBLE = "<html><head><title>500 Internal Error</title></head><body>"
+
+
+def damage_recipe(media: DataFrame, recipe: str) -> DataFrame:
+    """One of nine real-world damage recipes on every row; adds the expected authentic share."""
+    t = F.col("_t")
+    n = F.length(t)
+    rstrip = lambda c: F.regexp_replace(c, _WS + r"+\z", "")
+    edge = "(?![A-Za-z0-9_])"
+    d = media.withColumn("_t", F.decode("content", "ISO-8859-1"))
+    if recipe == "mangled_header":
+        at = F.regexp_instr(t, F.lit(r"%PDF-[0-9]+\.[0-9]+"))
+        size = F.length(F.regexp_extract(t, r"(%PDF-[0-9]+\.[0-9]+)", 1))
+        swapped = F.concat(F.substring(t, F.lit(1), at - 1), F.lit("XPDF-CORRUPT"), F.substring(t, at + size, n))
+        out = F.concat(F.lit(PREAMBLE), F.when(at > 0, swapped).otherwise(t))
+    elif recipe == "destroyed_xref_trailer":
+        at = F.regexp_instr(t, F.lit(r"(?:\r?\n|\A)xref" + edge))
+        last = F.length(F.regexp_extract(t, r"\A([\s\S]*)trailer", 1))
+        out = (
+            F.when(at > 0, rstrip(F.substring(t, F.lit(1), at - 1))).when(F.contains(t, F.lit("trailer")), rstrip(F.substring(t, F.lit(1), last)))
+            .otherwise(F.substring(t, F.lit(1), F.floor(n * 0.9).cast("int")))
+        )
+    elif recipe == "unterminated_objects":
+        # every second endobj: a pair of occurrences is rewritten at once
+        word = "(?<![A-Za-z0-9_])endobj" + edge
+        out = F.regexp_replace(t, "(" + word + "(?:(?!" + word + r")[\s\S])*+)" + word, "$1      ")
+    elif recipe == "mutated_stream_lengths":
+        out = F.regexp_replace(t, "/Length" + _WS + "+[0-9]+", "/Length 999999")
+    elif recipe == "mutilated_flate_header":
+        out = F.regexp_replace(t, "(stream[\\r\\n]+)x[\\s\\S](?=[\\s\\S])", "$1\x00\x00")
+    elif recipe == "null_byte_sectors":
+        at = (F.floor(F.floor(n * 2 / 5) / 512) * 512).cast("int")
+        size = F.least(F.lit(512), n - at)
+        hole = F.concat(F.substring(t, F.lit(1), at), F.repeat(F.lit("\x00"), size), F.substring(t, at + size + 1, n))
+        out = F.when(n < 1024, t).otherwise(hole)
+    elif recipe == "arbitrary_truncation":
+        out = F.substring(t, F.lit(1), F.greatest(F.lit(64), F.floor(n * 0.65)).cast("int"))
+    elif recipe == "online_scramble":
+        # about 2 % of the bytes between the first and last 32: a keyed digest picks one byte in every 50
+        pieces = F.transform(
+            F.sequence(F.lit(0), F.floor((F.greatest(n, F.lit(1)) - 1) / 50)),
+            lambda i: _scrambled(F.substring(t, (i * 50 + 1).cast("int"), F.lit(50)), F.sha2(F.concat_ws(":", F.col("media_id"), i.cast("string")), 256), i * 50, n),
+        )
+        out = F.array_join(pieces, "")
+    elif recipe == "orphan_pages":
+        out = F.regexp_replace(F.regexp_replace(t, "/Type" + _WS + "*/Catalog" + edge, "/Type /Cata_og"), "/Type" + _WS + "*/Pages" + edge, "/Type /Pag_s")
+    else:
+        raise KeyError(recipe)
+    return d.withColumn("content", F.encode(out, "ISO-8859-1")).withColumn("recipe", F.lit(recipe)).withColumn("expected_authentic", F.lit(RECIPES[recipe])).drop("_t")
+
+
+def _scrambled(piece: Column, digest: Column, base: Column, n: Column) -> Column:
+    at = F.conv(F.substring(digest, 1, 4), 16, 10).cast("int") % 50
+    byte = F.decode(F.unhex(F.substring(digest, 5, 2)), "ISO-8859-1")
+    ok = (at < F.length(piece)) & (base + at > 32) & (base + at < n - 32)
+    return F.when(ok, F.concat(F.substring(piece, F.lit(1), at), byte, F.substring(piece, at + 2, F.lit(50)))).otherwise(piece)
+
+
+# ---- severity levels -----------------------------------------------------------------------------------
+
+
+OPERATIONS = (
+    "array<struct<type:string,offset_start:bigint,offset_end:bigint,original_length:bigint,corrupted_length:bigint,"
+    "severity:double,recoverability:string,reversible:boolean>>"
+)
+
+
+def _collect(df: DataFrame) -> DataFrame:
+    done = F.when(F.col("operation").isNotNull(), F.array("operation").cast(OPERATIONS)).otherwise(F.array().cast(OPERATIONS))
+    return df.withColumn("operations", F.concat("operations", done)).drop("operation")
+
+
+def damage_by_severity(media: DataFrame, level: int, seed: int) -> DataFrame:
+    """Damage of one severity level; adds ``operations``, the manifest of what was done.
+
+    Level 1 picks one of three light operations per medium by sha256("seed:media"), level 2 hits a stream
+    payload and a length, 3 xref, trailer, stream and an object, 4 page tree, xref, a stream, two
+    objects and the last tenth.
+    """
+    d = media.withColumn("operations", F.array().cast(OPERATIONS)).withColumn("_seed", F.concat(F.lit(f"{seed}:"), F.col("media_id")))
+    pick = F.pmod(F.conv(F.substring(F.sha2("_seed", 256), 1, 6), 16, 10).cast("long"), F.lit(3))
+    steps = {2: ["damage_stream_payload", "damage_length"], 3: ["damage_xref", "damage_startxref", "truncate_stream"], 4: ["damage_page_tree", "damage_xref", "corrupt_stream_bytes"]}
+    if level == 0:
+        pass
+    elif level == 1:
+        offset = F.pmod(F.conv(F.substring(F.sha2("_seed", 256), 7, 8), 16, 10).cast("long"), F.greatest(F.lit(1), F.length("content") - 32))
+        tagged = d.withColumn("_pick", pick)
+        zero = _collect(apply(tagged.where("_pick = 0"), "zero", offset, F.lit(16)))
+        text = _collect(damage_pattern(tagged.where("_pick = 1"), "remove_text_operators"))
+        length = _collect(damage_pattern(tagged.where("_pick = 2"), "damage_length"))
+        d = zero.unionByName(text).unionByName(length).drop("_pick")
+    else:
+        for name in steps[level]:
+            d = _collect(damage_pattern(d, name, seed=F.col("_seed")))
+        for number in {3: [4], 4: [2, 3]}.get(level, []):
+            d = _collect(damage_pattern(d, "remove_indirect_object", object_pattern("remove_indirect_object", number)))
+        if level == 4:
+            d = _collect(apply(d, "truncate", F.floor(F.length("content") * 0.9)))
+    return d.drop("_seed").withColumn("severity_level", F.lit(level)).withColumn("seed", F.lit(seed))
+
+
+def controlled_variants(media: DataFrame, splits: DataFrame, base_seed: int = 1000) -> DataFrame:
+    """Four severities per document with seed base + 17 i; the split of the document is inherited."""
+    out = None
+    for i in range(1, 5):
+        d = damage_by_severity(media, i, base_seed + 17 * i)
+        d = d.withColumn("sample_id", F.format_string(f"%s_c{i:02d}_level_{i}", "media_id"))
+        out = d if out is None else out.unionByName(d)
+    preserved = (F.col("severity_level") <= 3) & (F.length("content") > 256)
+    return out.join(splits, "media_id").withColumn("damaged_sha256", F.sha2("content", 256)).withColumn("preserves_content", preserved)

@@ -347,3 +347,116 @@ def sample_findings(t):
         F.array(F.struct(F.lit(5).alias("offset_start"), F.when(k == 4, 1).otherwise(9).alias("offset_end"))).alias("operations"),
     )
     return ds.sample_findings(s.unionByName(s.where(k == 5)))
+
+
+# ---- damage at patterns and named recipes --------------------------------------------------------------
+
+_W = "[ \\t\\r\\n\\f]"
+PATTERN_SQL = {
+    "damage_xref": "regexp_replace(doc, '(?s)^(.*)xref', '\\1x_ef')",
+    "damage_startxref": "regexp_replace(doc, '(?s)^(.*)startxref', '\\1start_ref')",
+    "damage_length": f"regexp_replace(doc, '(/Length{_W}+)[0-9]+', '\\199999')",
+    "damage_page_tree": f"regexp_replace(doc, '(/Kids{_W}*\\[)[^\\]]+', '\\1 ')",
+    "damage_font_references": f"regexp_replace(doc, '(/BaseFont{_W}*/)[A-Za-z0-9_-]+', '\\1DamagedFontMissing')",
+    "remove_content_ref": f"regexp_replace(doc, '/Contents{_W}+[0-9]+{_W}+0{_W}+R', '')",
+    "remove_stream_suffix": "regexp_replace(doc, 'endstream', '')",
+    "remove_text_operators": f"regexp_replace(doc, '\\([^)\\r\\n]*\\){_W}*Tj', '')",
+    "remove_image_object": "doc",
+}
+
+
+@query("damage_pattern", f"WITH {v.PDF} " + " UNION ALL ".join(f"SELECT media_id, '{n}' AS pattern, sha256({e}) AS sha256 FROM pdf" for n, e in PATTERN_SQL.items()))
+def damage_pattern(t):
+    media = v.pdf_media(t)
+    out = None
+    for name in PATTERN_SQL:
+        d = damage.damage_pattern(media, name).select("media_id", F.lit(name).alias("pattern"), F.sha2("content", 256).alias("sha256"))
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+@query("damage_pattern_all")
+def damage_pattern_all(t):
+    media = v.pdf_media(t)
+    out = None
+    for name in damage.PATTERNS:
+        d = damage.damage_pattern(media, name).select("media_id", F.lit(name).alias("pattern"), "operation.type", "operation.offset_start", "operation.offset_end", F.length("content").alias("size"))
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+_AT = "(length(doc) * 2 // 5 // 512 * 512)"
+RECIPE_SQL = {
+    "mangled_header": f"'{damage.PREAMBLE}' || regexp_replace(doc, '%PDF-[0-9]+\\.[0-9]+', 'XPDF-CORRUPT')",
+    "destroyed_xref_trailer": "rtrim(doc[1:instr(doc, chr(10) || 'xref') - 1], chr(32) || chr(10) || chr(13) || chr(9))",
+    "mutated_stream_lengths": f"regexp_replace(doc, '/Length{_W}+[0-9]+', '/Length 999999', 'g')",
+    "null_byte_sectors": f"CASE WHEN length(doc) < 1024 THEN encode(doc) ELSE encode(doc[1:{_AT}]) || unhex(repeat('00', least(512, length(doc) - {_AT})::BIGINT)) || encode(doc[{_AT} + 513:]) END",
+    "arbitrary_truncation": "doc[1:greatest(64, floor(length(doc) * 0.65)::BIGINT)]",
+    "orphan_pages": f"regexp_replace(regexp_replace(doc, '/Type{_W}*/Catalog\\b', '/Type /Cata_og', 'g'), '/Type{_W}*/Pages\\b', '/Type /Pag_s', 'g')",
+}
+
+
+@query("damage_recipe", f"WITH {v.PDF} " + " UNION ALL ".join(f"SELECT media_id, '{n}' AS recipe, sha256({e}) AS sha256, {damage.RECIPES[n]}::DOUBLE AS expected_authentic FROM pdf" for n, e in RECIPE_SQL.items()))
+def damage_recipe(t):
+    return recipes(t, list(RECIPE_SQL))
+
+
+def recipes(t, names):
+    media = v.pdf_media(t)
+    out = None
+    for name in names:
+        d = damage.damage_recipe(media, name).select("media_id", "recipe", F.sha2("content", 256).alias("sha256"), "expected_authentic")
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+@query("damage_recipe_keyed")
+def damage_recipe_keyed(t):
+    """The recipes without a SQL twin: every second endobj, flate headers and keyed scrambling."""
+    return recipes(t, [n for n in damage.RECIPES if n not in RECIPE_SQL])
+
+
+@query("damage_by_severity")
+def damage_by_severity(t):
+    out = None
+    for level in range(5):
+        d = damage.damage_by_severity(v.pdf_media(t), level, 42).select(
+            "media_id", "severity_level", F.size("operations").alias("operations"), F.length("content").alias("size"), F.sha2("content", 256).alias("sha256")
+        )
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+@query("controlled_variants")
+def controlled_variants(t):
+    split = by_rank(t).select(F.concat(F.lit("pdf-"), F.col("doc_id").cast("string")).alias("media_id"), "split")
+    d = damage.controlled_variants(v.pdf_media(t), split)
+    return d.select("sample_id", "media_id", "split", "severity_level", "seed", F.size("operations").alias("operations"), "preserves_content", "damaged_sha256")
+
+
+MODELS = """models AS (SELECT 'M-' || p_partkey AS model_id, p_type AS task, p_size % 3 <> 0 AS commercial_use_permitted, p_partkey % 4 <> 1 AS cpu_compatible,
+  CASE p_size % 2 WHEN 0 THEN 'LOCAL_CPU' ELSE 'WORKER_BACKGROUND' END AS execution_mode, p_retailprice AS model_size_mb FROM part)"""
+
+
+def models(t):
+    return t.part.select(
+        F.concat(F.lit("M-"), F.col("p_partkey").cast("string")).alias("model_id"), F.col("p_type").alias("task"), (F.col("p_size") % 3 != 0).alias("commercial_use_permitted"),
+        (F.col("p_partkey") % 4 != 1).alias("cpu_compatible"), F.when(F.col("p_size") % 2 == 0, "LOCAL_CPU").otherwise("WORKER_BACKGROUND").alias("execution_mode"), F.col("p_retailprice").alias("model_size_mb"),
+    )
+
+
+@query("model_catalog_filter", f"WITH {MODELS} SELECT model_id, task FROM models WHERE task = 'ECONOMY' AND commercial_use_permitted AND cpu_compatible")
+def model_catalog_filter(t):
+    return ds.model_catalog_filter(models(t), "ECONOMY", True, True).select("model_id", "task")
+
+
+@query("model_compliance", f"""WITH {MODELS}, i AS (SELECT model_id, concat_ws(',', CASE WHEN NOT commercial_use_permitted THEN 'license_restricts_commercial_use' END, CASE WHEN NOT cpu_compatible AND execution_mode = 'LOCAL_CPU' THEN 'gpu_model_on_local_cpu' END,
+  CASE WHEN model_size_mb > 500 AND execution_mode <> 'WORKER_BACKGROUND' THEN 'size_over_500_mb' END) AS issues FROM models) SELECT model_id, issues = '' AS valid, issues FROM i""")
+def model_compliance(t):
+    return ds.model_compliance(models(t)).withColumn("issues", F.array_join("issues", ","))
+
+
+@query("corpus_pass_rate", "SELECT count(*) AS items, round(avg((html LIKE '%<p>%' AND html LIKE '<!DOCTYPE%')::INT), 4) AS pass_rate FROM pages")
+def corpus_pass_rate(t):
+    openable = F.contains("html", F.lit("<p>")) & F.startswith("html", F.lit("<!DOCTYPE"))
+    return t.pages.agg(F.count("*").alias("items"), F.round(F.avg(openable.cast("double")), 4).alias("pass_rate"))

@@ -8,6 +8,7 @@ from fragloom.functions import tokens as tk
 from fragloom.functions.blob import latin
 from fragloom.operators import graph as gr, links as lk, truth as tr
 from fragloom.operators.scale import materialize
+from fragloom.operators.unlocated import unlocated_links
 from fragloom.plans import views as v
 from fragloom.plans.registry import query
 from fragloom.plans.token_queries import BOTH, RULE_CTE, both_blocks, lits
@@ -306,3 +307,10 @@ def transition_advice(t):
         "media_id", "start", F.concat_ws("->", "label", "label_b").alias("pair_label"),
         lk.transition_advice(F.col("label"), F.col("label_b"), F.col("confidence"), F.col("conf_b")).alias("advice"),
     )
+
+
+@query("continuation_pairs")
+def continuation_pairs(t):
+    """Best links of all fragments taken as one pool without sources or offsets."""
+    f = features(t).withColumn("fragment_id", F.concat_ws("/", "media_id", "fragment_id"))
+    return unlocated_links(f)
