@@ -269,7 +269,13 @@ def damage_by_severity(media: DataFrame, level: int, seed: int) -> DataFrame:
         d = zero.unionByName(text).unionByName(length).drop("_pick")
     else:
         for name in steps[level]:
-            d = _collect(damage_pattern(d, name, seed=F.col("_seed")))
+            if name == "damage_startxref":
+                # the pointer token, or the trailer keyword of media that have no pointer left
+                has_pointer = F.contains(F.decode("content", "ISO-8859-1"), F.lit("startxref"))
+                pointer = _collect(damage_pattern(d.where(has_pointer), name))
+                d = pointer.unionByName(_collect(damage_pattern(d.where(~has_pointer), "damage_trailer")))
+            else:
+                d = _collect(damage_pattern(d, name, seed=F.col("_seed")))
         for number in {3: [4], 4: [2, 3]}.get(level, []):
             d = _collect(damage_pattern(d, "remove_indirect_object", object_pattern("remove_indirect_object", number)))
         if level == 4:

@@ -65,15 +65,17 @@ def top_edges_per_node(t):
 
 def stored_features(t):
     """Features are read by many joins: they are written once."""
-    return materialize(features(t))
+    return t.once("link_features", lambda: materialize(features(t)))
 
 
 def stored_edges(t, floor=0.40, k=3):
     f = stored_features(t)
-    ids = lk.candidate_pairs(f, k, floor)
-    return f, materialize(lk.top_edges_per_node(lk.score_pairs(ids, f), k, floor).select(
-        "media_id", "from_id", "to_id", "affinity", "relation", "tier", "rank"
-    ))
+
+    def build():
+        scored = lk.score_pairs(lk.candidate_pairs(f, k, floor), f)
+        return materialize(lk.top_edges_per_node(scored, k, floor).select("media_id", "from_id", "to_id", "affinity", "relation", "tier", "rank"))
+
+    return f, t.once(f"link_edges_{floor}_{k}", build)
 
 
 def nodes(f):
@@ -195,7 +197,7 @@ def components(t):
     f, e = stored_edges(t)
     n = nodes(f)
     strong = e.where("affinity >= 0.95")
-    return n, e, gr.connected_components(n, strong)
+    return n, e, t.once("link_components", lambda: gr.connected_components(n, strong))
 
 
 @query("connected_components", f"WITH RECURSIVE {STRONG} SELECT media_id, id, component FROM comp")

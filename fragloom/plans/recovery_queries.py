@@ -63,12 +63,12 @@ def parts(t):
 
 
 def profiles(t):
-    return materialize(parts(t).drop("block"))
+    return t.once("part_profiles", lambda: materialize(parts(t).drop("block")))
 
 
 def with_facts(t):
     p = profiles(t)
-    return p, materialize(asm.media_facts(p))
+    return p, t.once("part_facts", lambda: materialize(asm.media_facts(p)))
 
 
 @query("structural_edges", f"WITH {PARTS} SELECT media_id, rule, from_id, to_id FROM edges")
@@ -123,8 +123,8 @@ def conflicting_fragments(t):
 
 def chained(t):
     p, f = with_facts(t)
-    e = materialize(asm.structural_edges(p, f))
-    return p, f, e, asm.chain_walk(e, f)
+    e = t.once("part_edges", lambda: materialize(asm.structural_edges(p, f)))
+    return p, f, e, t.once("part_chain", lambda: asm.chain_walk(e, f))
 
 
 @query("chain_walk", f"WITH {PARTS} SELECT media_id, position, fragment_id FROM walked")
@@ -143,7 +143,7 @@ def recovered(t):
     blocks = source.select("media_id", "fragment_id", F.length("block").cast("long").alias("size_bytes"), "block")
     p, f, e, chain = chained(t)
     ranges = fr.output_ranges(chain.join(blocks, ["media_id", "fragment_id"]), ["media_id"])
-    segments = materialize(fr.reassemble(ranges, ["media_id"]))
+    segments = t.once("part_segments", lambda: materialize(fr.reassemble(ranges, ["media_id"])))
     # the structure check reads one file per row, like any file-per-row scan
     texts = segments.where("segment_no = 0").select("media_id", latin(F.col("content")).alias("t"))
     states = asm.recovery_state(f, chain, p, asm.unresolved_joins(f), asm.xref_check(texts))
@@ -190,7 +190,7 @@ ALL = ("obj", "endobj", "xref", "trailer", "startxref", "eof", "stream", "endstr
 
 def pdf_hits(t, markers=ALL):
     media = v.pdf_media(t)
-    return media, materialize(rc.marker_hits(media, markers))
+    return media, t.once("pdf_hits", lambda: materialize(rc.marker_hits(media, markers)))
 
 
 @query("object_rows", f"""WITH {v.PDF} SELECT 'pdf-' || doc_id AS media_id, k::BIGINT AS object_number, 0::BIGINT AS generation, off AS start, (off + length(obj) - 1)::BIGINT AS "end", false AS unterminated, 1.0::DOUBLE AS confidence FROM pdf_placed""")
@@ -258,7 +258,7 @@ SELECT media_id, start, CASE WHEN ok THEN label ELSE 'UNKNOWN' END AS label, ok
 FROM (SELECT *, label IS NOT NULL AND (label = 'PDF_HEADER' OR ov >= ("end" - start) * 0.25 OR ov >= 32) AS ok FROM o WHERE n = 1)""")
 def dominant_label(t):
     blocks = fr.carve_blocks(v.pdf_media(t)).select("media_id", "start", "end", F.col("start").alias("block_start"))
-    return rc.dominant_label(blocks, materialize(regions(t)), "block_start").withColumnRenamed("block_start", "start")
+    return rc.dominant_label(blocks, t.once("pdf_regions", lambda: materialize(regions(t))), "block_start").withColumnRenamed("block_start", "start")
 
 
 # ---- carving from raw streams that hold several files -------------------------------------------------
@@ -284,7 +284,7 @@ def disks(t):
 def carved(t):
     media = disks(t)
     marks = tuple(m for pair in rc.SIGNATURES.values() for m in pair[:2])
-    hits = materialize(rc.marker_hits(media, marks))
+    hits = t.once("disk_hits", lambda: materialize(rc.marker_hits(media, marks)))
     return media, rc.footer_asof(hits)
 
 

@@ -10,6 +10,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+_ONCE: dict[tuple, object] = {}
+
+
+def forget() -> None:
+    """Drop remembered intermediates, so that the next query pays for all of its work."""
+    _ONCE.clear()
+
+
 class Tables:
     """Lazy access to the parquet tables of one folder."""
 
@@ -17,6 +25,13 @@ class Tables:
         self.spark = spark
         self.folder = folder
 
+    def once(self, name: str, build: Callable):
+        """Intermediates several queries share are written once per session (to the checkpoint folder)."""
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _ONCE:
+            _ONCE[key] = build()
+        return _ONCE[key]
+
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 

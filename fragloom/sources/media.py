@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def media_scan(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Read evidence files read-only with size, digest and an empty-file warning."""
+    """Read evidence files read-only with size, digest and warnings.
+
+    Spark plans no task for a zero-byte file, so such files give no row here; the warning serves media
+    that come from tables.
+    """
     files = (
         spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     )
