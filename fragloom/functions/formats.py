@@ -104,10 +104,9 @@ def best_format(scores: dict[str, Column]) -> Column:
         F.struct(scores[n].alias("confidence"), F.lit(-i).alias("rank"), F.lit(n).alias("format"))
         for i, n in enumerate(ORDER)
     ]
-    best = F.array_max(F.array(*rows))
-    return F.when(best["confidence"] > 0, F.struct(best["confidence"].alias("confidence"), best["format"].alias("format"))).otherwise(
-        F.struct(F.lit(0.0).alias("confidence"), F.lit("binary").alias("format"))
-    )
+    # the fallback outranks every handler that scores 0, and each score is computed once
+    rows.append(F.struct(F.lit(0.0).alias("confidence"), F.lit(1).alias("rank"), F.lit("binary").alias("format")))
+    return F.array_max(F.array(*rows))
 
 
 def is_log(t: Column, filename: Column) -> Column:

@@ -10,6 +10,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+# Tables whose rows carry whole texts: row work on them is CPU-heavy.
+TEXT_TABLES = {"documents", "pages", "conversations"}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Split a table that arrives in fewer scan tasks than there are cores (few large row groups).
+
+    A table with enough files is left alone, so at scale this adds no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 _ONCE: dict[tuple, object] = {}
 
 
@@ -33,7 +46,8 @@ class Tables:
         return _ONCE[key]
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(df) if name in TEXT_TABLES else df
 
 
 def query(name: str, oracle: str | None = None):
