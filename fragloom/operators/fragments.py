@@ -19,11 +19,12 @@ def carve_blocks(media: DataFrame, block_size: int = 256, keep: tuple[str, ...]
     if block_size <= 0:
         raise ValueError("block_size must be positive")
     size = F.length("content")
-    starts = F.sequence(F.lit(0), size - 1, F.lit(block_size))
+    # outer explode: Spark would copy an emptiness filter below and build derived content a second time
+    starts = F.explode_outer(F.when(size > 0, F.sequence(F.lit(0), size - 1, F.lit(block_size))))
     base = F.col("base_offset") if "base_offset" in media.columns else F.lit(0).cast("long")
     return (
-        media.where(size > 0)
-        .select("media_id", *keep, base.alias("_base"), "content", F.explode(starts).alias("_s"))
+        media.select("media_id", *keep, base.alias("_base"), "content", starts.alias("_s"))
+        .where("_s is not null")
         .select(
             "media_id",
             *keep,
