@@ -7,11 +7,16 @@ import tempfile
 import uuid
 import zlib
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # White space of the word rules: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
+MEMO = 1 << 18  # words whose hash a task remembers
+FILTER_BITS = 1 << 26
+PAGE = 1 << 15  # bits of one bitmap aggregate
+
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``; only a session without that setting gets a local one."""
@@ -60,3 +65,39 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
         return public_tokenizers.path(name)
     except ModuleNotFoundError:
         return os.path.join("/opt/tokenizers", name)
+
+
+def word_hashes(parts: list[bytes], memo: dict[bytes, int]) -> np.ndarray:
+    """64-bit hashes of words; frequent words are remembered up to a bound."""
+    import xxhash
+
+    digest = xxhash.xxh3_64_intdigest
+    if len(memo) < MEMO:
+        for w in set(parts):
+            if w not in memo:
+                memo[w] = digest(w)
+        return np.fromiter(map(memo.__getitem__, parts), "u8", len(parts))
+    get = memo.get
+    return np.fromiter([get(w) or digest(w) for w in parts], "u8", len(parts))
+
+
+def hash_filter(hashes: DataFrame) -> np.ndarray:
+    """A bitmap with two bits for each value of the long column ``h``: 8 MB however many there are.
+
+    It lets every listed value through and few others; as it fills it only lets more through, so what follows must
+    compare exactly. Spark sets the bits, at most 2,048 pages reach the driver.
+    """
+    spots = F.array(F.col("h").bitwiseAND(FILTER_BITS - 1), F.shiftrightunsigned("h", 38))
+    at = hashes.select(F.explode(spots).alias("b")).select((F.col("b") / PAGE).cast("long").alias("page"), (F.col("b") % PAGE).alias("bit"))
+    filled = np.zeros(FILTER_BITS // 8, "u1")
+    for page, bits in at.groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
+        filled[page * PAGE // 8 : (page + 1) * PAGE // 8] = np.frombuffer(bits, "u1")
+    return filled
+
+
+def in_filter(h: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """True where the unsigned 64-bit hash may be listed."""
+    out = np.ones(len(h), bool)
+    for at in ((h & np.uint64(FILTER_BITS - 1)).astype("i8"), (h >> np.uint64(38)).astype("i8")):
+        out &= ((bitmap[at >> 3] >> (at & 7).astype("u1")) & 1).astype(bool)
+    return out

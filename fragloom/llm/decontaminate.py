@@ -12,31 +12,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fragloom.llm.common import staged, texts
+from fragloom.llm.common import hash_filter, in_filter, staged, texts, word_hashes
 
 MASKS = ("1101001011", "10110111")  # 1: the word counts, 0: any word may stand there
 MIN_WORDS = 12  # words an overlap must span, or the whole item if that has fewer
 MIN_SHARE = 0.8  # of them equal
-MEMO = 1 << 18
-FILTER_BITS = 1 << 26
 # Lower-cased bytes: ASCII signs part words; longer characters belong to them.
 FOLD = bytes(c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 
 
-def word_hashes(parts: list[bytes], memo: dict[bytes, int]) -> np.ndarray:
-    """64-bit hashes of words; frequent words are remembered up to a bound."""
-    import xxhash
-
-    digest = xxhash.xxh3_64_intdigest
-    if len(memo) < MEMO:
-        for w in set(parts):
-            if w not in memo:
-                memo[w] = digest(w)
-        return np.fromiter(map(memo.__getitem__, parts), "u8", len(parts))
-    get = memo.get
-    return np.fromiter([get(w) or digest(w) for w in parts], "u8", len(parts))
-
-
 def tokens(text: str | None, memo: dict[bytes, int]) -> np.ndarray:
     return word_hashes((text or "").lower().encode("utf-8", "surrogatepass").translate(FOLD).split(), memo)
 
@@ -60,11 +44,6 @@ def seeds(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), np.concatenate(at)
 
 
-def probes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two places of a seed in the filter."""
-    return (h & np.uint64(FILTER_BITS - 1)).astype("i8"), (h >> np.uint64(64 - 26)).astype("i8")
-
-
 def item_rows(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
     """Benchmark texts, each once under its smallest id, as token bytes with seeds and filter places."""
     rows = texts(items, item_col, text_col).where("_text is not null").groupBy("_text").agg(F.min("_id").alias("item"))
@@ -75,22 +54,12 @@ def item_rows(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
         for batch in batches:
             toks = [tokens(t, memo) for t in batch.column(1).to_pylist()]
             found = [seeds(t) for t in toks]
-            bits = [np.concatenate(probes(h)) for h, _ in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([t.tobytes() for t in toks], pa.binary()), pa.array([h.view("i8") for h, _ in found], pa.list_(pa.int64())), pa.array([a for _, a in found], pa.list_(pa.int32())), pa.array(bits, pa.list_(pa.int64()))],
-                ["item", "item_tokens", "seed", "at", "bits"],
+                [batch.column(0), pa.array([t.tobytes() for t in toks], pa.binary()), pa.array([h.view("i8") for h, _ in found], pa.list_(pa.int64())), pa.array([a for _, a in found], pa.list_(pa.int32()))],
+                ["item", "item_tokens", "seed", "at"],
             )
 
-    return rows.select("item", "_text").mapInArrow(run, f"item {kind}, item_tokens binary, seed array<long>, at array<int>, bits array<long>")
-
-
-def seed_filter(item_table: DataFrame) -> np.ndarray:
-    """A bitmap with two bits per benchmark seed: 8 MB whatever the benchmark's size; the join corrects its errors."""
-    at = item_table.select(F.explode("bits").alias("b")).select((F.col("b") / 32768).cast("long").alias("page"), (F.col("b") % 32768).alias("bit"))
-    filled = np.zeros(FILTER_BITS // 8, "u1")
-    for page, bits in at.groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
-        filled[page * 4096 : (page + 1) * 4096] = np.frombuffer(bits, "u1")
-    return filled
+    return rows.select("item", "_text").mapInArrow(run, f"item {kind}, item_tokens binary, seed array<long>, at array<int>")
 
 
 def hit_rows(docs: DataFrame, filled: np.ndarray) -> DataFrame:
@@ -105,10 +74,7 @@ def hit_rows(docs: DataFrame, filled: np.ndarray) -> DataFrame:
             for i, text in enumerate(batch.column(1).to_pylist()):
                 t = tokens(text, memo)
                 h, at = seeds(t)
-                a, b = probes(h)
-                hit = np.flatnonzero((bitmap[a >> 3] >> (a & 7).astype("u1")) & 1)
-                b = b[hit]
-                hit = hit[((bitmap[b >> 3] >> (b & 7).astype("u1")) & 1).astype(bool)]
+                hit = np.flatnonzero(in_filter(h, bitmap))
                 if len(hit):
                     keep.append(i)
                     toks.append(t.tobytes())
@@ -157,7 +123,7 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     """
     bench = staged(item_rows(items, item_col, item_text_col), "bench")
     rows = texts(docs, id_col, text_col).where("_text is not null").withColumn("_tie", F.xxhash64("_text"))
-    hits = staged(hit_rows(rows, seed_filter(bench)), "hits")
+    hits = staged(hit_rows(rows, hash_filter(bench.select(F.explode("seed").alias("h")))), "hits")
     a = hits.select("_id", "_tie", F.explode(F.arrays_zip("seed", "at")).alias("x")).select("_id", "_tie", "x.seed", F.col("x.at").alias("doc_at"))
     b = bench.select("item", F.explode(F.arrays_zip("seed", "at")).alias("x")).select("item", "x.seed", F.col("x.at").alias("item_at"))
     pairs = a.join(b, "seed").select("_id", "_tie", "item", (F.col("doc_at") - F.col("item_at")).alias("diagonal")).distinct()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fragloom.llm import bpe, decontaminate, language, licenses, lines, quality, rules, tokens_io
+from fragloom.llm import bpe, decontaminate, jaccard, language, licenses, lines, quality, rules, substrings, tokens_io
 from fragloom.llm.common import crc32_fold, scratch, tokenizer_path
 
 QUERIES = {}
@@ -72,3 +72,14 @@ ORACLES["op1_line_dedup"] = lines.ORACLE_SQL
 @query
 def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark")).drop("text")
+
+
+@query
+def op6_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.similar_groups(table(spark, folder, "documents")).drop("class_id")
+
+
+@query
+def op9_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    out = substrings.cut_repeats(table(spark, folder, "documents"))
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
