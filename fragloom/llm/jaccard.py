@@ -145,10 +145,10 @@ def shared_shingles(rows: DataFrame, size: int, blocks: int) -> DataFrame:
 
 
 def prefixes(shared: DataFrame, percent: int) -> DataFrame:
-    """(h, cls, n, pos, common, bins): the shared shingles in each class's prefix.
+    """(h, cls, n, pos, k, bins): the shared shingles in each class's prefix.
 
-    ``pos`` is the place in rare-first order, ``common`` the part of shared shingles in 1/10,000, ``bins`` the counts
-    of all shared shingles by hash (the rest is in no other set), for the suffix filter.
+    ``pos`` is the place in rare-first order, ``k`` the number of all shared shingles (the rest is in no other set, so
+    no overlap exceeds it), ``bins`` their counts by hash, for the suffix filter.
     """
     lists = shared.groupBy("cls", "n").agg(F.collect_list("payload").alias("p"))
 
@@ -163,22 +163,27 @@ def prefixes(shared: DataFrame, percent: int) -> DataFrame:
                 order = np.lexsort((e["h"], e["f"]))[:take]
                 bins = np.bincount(e["h"] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(58), minlength=BINS).astype("<u4").tobytes()
                 k = len(order)
-                for col, v in zip(cols, (e["h"][order].view("i8").tolist(), [c] * k, [n] * k, range(n - len(e), n - len(e) + k), [10_000 * len(e) // n] * k, [bins] * k)):
+                for col, v in zip(cols, (e["h"][order].view("i8").tolist(), [c] * k, [n] * k, range(n - len(e), n - len(e) + k), [len(e)] * k, [bins] * k)):
                     col.extend(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["h", "cls", "n", "pos", "common", "bins"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["h", "cls", "n", "pos", "k", "bins"])
 
-    return lists.mapInArrow(run, "h long, cls long, n long, pos long, common long, bins binary")
+    return lists.mapInArrow(run, "h long, cls long, n long, pos long, k long, bins binary")
+
+
+def may_match(percent: int):
+    """Length, overlap and positional filter on columns nx, ny (sizes), kx, ky (shared shingles), px, py (places)."""
+    smaller, larger = F.least("nx", "ny"), F.greatest("nx", "ny")
+    both = F.lit(percent) * (F.col("nx") + F.col("ny"))
+    behind = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) + F.least("px", "py")
+    return (smaller * 100 >= larger * percent) & (F.least("kx", "ky") * (100 + percent) >= both) & (behind * (100 + percent) >= both)
 
 
 def filtered(pairs: DataFrame, percent: int) -> DataFrame:
-    """Distinct (x, y, bound) of pairs (x, y, nx, ny, px, py, bx, by) that pass length, positional and suffix filter.
+    """Distinct (x, y, bound) of pairs (x, y, nx, ny, bx, by) that pass the suffix filter.
 
-    The suffix filter bounds the common shingles by the smaller count of each hash bin; ``bound`` is that number.
+    It bounds the common shingles by the smaller count of each hash bin; ``bound`` is that number.
     """
-    need = lambda: F.ceil(F.lit(percent) * (F.col("nx") + F.col("ny")) / F.lit(100 + percent))
-    slim = pairs.where(F.col("x") != F.col("y"))
-    slim = slim.where((F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent) & (1 + F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) - 1 >= need() - F.least("px", "py")))
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,7 +193,7 @@ def filtered(pairs: DataFrame, percent: int) -> DataFrame:
             ok = most * (100 + percent) >= percent * (nx + ny)
             yield pa.RecordBatch.from_arrays([pa.array(a[ok]) for a in (x, y, most)], ["x", "y", "bound"])
 
-    ordered = slim.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "nx", "ny", "bx", "by")
+    ordered = pairs.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "nx", "ny", "bx", "by")
     return ordered.mapInArrow(bound, "x long, y long, bound long").distinct()
 
 
@@ -223,10 +228,11 @@ def class_links(rows: DataFrame, size: int, percent: int) -> tuple[DataFrame, Da
     total = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     blocks = max(16, math.ceil(total / BLOCK_BYTES))
     t = staged(prefixes(shared_shingles(rows, size, blocks), percent), "prefixes")
-    busy = t.groupBy("h").agg(F.count("*").alias("members"), F.max(F.struct("common", F.col("n"), F.col("cls"), F.col("pos"), F.col("bins"))).alias("l")).where("members > 1")
-    stars = t.join(busy.select("h", "l"), "h").select(
-        F.col("cls").alias("x"), F.col("l.cls").alias("y"), F.col("n").alias("nx"), F.col("l.n").alias("ny"), F.col("pos").alias("px"), F.col("l.pos").alias("py"), F.col("bins").alias("bx"), F.col("l.bins").alias("by")
-    )
+    side = lambda v: [F.col("cls").alias(v), F.col("n").alias(f"n{v}"), F.col("k").alias(f"k{v}"), F.col("pos").alias(f"p{v}"), F.col("bins").alias(f"b{v}")]
+    leader = F.max(F.struct((F.col("k") / F.col("n")).alias("part"), "n", "cls", "k", "pos", "bins"))
+    busy = t.groupBy("h").agg(F.count("*").alias("members"), leader.alias("l")).where("members > 1")
+    leaders = busy.select("h", "l.*").select("h", *side("y"))
+    stars = t.select("h", *side("x")).join(leaders, "h").where(may_match(percent))
     stars = staged(filtered(stars, percent), "stars")
     nodes = staged(t.join(busy.select("h"), "h").select("cls").distinct(), "nodes")
     sets = staged(class_sets(rows, nodes, size), "sets")
@@ -238,11 +244,16 @@ def class_links(rows: DataFrame, size: int, percent: int) -> tuple[DataFrame, Da
 
     # pairs between components: members outside a bucket's largest component against all of it
     member = t.join(roots, "cls")
-    sizes = member.groupBy("h", "root").agg(F.count("*").alias("k"))
-    main = sizes.groupBy("h").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("k", "root")).alias("main")).where("roots > 1")
-    other = member.join(main, "h").where("root <> main").select("h", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("bins").alias("bx"), F.col("root").alias("rx"))
-    whole = member.select("h", F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("bins").alias("by"), F.col("root").alias("ry"))
-    rest = staged(filtered(other.join(whole, "h").where("rx <> ry"), percent).join(tried.select("x", "y"), ["x", "y"], "left_anti"), "rest")
+    parts = member.groupBy("h", "root").agg(F.count("*").alias("c"))
+    main = parts.groupBy("h").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("c", "root")).alias("main")).where("roots > 1")
+    other = member.join(main, "h").where("root <> main").select("h", *side("x"), F.col("root").alias("rx"))
+    whole = member.select("h", *side("y"), F.col("root").alias("ry"))
+    # the set sizes of a bucket that a class can match at all; only members of those sizes meet it
+    sizes = member.groupBy("h", F.col("n").alias("ny")).agg(F.max("k").alias("most"))
+    fits = (F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent) & (F.least("kx", "most") * (100 + percent) >= F.lit(percent) * (F.col("nx") + F.col("ny")))
+    sized = other.join(sizes, "h").where(fits).drop("most")
+    rest = filtered(sized.join(whole, ["h", "ny"]).where((F.col("rx") != F.col("ry")) & may_match(percent)), percent)
+    rest = staged(rest.join(tried.select("x", "y"), ["x", "y"], "left_anti"), "rest")
     for last in (False, True):
         sides = rest.select("x", "y", "bound").unionByName(rest.select(F.col("y").alias("x"), F.col("x").alias("y"), "bound"))
         chosen = rest.select("x", "y") if last else best(sides)
