@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fragloom.llm.common import texts
+from fragloom.llm.common import staged, texts
 
 FACTOR = 1_000_003
 MODULUS = 2_147_483_647
@@ -60,12 +60,13 @@ def repeats(rows: DataFrame) -> DataFrame:
     found = candidates(rows)
     place = F.struct(F.col("_id").isNotNull().alias("has"), "_id", "_tie", "_k")
     groups = found.groupBy("_h", "_chunk").agg(F.count("*").alias("n"), F.min(place).alias("first"))
-    per_hash = groups.groupBy("_h").agg(F.count("*").alias("byte_strings"), F.max("n").alias("n"), F.min("first").alias("first"))
+    per_hash = staged(groups.groupBy("_h").agg(F.count("*").alias("byte_strings"), F.max("n").alias("n"), F.min("first").alias("first")).where("n > 1 or byte_strings > 1"), "chunks")
     later = lambda df: df.where(~place.eqNullSafe(F.col("first"))).select("_id", "_tie", "_k")
-    plain = later(found.drop("_chunk").join(per_hash.where("byte_strings = 1 and n > 1").select("_h", "first"), "_h"))
+    gone = later(found.drop("_chunk").join(per_hash.where("byte_strings = 1").select("_h", "first"), "_h"))
     shared = per_hash.where("byte_strings > 1").select("_h")
-    mixed = later(found.join(groups.where("n > 1").join(shared, "_h").select("_h", "_chunk", "first"), ["_h", "_chunk"]))
-    return plain.unionByName(mixed)
+    if shared.limit(1).count():  # two byte strings with one hash: hardly ever, and then worth another pass
+        gone = gone.unionByName(later(found.join(groups.where("n > 1").join(shared, "_h").select("_h", "_chunk", "first"), ["_h", "_chunk"])))
+    return gone
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -77,7 +78,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     become empty; its row stays. An empty table gives no rows.
     """
     own = [c for c in docs.columns if c not in ("n_lines", "n_chunks", "n_removed")]
-    keyed = docs.select(*(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(own)), F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
+    # the text travels once, under its own name
+    keyed = docs.select(*(F.col(f"`{c}`").alias("_text" if c == text_col else f"_c{i}") for i, c in enumerate(own)), F.col(f"`{id_col}`").alias("_id"))
     keyed = keyed.withColumn("_tie", F.xxhash64("_text"))
     gone = repeats(texts(docs, id_col, text_col).withColumn("_tie", F.xxhash64("_text")))
     gone = gone.groupBy("_id", "_tie").agg(F.collect_set("_k").alias("_gone")).withColumnsRenamed({"_id": "_gid", "_tie": "_gtie"})
