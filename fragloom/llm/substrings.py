@@ -89,7 +89,10 @@ def anchor_counts(rows: DataFrame, length: int) -> DataFrame:
 
 
 def segment_rows(rows: DataFrame, repeated: DataFrame, length: int) -> DataFrame:
-    """(h, dig, seg, before, k, starts, _id, _tie): a document's distinct segments whose anchor hash is repeated."""
+    """(h, d1, d2, seg, before, k, starts, _id, _tie): a document's distinct segments whose anchor hash is repeated.
+
+    d1 and d2 are a 128-bit digest of the segment, k the number of its places in the document.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(hash_filter(repeated))
     kind = rows.schema["_id"].dataType.simpleString()
 
@@ -109,16 +112,17 @@ def segment_rows(rows: DataFrame, repeated: DataFrame, length: int) -> DataFrame
                     keys.extend(own)
                     places.extend(own.values())
                     rows_of.extend([i] * len(own))
+                digest = np.frombuffer(b"".join([xxhash.xxh3_128_digest(k[1]) for k in keys]), "<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([k[0] for k in keys], pa.int64()), pa.array([xxhash.xxh3_128_digest(k[1]) for k in keys], pa.binary()), pa.array([k[1] for k in keys], pa.binary()),
+                        pa.array([k[0] for k in keys], pa.int64()), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), pa.array([k[1] for k in keys], pa.binary()),
                         pa.array([k[2] for k in keys], pa.int32()), pa.array([len(v) for v in places], pa.int64()), pa.array([np.array(v, "<i8").tobytes() for v in places], pa.binary()),
                         chunk.column(0).take(pa.array(rows_of, pa.int64())), chunk.column(2).take(pa.array(rows_of, pa.int64())),
                     ],
-                    ["h", "dig", "seg", "before", "k", "starts", "_id", "_tie"],
+                    ["h", "d1", "d2", "seg", "before", "k", "starts", "_id", "_tie"],
                 )
 
-    return rows.select("_id", "_text", "_tie").mapInArrow(run, f"h long, dig binary, seg binary, before int, k long, starts binary, _id {kind}, _tie long")
+    return rows.select("_id", "_text", "_tie").mapInArrow(run, f"h long, d1 long, d2 long, seg binary, before int, k long, starts binary, _id {kind}, _tie long")
 
 
 class Suffixes:
@@ -228,13 +232,28 @@ def equal_windows(h: np.ndarray, before: np.ndarray, segs: list[bytes], length:
     return [flat[o : o + c] for o, c in zip(offset, counts)]
 
 
-def equal_marks(found: DataFrame, length: int, max_group: int) -> DataFrame:
-    """(h, dig, mask): packed bits of the equal windows of each distinct segment; a null mask means all of them."""
-    per_hash = staged(found.groupBy("h").agg(F.min("dig").alias("lo"), F.max("dig").alias("hi"), F.sum("k").alias("n"), F.count("*").alias("rows")), "anchors")
-    alone = per_hash.where("lo = hi and n > 1").select("h", F.col("lo").alias("dig"), F.lit(None).cast("binary").alias("mask"))
-    mixed = per_hash.where("lo <> hi").select("h", "rows")
-    distinct = lambda hashes: found.join(hashes, "h").groupBy("h", "dig").agg(F.sum("k").alias("n"), F.first("seg").alias("seg"), F.first("before").alias("before"))
-    buckets = max(16, math.ceil((mixed.where(F.col("rows") <= max_group).agg(F.sum("rows")).first()[0] or 0) / SORT_ROWS))
+def only_listed(found: DataFrame, hashes: DataFrame) -> DataFrame:
+    """Segments whose anchor hash may be listed, without moving any bytes; a few others pass and do no harm."""
+    shared = found.sparkSession.sparkContext.broadcast(hash_filter(hashes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_filter(batch.column(0).to_numpy().view("u8"), shared.value)))
+
+    return found.select("h", "d1", "d2", "seg", "before", "k").mapInArrow(run, "h long, d1 long, d2 long, seg binary, before int, k long")
+
+
+def equal_marks(found: DataFrame, length: int, max_group: int) -> tuple[DataFrame, DataFrame]:
+    """Anchor hashes (h) whose only segment content is repeated, and for the rest (h, d1, d2, mask): packed bits of the
+    equal windows of each distinct segment, null for all of them."""
+    ends = [f(d).alias(f"{n}{d}") for d in ("d1", "d2") for f, n in ((F.min, "lo_"), (F.max, "hi_"))]
+    per_hash = staged(found.groupBy("h").agg(*ends, F.sum("k").alias("n"), F.count("*").alias("rows")), "anchors")
+    one = "lo_d1 = hi_d1 and lo_d2 = hi_d2"
+    alone = per_hash.where(f"{one} and n > 1").select("h")
+    mixed = per_hash.where(f"not ({one})")
+    total, most = mixed.agg(F.sum("rows"), F.max("rows")).first()
+    buckets = max(16, math.ceil((total or 0) / SORT_ROWS))
+    distinct = lambda df: df.groupBy("h", "d1", "d2").agg(F.sum("k").alias("n"), F.first("seg").alias("seg"), F.first("before").alias("before"))
 
     def sort(table: pa.Table) -> pa.Table:
         h = table.column("h").to_numpy()
@@ -242,25 +261,34 @@ def equal_marks(found: DataFrame, length: int, max_group: int) -> DataFrame:
         again = table.column("n").to_numpy() > 1
         masks = [None if r or m.all() else np.packbits(m, bitorder="little").tobytes() for m, r in zip(marks, again)]
         keep = pa.array([bool(r or m.any()) for m, r in zip(marks, again)], pa.bool_())
-        return pa.table({"h": table.column("h").combine_chunks().filter(keep), "dig": table.column("dig").combine_chunks().filter(keep), "mask": pa.array(masks, pa.binary()).filter(keep)})
-
-    usual = distinct(mixed.where(F.col("rows") <= max_group).select("h")).withColumn("bucket", F.pmod("h", F.lit(buckets))).groupBy("bucket").applyInArrow(sort, "h long, dig binary, mask binary")
-    # groups too large for a task: windows meet by their bytes, in partial sums
-    wide = distinct(mixed.where(F.col("rows") > max_group).select("h"))
-    windows = wide.select("h", "dig", "n", "before", F.explode(F.sequence(F.lit(0), F.length("seg") - length)).alias("w"), "seg").select("h", "dig", "n", "w", (F.col("before") - F.col("w")).alias("a"), F.substring("seg", F.col("w") + 1, F.lit(length)).alias("win"))
+        out = {c: table.column(c).combine_chunks().filter(keep) for c in ("h", "d1", "d2")}
+        return pa.table(out | {"mask": pa.array(masks, pa.binary()).filter(keep)})
+
+    schema = "h long, d1 long, d2 long, mask binary"
+    usual = only_listed(found, mixed.where(F.col("rows") <= max_group).select("h"))
+    if (most or 0) > max_group:
+        usual = usual.join(mixed.where(F.col("rows") > max_group).select("h"), "h", "left_anti")
+    marks = distinct(usual).withColumn("bucket", F.pmod("h", F.lit(buckets))).groupBy("bucket").applyInArrow(sort, schema)
+    if (most or 0) <= max_group:
+        return alone, marks
+
+    # anchors with more segments than a task should sort: their windows meet by their bytes, in partial sums
+    wide = distinct(found.join(mixed.where(F.col("rows") > max_group).select("h"), "h"))
+    windows = wide.select("h", "d1", "d2", "n", "before", F.explode(F.sequence(F.lit(0), F.length("seg") - length)).alias("w"), "seg")
+    windows = windows.select("h", "d1", "d2", "n", "w", (F.col("before") - F.col("w")).alias("a"), F.substring("seg", F.col("w") + 1, F.lit(length)).alias("win"))
     twice = windows.groupBy("h", "a", "win").agg(F.sum("n").alias("n")).where("n > 1").select("h", "a", "win")
-    listed = windows.join(twice, ["h", "a", "win"]).groupBy("h", "dig").agg(F.collect_set("w").alias("w"))
+    listed = windows.join(twice, ["h", "a", "win"]).groupBy("h", "d1", "d2").agg(F.collect_set("w").alias("w"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             masks = []
-            for w in batch.column(2).to_pylist():
+            for w in batch.column(3).to_pylist():
                 m = np.zeros(max(w) + 1, bool)
                 m[w] = True
                 masks.append(np.packbits(m, bitorder="little").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(masks, pa.binary())], ["h", "dig", "mask"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(masks, pa.binary())], ["h", "d1", "d2", "mask"])
 
-    return alone.unionByName(usual).unionByName(listed.select("h", "dig", "w").mapInArrow(pack, "h long, dig binary, mask binary"))
+    return alone, marks.unionByName(listed.select("h", "d1", "d2", "w").mapInArrow(pack, schema))
 
 
 def covered(n: int, found: list[dict], length: int) -> np.ndarray:
@@ -284,9 +312,10 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = texts(docs, id_col, text_col).withColumn("_tie", F.xxhash64("_text"))
     repeated = anchor_counts(rows, length).where("k > 1").select("h")
-    found = staged(segment_rows(rows, repeated, length), "segments")
-    marks = equal_marks(found, length, max_group)
-    hits = found.select("h", "dig", "starts", (F.length("seg") - (length - 1)).alias("windows"), "_id", "_tie").join(marks, ["h", "dig"])
+    found = staged(segment_rows(rows, repeated, length).withColumn("windows", (F.length("seg") - (length - 1)).cast("long")), "segments")
+    alone, marks = equal_marks(found, length, max_group)
+    slim = found.select("h", "d1", "d2", "starts", "windows", "_id", "_tie")
+    hits = slim.join(alone, "h").withColumn("mask", F.lit(None).cast("binary")).unionByName(slim.join(marks, ["h", "d1", "d2"]))
     # rows with equal id and text have equal segments; each finds the same marks, so one list of them serves all
     lists = hits.groupBy("_id", "_tie").agg(F.collect_set(F.struct("starts", "windows", "mask")).alias("found")).withColumnsRenamed({"_id": "_fid", "_tie": "_ftie"})
     full = rows.join(lists, (F.col("_tie") == F.col("_ftie")) & F.col("_id").eqNullSafe(F.col("_fid")), "left").select("_id", "_text", "found")
