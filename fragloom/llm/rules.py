@@ -100,18 +100,23 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     m = base_metrics(docs, [id_col, lang_col, source_col], text_col).toDF("_id", "_lang", "_source", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
+    m = m.withColumns({c: F.col(c).cast("string") for c in ("_lang", "_source")})
     m = staged(with_ratios(m).withColumn("base_failed", failed), "rule_metrics")
     fine = sketches(m.where("not base_failed"), ["_lang", "_source"])
     lang = merge(fine, ["_lang"])
-    whole = merge(lang, []).withColumn("_one", F.lit(1))
-    named = lambda df, p: df.select(*(F.col(c).alias(f"{p}{c}") for c in df.columns))
-    g, l, w = named(fences(fine, ["_lang", "_source"]), "g"), named(fences(lang, ["_lang"]), "l"), named(fences(whole, ["_one"]), "w")
+    nothing = F.lit(None).cast("string")
+    level = lambda df, groups, n: fences(df, groups).select(F.lit(n).alias("level"), *((F.col(c) if c in groups else nothing).alias(f"f{c}") for c in ("_lang", "_source")), "rows", *(f"max_{r}" for r in RATIOS))
+    levels = level(fine, ["_lang", "_source"], 0).unionByName(level(lang, ["_lang"], 1)).unionByName(level(merge(lang, []).withColumn("_one", F.lit(1)), ["_one"], 2))
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    pick = lambda c: F.when(F.col("grows") >= min_group, F.col(f"g{c}")).when(F.col("lrows") >= min_group, F.col(f"l{c}")).otherwise(F.col(f"w{c}"))
-    groups = (  # one row per group; the choice of sketch is made here, so that rows meet one small table
-        m.groupBy("_lang", "_source").agg(F.lit(1).alias("_one"))
-        .join(g, same("_lang", "g_lang") & same("_source", "g_source"), "left").join(l, same("_lang", "l_lang"), "left").join(w, same("_one", "w_one"), "left")
-        .select(F.col("_lang").alias("_gl"), F.col("_source").alias("_gs"), *(pick(f"max_{r}").alias(f"max_{r}") for r in RATIOS))
+    # one row per group, with the finest sketch that has enough rows: rows then meet one small table
+    choices = F.array(*(F.struct(F.lit(n).alias("n"), (F.col("_lang") if n < 2 else nothing).alias("cl"), (F.col("_source") if n < 1 else nothing).alias("cs")) for n in range(3)))
+    asked = m.select("_lang", "_source").distinct().withColumn("c", F.explode(choices))
+    groups = (
+        asked.join(levels, (F.col("c.n") == F.col("level")) & F.col("c.cl").eqNullSafe(F.col("f_lang")) & F.col("c.cs").eqNullSafe(F.col("f_source")))
+        .where((F.col("rows") >= min_group) | (F.col("level") == 2))
+        .groupBy(F.col("_lang").alias("_gl"), F.col("_source").alias("_gs"))
+        .agg(F.min_by(F.struct(*(f"max_{r}" for r in RATIOS)), "level").alias("_f"))
+        .select("_gl", "_gs", "_f.*")
     )
     out = m.join(groups, same("_lang", "_gl") & same("_source", "_gs"), "left")
     inside = F.lit(True)
