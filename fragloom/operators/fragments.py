@@ -229,34 +229,57 @@ def profile_checked(fragments: DataFrame, blocks: DataFrame) -> DataFrame:
     )
 
 
-def first_diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Byte comparison of two media tables by block: equality, prefix match, length delta, first bad offset.
+def recut(blocks: DataFrame, size: int) -> DataFrame:
+    """(media_id, cell, start, held, block): bytes of any cut, put together again at multiples of ``size``.
 
-    ``a`` and ``b`` are block tables (media_id, start, block). Blocks meet by (media_id, start), so
-    a huge medium is compared by many tasks; only the first bad block of each medium is opened.
+    A block holds the bytes up to the first hole in its cell, ``held`` counts all of them; no row exceeds ``size`` bytes.
     """
-    left = a.select("media_id", "start", F.col("block").alias("a"))
-    right = b.select("media_id", "start", F.col("block").alias("b"))
-    joined = left.join(right, ["media_id", "start"], "full_outer")
-    overlap = F.least(F.length("a"), F.length("b"))
-    inside = (F.col("a").isNotNull()) & F.col("b").isNotNull() & (
-        F.substring("a", F.lit(1), overlap) != F.substring("b", F.lit(1), overlap)
+    last = F.col("start") + F.length("block") - 1
+    pieces = blocks.where(F.length("block") > 0).select(
+        "media_id", "start", "block", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor(last / size))).alias("cell")
     )
+    lo = F.greatest("start", F.col("cell") * size)
+    piece = F.substring("block", (lo - F.col("start") + 1).cast("int"), F.lit(size) - (lo % size).cast("int"))
+    cells = pieces.select("media_id", "cell", F.struct(lo.alias("s"), piece.alias("b")).alias("p")).groupBy("media_id", "cell").agg(F.sort_array(F.collect_list("p")).alias("p"), F.sum(F.length("p.b")).alias("held"))
+    first = F.get("p", F.lit(0)).s
+    zero = F.struct(first.alias("e"), F.lit(b"").alias("b"))
+    whole = F.aggregate("p", zero, lambda a, x: F.when(x.s == a.e, F.struct((a.e + F.length(x.b)).alias("e"), F.concat(a.b, x.b).alias("b"))).otherwise(a))
+    return cells.select("media_id", "cell", first.alias("start"), "held", whole.b.alias("block"))
+
+
+def first_diff(a: DataFrame, b: DataFrame, size: int = SEGMENT) -> DataFrame:
+    """Byte comparison of two media tables: equality, prefix match, length delta, first bad offset.
+
+    ``a`` and ``b`` are block tables (media_id, start, block), cut anywhere. Both are cut anew at equal offsets, so a
+    huge medium is compared by many tasks; bytes that only one side has inside both lengths count as different. Only
+    the first bad cell of each medium is opened.
+    """
+    left = recut(a, size).select("media_id", "cell", F.col("start").alias("sa"), F.col("held").alias("ha"), F.col("block").alias("a"))
+    right = recut(b, size).select("media_id", "cell", F.col("start").alias("sb"), F.col("held").alias("hb"), F.col("block").alias("b"))
+    joined = left.join(right, ["media_id", "cell"], "full_outer")
+    overlap = F.least(F.length("a"), F.length("b"))
+    aligned = F.col("sa") == F.col("sb")
+    differs = aligned & (F.substring("a", F.lit(1), overlap) != F.substring("b", F.lit(1), overlap))
+    # where the common bytes of a cell end, or its first byte if one side begins later or lacks it
+    edge = F.when(aligned, F.when(F.length("a") != F.length("b"), F.col("sa") + overlap)).otherwise(F.least("sa", "sb"))
     facts = joined.groupBy("media_id").agg(
-        F.coalesce(F.sum(F.length("a")), F.lit(0)).alias("size_a"),
-        F.coalesce(F.sum(F.length("b")), F.lit(0)).alias("size_b"),
-        F.min(F.when(inside, F.struct("start", "a", "b"))).alias("_bad"),
+        F.coalesce(F.sum("ha"), F.lit(0)).alias("size_a"),
+        F.coalesce(F.sum("hb"), F.lit(0)).alias("size_b"),
+        F.min(F.when(differs, F.struct(F.col("sa").alias("start"), "a", "b"))).alias("_bad"),
+        F.min(F.when(~F.coalesce(differs, F.lit(False)), edge)).alias("_edge"),
     )
     step = F.sequence(F.lit(1), F.least(F.length("_bad.a"), F.length("_bad.b")))
     offset = F.array_min(
         F.filter(step, lambda i: F.substring(F.col("_bad.a"), i, F.lit(1)) != F.substring(F.col("_bad.b"), i, F.lit(1)))
     )
-    inner = F.when(F.col("_bad").isNotNull(), F.col("_bad.start") + offset - 1)
-    equal = F.col("_bad").isNull() & (F.col("size_a") == F.col("size_b"))
+    inside = F.when(F.col("_bad").isNotNull(), F.col("_bad.start") + offset - 1)
+    shorter = F.least("size_a", "size_b")
+    facts = facts.withColumn("_first", F.least(inside, F.when(F.col("_edge") < shorter, F.col("_edge"))))
+    equal = F.col("_first").isNull() & (F.col("size_a") == F.col("size_b"))
     return facts.select(
         "media_id",
         equal.alias("byte_match"),
-        (F.col("_bad").isNull() & (F.col("size_a") < F.col("size_b"))).alias("is_prefix"),
+        (F.col("_first").isNull() & (F.col("size_a") < F.col("size_b"))).alias("is_prefix"),
         (F.col("size_a") - F.col("size_b")).alias("length_delta"),
-        F.when(~equal, F.coalesce(inner, F.least("size_a", "size_b"))).cast("long").alias("first_diff"),
+        F.when(~equal, F.coalesce("_first", shorter)).cast("long").alias("first_diff"),
     )

@@ -58,7 +58,8 @@ def marker_hits(media: DataFrame, markers: tuple[str, ...]) -> DataFrame:
                     for m in pattern.finditer(content):
                         start = m.start(1) if m.re.groups else m.start()
                         if start < own:
-                            num, gen = (int(m[1]), int(m[2])) if m.re.groups else (None, None)
+                            # a digit run beyond 18 places is no number this column can hold
+                            num, gen = ((int(d) if len(d) < 19 else None) for d in m.groups()) if m.re.groups else (None, None)
                             out.append((media_id, name, base + start, base + m.end(), num, gen))
             columns = list(zip(*out)) if out else [[]] * 6
             types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]

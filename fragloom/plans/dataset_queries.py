@@ -40,7 +40,8 @@ def predictions(t):
 
 
 @query("confusion_matrix", f"""WITH {PRED}, u AS (SELECT y AS l FROM named UNION SELECT p FROM named) SELECT u.l AS true_label,
-  {", ".join(f"(SELECT count(*) FROM named WHERE model = 'length' AND y = u.l AND p = '{x}') AS pred_{x}" for x in ("good", "poor", "UNKNOWN"))} FROM u""")
+  {", ".join(f"(SELECT count(*) FROM named WHERE model = 'length' AND y = u.l AND p = '{x}') AS pred_{x}" for x in ("good", "poor", "UNKNOWN"))},
+  (SELECT count(*) FROM named WHERE model = 'length' AND y = u.l AND p NOT IN ('good', 'poor', 'UNKNOWN')) AS pred_other FROM u""")
 def confusion_matrix(t):
     return ev.confusion_matrix(predictions(t).where("model = 'length'"), "y", "p", ["good", "poor", "UNKNOWN"])
 
