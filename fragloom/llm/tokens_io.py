@@ -15,14 +15,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from fragloom.llm.common import texts
 
 MAGIC = b"DAC1"
 BLOCK = 512
 END_ID = 1
-MEMO = 1 << 18  # pieces remembered per task
+MEMO = 1 << 19  # pieces remembered per worker
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -105,6 +105,9 @@ def encode_texts(model, batch: list[str | None], known: dict[str, bytes]) -> lis
     return out
 
 
+_KNOWN: dict[str, dict[str, bytes]] = {}  # per worker process and vocabulary file: tasks of one worker share the memory
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> None:
     """Encode every whole text, append ``end_id``, and write the records to ``path`` in ascending id order.
 
@@ -124,7 +127,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
         model = Tokenizer.from_file(tokenizer)
         model.no_truncation()
         model.no_padding()
-        known: dict[str, bytes] = {}
+        known = _KNOWN.setdefault(tokenizer, {})
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
             for at in range(0, batch.num_rows, 64):  # a few texts at a time bound the memory of the encodings
@@ -148,9 +151,9 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """Records with ``start``, the ids of all records before: a sum over one row per file and a small join."""
     rows = spark.read.parquet(path)
     ends = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    a, b = ends.alias("a"), ends.alias("b")
-    # one row per file on both sides; a file's offset is the sum over the files before it
-    offsets = a.join(b, F.col("b.part") < F.col("a.part"), "left").groupBy(F.col("a.part").alias("part")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("offset"))
+    # one row per file, so one task can hold them all
+    files_before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ends.select("part", F.coalesce(F.sum("n").over(files_before), F.lit(0)).alias("offset"))
     return rows.join(offsets, "part").select("id", (F.col("offset") + F.col("start_in_part")).alias("start"), "n_tokens", "record")
 
 
