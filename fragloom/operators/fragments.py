@@ -247,7 +247,7 @@ def recut(blocks: DataFrame, size: int) -> DataFrame:
     return cells.select("media_id", "cell", first.alias("start"), "held", whole.b.alias("block"))
 
 
-def first_diff(a: DataFrame, b: DataFrame, size: int = SEGMENT) -> DataFrame:
+def first_diff(a: DataFrame, b: DataFrame, size: int = 1 << 16) -> DataFrame:
     """Byte comparison of two media tables: equality, prefix match, length delta, first bad offset.
 
     ``a`` and ``b`` are block tables (media_id, start, block), cut anywhere. Both are cut anew at equal offsets, so a
