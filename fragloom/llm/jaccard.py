@@ -68,7 +68,11 @@ def classes(rows: DataFrame, size: int) -> DataFrame:
 
 
 def shared_shingles(rows: DataFrame, size: int, blocks: int) -> DataFrame:
-    """(cls, n, payload): per block and class the shingles that two or more classes have, with that number."""
+    """(cls, n, payload): per block and class the shingles that two or more classes have, with that number.
+
+    A shingle is told by its block and 32 more bits of its hash. Blocks hold about as many shingles at every size, so
+    few are mistaken for shared; that only raises upper bounds, and ``verified`` compares the 64-bit hashes.
+    """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[bytes, int] = {}
@@ -82,7 +86,7 @@ def shared_shingles(rows: DataFrame, size: int, blocks: int) -> DataFrame:
             block = ((h >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype("i4")
             order = np.argsort(block, kind="stable")
             cuts = np.flatnonzero(np.diff(block[order], prepend=-1, append=-1))
-            low = h.view("u1").reshape(-1, 8)[:, :5]  # the block stands for the high bits
+            low = h.astype("u4")  # the block stands for the high bits
             names, payloads = [], []
             for a, b in zip(cuts[:-1], cuts[1:]):
                 at = order[a:b]
@@ -113,13 +117,9 @@ def shared_shingles(rows: DataFrame, size: int, blocks: int) -> DataFrame:
             ids.append(own)
             sizes.append(np.frombuffer(table.column("sizes")[i].as_buffer(), "i4"))
             docs.append(np.frombuffer(table.column("index")[i].as_buffer(), "u2").astype("i4") + base)
-            low.append(np.frombuffer(table.column("low")[i].as_buffer(), "u1").reshape(-1, 5))
+            low.append(np.frombuffer(table.column("low")[i].as_buffer(), "u4"))
             base += len(own)
-        ids, sizes, docs = np.concatenate(ids), np.concatenate(sizes), np.concatenate(docs)
-        five = np.concatenate(low)
-        h = np.zeros((len(five), 8), "u1")
-        h[:, :5] = five
-        h = h.view("u8").ravel() | np.uint64(block << 40)
+        ids, sizes, docs, h = np.concatenate(ids), np.concatenate(sizes), np.concatenate(docs), np.concatenate(low)
         _, first = np.unique(ids, return_index=True)  # a class that several chunks sent counts once
         once = np.zeros(len(ids), bool)
         once[first] = True
@@ -135,10 +135,10 @@ def shared_shingles(rows: DataFrame, size: int, blocks: int) -> DataFrame:
         order = np.argsort(docs, kind="stable")
         h, docs, freq = h[order], docs[order], freq[order]
         cuts = np.flatnonzero(np.diff(docs, prepend=-1, append=-1)) if len(docs) else np.zeros(1, "i8")
-        entry = np.zeros(len(h), [("f", "<u4"), ("h", "<u8")])
+        entry = np.zeros(len(h), [("f", "<u4"), ("h", "<u4")])
         entry["f"], entry["h"] = freq, h
-        own = docs[cuts[:-1]]
-        return pa.table({"cls": pa.array(ids[own], pa.int64()), "n": pa.array(sizes[own].astype("i8"), pa.int64()), "payload": pa.array([entry[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())})
+        own, head = docs[cuts[:-1]], np.array([block], "<u4").tobytes()
+        return pa.table({"cls": pa.array(ids[own], pa.int64()), "n": pa.array(sizes[own].astype("i8"), pa.int64()), "payload": pa.array([head + entry[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())})
 
     dealt = rows.select("_id", "_text").mapInArrow(deal, "block int, ids binary, sizes binary, index binary, low binary")
     return dealt.groupBy("block").applyInArrow(count, "cls long, n long, payload binary")
@@ -148,7 +148,7 @@ def prefixes(shared: DataFrame, percent: int) -> DataFrame:
     """(h, cls, n, pos, k, bins): the shared shingles in each class's prefix.
 
     ``pos`` is the place in rare-first order, ``k`` the number of all shared shingles (the rest is in no other set, so
-    no overlap exceeds it), ``bins`` their counts by hash, for the suffix filter.
+    no overlap exceeds it), ``bins`` their counts by hash, for the suffix filter, on the class's first row only.
     """
     lists = shared.groupBy("cls", "n").agg(F.collect_list("payload").alias("p"))
 
@@ -156,14 +156,16 @@ def prefixes(shared: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             cols: list[list] = [[], [], [], [], [], []]
             for c, n, parts in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                e = np.frombuffer(b"".join(parts), [("f", "<u4"), ("h", "<u8")])
-                take = n - -(-percent * n // 100) + 1 - (n - len(e))
+                e = [np.frombuffer(p, [("f", "<u4"), ("h", "<u4")], offset=4) for p in parts]
+                high = np.repeat([int.from_bytes(p[:4], "little") for p in parts], [len(x) for x in e]).astype("u8")
+                e = np.concatenate(e)
+                h, take = high << np.uint64(32) | e["h"], n - -(-percent * n // 100) + 1 - (n - len(e))
                 if take <= 0:
                     continue
-                order = np.lexsort((e["h"], e["f"]))[:take]
-                bins = np.bincount(e["h"] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(58), minlength=BINS).astype("<u4").tobytes()
+                order = np.lexsort((h, e["f"]))[:take]
+                bins = np.bincount(h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(58), minlength=BINS).astype("<u4").tobytes()
                 k = len(order)
-                for col, v in zip(cols, (e["h"][order].view("i8").tolist(), [c] * k, [n] * k, range(n - len(e), n - len(e) + k), [len(e)] * k, [bins] * k)):
+                for col, v in zip(cols, (h[order].view("i8").tolist(), [c] * k, [n] * k, range(n - len(e), n - len(e) + k), [len(e)] * k, [bins] + [None] * (k - 1))):
                     col.extend(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["h", "cls", "n", "pos", "k", "bins"])
@@ -179,22 +181,24 @@ def may_match(percent: int):
     return (smaller * 100 >= larger * percent) & (F.least("kx", "ky") * (100 + percent) >= both) & (behind * (100 + percent) >= both)
 
 
-def filtered(pairs: DataFrame, percent: int) -> DataFrame:
-    """Distinct (x, y, bound) of pairs (x, y, nx, ny, bx, by) that pass the suffix filter.
+def filtered(pairs: DataFrame, bins: DataFrame, percent: int) -> DataFrame:
+    """Distinct (x, y, bound) of pairs (x, y, nx, ny) that pass the suffix filter; ``bins`` has (cls, bins).
 
-    It bounds the common shingles by the smaller count of each hash bin; ``bound`` is that number.
+    It bounds the common shingles by the smaller count of each hash bin; ``bound`` is that number. The counts join the
+    distinct pairs only, so the prefix rows stay narrow.
     """
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y, nx, ny = (batch.column(k).to_numpy() for k in range(4))
-            bins = [np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u4").reshape(-1, BINS) for k in (4, 5)]
-            most = np.minimum(*bins).sum(axis=1, dtype="i8")
-            ok = most * (100 + percent) >= percent * (nx + ny)
+            x, y, both = (batch.column(k).to_numpy() for k in range(3))
+            counts = [np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u4").reshape(-1, BINS) for k in (3, 4)]
+            most = np.minimum(*counts).sum(axis=1, dtype="i8")
+            ok = most * (100 + percent) >= percent * both
             yield pa.RecordBatch.from_arrays([pa.array(a[ok]) for a in (x, y, most)], ["x", "y", "bound"])
 
-    ordered = pairs.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "nx", "ny", "bx", "by")
-    return ordered.mapInArrow(bound, "x long, y long, bound long").distinct()
+    once = pairs.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), (F.col("nx") + F.col("ny")).alias("both")).distinct()
+    a, b = (bins.select(F.col("cls").alias(v), F.col("bins").alias(f"b{v}")) for v in "xy")
+    return once.join(a, "x").join(b, "y").select("x", "y", "both", "bx", "by").mapInArrow(bound, "x long, y long, bound long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -228,12 +232,13 @@ def class_links(rows: DataFrame, size: int, percent: int) -> tuple[DataFrame, Da
     total = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     blocks = max(16, math.ceil(total / BLOCK_BYTES))
     t = staged(prefixes(shared_shingles(rows, size, blocks), percent), "prefixes")
-    side = lambda v: [F.col("cls").alias(v), F.col("n").alias(f"n{v}"), F.col("k").alias(f"k{v}"), F.col("pos").alias(f"p{v}"), F.col("bins").alias(f"b{v}")]
-    leader = F.max(F.struct((F.col("k") / F.col("n")).alias("part"), "n", "cls", "k", "pos", "bins"))
+    side = lambda v: [F.col("cls").alias(v), F.col("n").alias(f"n{v}"), F.col("k").alias(f"k{v}"), F.col("pos").alias(f"p{v}")]
+    leader = F.max(F.struct((F.col("k") / F.col("n")).alias("part"), "n", "cls", "k", "pos"))
+    bins = t.where("bins is not null").select("cls", "bins")
     busy = t.groupBy("h").agg(F.count("*").alias("members"), leader.alias("l")).where("members > 1")
     leaders = busy.select("h", "l.*").select("h", *side("y"))
     stars = t.select("h", *side("x")).join(leaders, "h").where(may_match(percent))
-    stars = staged(filtered(stars, percent), "stars")
+    stars = staged(filtered(stars, bins, percent), "stars")
     nodes = staged(t.join(busy.select("h"), "h").select("cls").distinct(), "nodes")
     sets = staged(class_sets(rows, nodes, size), "sets")
     # each class is tried with its most promising leader only; the other leaders are left to the last step
@@ -252,7 +257,7 @@ def class_links(rows: DataFrame, size: int, percent: int) -> tuple[DataFrame, Da
     sizes = member.groupBy("h", F.col("n").alias("ny")).agg(F.max("k").alias("most"))
     fits = (F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent) & (F.least("kx", "most") * (100 + percent) >= F.lit(percent) * (F.col("nx") + F.col("ny")))
     sized = other.join(sizes, "h").where(fits).drop("most")
-    rest = filtered(sized.join(whole, ["h", "ny"]).where((F.col("rx") != F.col("ry")) & may_match(percent)), percent)
+    rest = filtered(sized.join(whole, ["h", "ny"]).where((F.col("rx") != F.col("ry")) & may_match(percent)), bins, percent)
     rest = staged(rest.join(tried.select("x", "y"), ["x", "y"], "left_anti"), "rest")
     for last in (False, True):
         sides = rest.select("x", "y", "bound").unionByName(rest.select(F.col("y").alias("x"), F.col("x").alias("y"), "bound"))
