@@ -68,10 +68,12 @@ def classes(rows: DataFrame, size: int) -> DataFrame:
 
 
 def shared_shingles(rows: DataFrame, size: int, blocks: int) -> DataFrame:
-    """(cls, n, payload): per block and class the shingles that two or more classes have, with that number.
+    """(bucket, block, ids, counts, payload): per block and bucket of classes the shingles that two or more classes have.
 
-    A shingle is told by its block and 32 more bits of its hash. Blocks hold about as many shingles at every size, so
-    few are mistaken for shared; that only raises upper bounds, and ``verified`` compares the 64-bit hashes.
+    ``payload`` has the shingles with that number, class by class, ``counts`` how many each class of ``ids`` has. Blocks
+    and buckets are as many, so the rows stay few however many classes a block meets. A shingle is told by its block and
+    32 more bits of its hash. Blocks hold about as many shingles at every size, so few are mistaken for shared; that
+    only raises upper bounds, and ``verified`` compares the 64-bit hashes.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,7 +84,7 @@ def shared_shingles(rows: DataFrame, size: int, blocks: int) -> DataFrame:
         def packed():
             h = np.concatenate(list(sets.values()))
             doc = np.repeat(np.arange(len(sets), dtype="u2"), [len(s) for s in sets.values()])
-            ids, sizes = np.array(list(sets), "i8"), np.array([len(s) for s in sets.values()], "i4")
+            ids = np.array(list(sets), "i8")
             block = ((h >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype("i4")
             order = np.argsort(block, kind="stable")
             cuts = np.flatnonzero(np.diff(block[order], prepend=-1, append=-1))
@@ -92,8 +94,8 @@ def shared_shingles(rows: DataFrame, size: int, blocks: int) -> DataFrame:
                 at = order[a:b]
                 own, index = np.unique(doc[at], return_inverse=True)
                 names.append(int(block[at[0]]))
-                payloads.append([ids[own].tobytes(), sizes[own].tobytes(), index.astype("u2").tobytes(), low[at].tobytes()])
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), *(pa.array([p[k] for p in payloads], pa.binary()) for k in range(4))], ["block", "ids", "sizes", "index", "low"])
+                payloads.append([ids[own].tobytes(), index.astype("u2").tobytes(), low[at].tobytes()])
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), *(pa.array([p[k] for p in payloads], pa.binary()) for k in range(3))], ["block", "ids", "index", "low"])
 
         for batch in batches:
             for text in batch.column(1).to_pylist():
@@ -111,15 +113,14 @@ def shared_shingles(rows: DataFrame, size: int, blocks: int) -> DataFrame:
 
     def count(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
-        ids, sizes, docs, low, base = [], [], [], [], 0
+        ids, docs, low, base = [], [], [], 0
         for i in range(table.num_rows):
             own = np.frombuffer(table.column("ids")[i].as_buffer(), "i8")
             ids.append(own)
-            sizes.append(np.frombuffer(table.column("sizes")[i].as_buffer(), "i4"))
             docs.append(np.frombuffer(table.column("index")[i].as_buffer(), "u2").astype("i4") + base)
             low.append(np.frombuffer(table.column("low")[i].as_buffer(), "u4"))
             base += len(own)
-        ids, sizes, docs, h = np.concatenate(ids), np.concatenate(sizes), np.concatenate(docs), np.concatenate(low)
+        ids, docs, h = np.concatenate(ids), np.concatenate(docs), np.concatenate(low)
         _, first = np.unique(ids, return_index=True)  # a class that several chunks sent counts once
         once = np.zeros(len(ids), bool)
         once[first] = True
@@ -127,57 +128,72 @@ def shared_shingles(rows: DataFrame, size: int, blocks: int) -> DataFrame:
         h, docs = h[keep], docs[keep]
         order = np.argsort(h, kind="stable")
         h, docs = h[order], docs[order]
-        cuts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1], [True]))) if len(h) else np.zeros(1, "i8")
-        runs = np.diff(cuts)
+        runs = np.diff(np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1], [True])))) if len(h) else np.zeros(0, "i8")
         freq = np.repeat(runs, runs)
         many = freq > 1
         h, docs, freq = h[many], docs[many], freq[many]
-        order = np.argsort(docs, kind="stable")
-        h, docs, freq = h[order], docs[order], freq[order]
-        cuts = np.flatnonzero(np.diff(docs, prepend=-1, append=-1)) if len(docs) else np.zeros(1, "i8")
+        bucket = ids[docs] % blocks
+        order = np.lexsort((docs, bucket))
+        h, docs, freq, bucket = h[order], docs[order], freq[order], bucket[order]
         entry = np.zeros(len(h), [("f", "<u4"), ("h", "<u4")])
         entry["f"], entry["h"] = freq, h
-        own, head = docs[cuts[:-1]], np.array([block], "<u4").tobytes()
-        return pa.table({"cls": pa.array(ids[own], pa.int64()), "n": pa.array(sizes[own].astype("i8"), pa.int64()), "payload": pa.array([head + entry[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())})
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)) if len(h) else np.zeros(1, "i8")
+        names, payloads = [], []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            starts = np.flatnonzero(np.diff(docs[a:b], prepend=-1, append=-1))
+            names.append(int(bucket[a]))
+            payloads.append([ids[docs[a:b][starts[:-1]]].tobytes(), np.diff(starts).astype("<i4").tobytes(), entry[a:b].tobytes()])
+        return pa.table({"bucket": pa.array(names, pa.int64()), "block": pa.array([block] * len(names), pa.int32())} | {name: pa.array([p[k] for p in payloads], pa.binary()) for k, name in enumerate(("ids", "counts", "payload"))})
 
-    dealt = rows.select("_id", "_text").mapInArrow(deal, "block int, ids binary, sizes binary, index binary, low binary")
-    return dealt.groupBy("block").applyInArrow(count, "cls long, n long, payload binary")
+    dealt = rows.select("_id", "_text").mapInArrow(deal, "block int, ids binary, index binary, low binary")
+    return dealt.groupBy("block").applyInArrow(count, "bucket long, block int, ids binary, counts binary, payload binary")
 
 
-def prefixes(shared: DataFrame, percent: int) -> DataFrame:
-    """(h, cls, n, pos, k, bins): the shared shingles in each class's prefix.
+def prefixes(shared: DataFrame, known: DataFrame, percent: int, blocks: int) -> DataFrame:
+    """(h, cls, n, pos, k, bins): the shared shingles in each class's prefix; ``known`` has (cls, n).
 
     ``pos`` is the place in rare-first order, ``k`` the number of all shared shingles (the rest is in no other set, so
     no overlap exceeds it), ``bins`` their counts by hash, for the suffix filter, on the class's first row only.
     """
-    lists = shared.groupBy("cls", "n").agg(F.collect_list("payload").alias("p"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols: list[list] = [[], [], [], [], [], []]
-            for c, n, parts in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                e = [np.frombuffer(p, [("f", "<u4"), ("h", "<u4")], offset=4) for p in parts]
-                high = np.repeat([int.from_bytes(p[:4], "little") for p in parts], [len(x) for x in e]).astype("u8")
-                e = np.concatenate(e)
-                h, take = high << np.uint64(32) | e["h"], n - -(-percent * n // 100) + 1 - (n - len(e))
-                if take <= 0:
-                    continue
-                order = np.lexsort((h, e["f"]))[:take]
-                bins = np.bincount(h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(58), minlength=BINS).astype("<u4").tobytes()
-                k = len(order)
-                for col, v in zip(cols, (h[order].view("i8").tolist(), [c] * k, [n] * k, range(n - len(e), n - len(e) + k), [len(e)] * k, [bins] + [None] * (k - 1))):
-                    col.extend(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["h", "cls", "n", "pos", "k", "bins"])
-
-    return lists.mapInArrow(run, "h long, cls long, n long, pos long, k long, bins binary")
+    def run(sent: pa.Table, sizes: pa.Table) -> pa.Table:
+        cls, f, h = [np.zeros(0, "i8")], [np.zeros(0, "i8")], [np.zeros(0, "u8")]
+        for i in range(sent.num_rows):
+            ids, counts = (np.frombuffer(sent.column(c)[i].as_buffer(), t) for c, t in (("ids", "i8"), ("counts", "<i4")))
+            e = np.frombuffer(sent.column("payload")[i].as_buffer(), [("f", "<u4"), ("h", "<u4")])
+            cls.append(np.repeat(ids, counts))
+            f.append(e["f"].astype("i8"))
+            h.append(np.uint64(sent.column("block")[i].as_py()) << np.uint64(32) | e["h"])
+        cls, f, h = np.concatenate(cls), np.concatenate(f), np.concatenate(h)
+        order = np.lexsort((h, f, cls))
+        cls, h = cls[order], h[order]
+        first = np.flatnonzero(np.concatenate(([True], cls[1:] != cls[:-1]))) if len(cls) else np.zeros(0, "i8")
+        k = np.diff(np.append(first, len(cls)))
+        listed, size = (sizes.column(c).to_numpy() for c in ("cls", "n"))
+        by_id = np.argsort(listed)
+        n = size[by_id][np.searchsorted(listed[by_id], cls[first])]
+        at = np.repeat(np.arange(len(first)), k)
+        place = np.arange(len(cls)) - first[at]
+        bins = np.bincount(at * BINS + (h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(58)).astype("i8"), minlength=len(first) * BINS).astype("<u4").reshape(-1, BINS)
+        keep = np.flatnonzero(place <= (k + (-percent * n) // 100)[at])
+        at, place = at[keep], place[keep]
+        packed = [bins[a].tobytes() if p == 0 else None for a, p in zip(at.tolist(), place.tolist())]
+        longs = (h[keep].view("i8"), cls[keep], n[at], (n - k)[at] + place, k[at])
+        return pa.table({name: pa.array(v, pa.int64()) for name, v in zip(("h", "cls", "n", "pos", "k"), longs)} | {"bins": pa.array(packed, pa.binary())})
+
+    sizes = known.select(F.pmod("cls", F.lit(blocks).cast("long")).alias("bucket"), "cls", "n")
+    return shared.groupBy("bucket").cogroup(sizes.groupBy("bucket")).applyInArrow(run, "h long, cls long, n long, pos long, k long, bins binary")
 
 
 def may_match(percent: int):
-    """Length, overlap and positional filter on columns nx, ny (sizes), kx, ky (shared shingles), px, py (places)."""
+    """Length, overlap and positional filter on columns nx, ny (sizes), kx, ky (shared shingles), px, py (places).
+
+    All sets have the same order, so behind the first shingle that two sets share lie all others; a similar pair passes
+    in that shingle's bucket, whatever the buckets of its later ones say.
+    """
     smaller, larger = F.least("nx", "ny"), F.greatest("nx", "ny")
     both = F.lit(percent) * (F.col("nx") + F.col("ny"))
-    behind = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) + F.least("px", "py")
+    behind = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
     return (smaller * 100 >= larger * percent) & (F.least("kx", "ky") * (100 + percent) >= both) & (behind * (100 + percent) >= both)
 
 
@@ -227,11 +243,14 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return found.select(F.col("id").alias("cls"), F.col("component").alias("root"))
 
 
-def class_links(rows: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links (x, y) that join every component of similar classes, and (cls, root) of all classes with a prefix bucket."""
+def class_links(rows: DataFrame, known: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links (x, y) that join every component of similar classes, and (cls, root) of all classes with a prefix bucket.
+
+    ``known`` has every class once, as (cls, n).
+    """
     total = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     blocks = max(16, math.ceil(total / BLOCK_BYTES))
-    t = staged(prefixes(shared_shingles(rows, size, blocks), percent), "prefixes")
+    t = staged(prefixes(shared_shingles(rows, size, blocks), known, percent, blocks), "prefixes")
     side = lambda v: [F.col("cls").alias(v), F.col("n").alias(f"n{v}"), F.col("k").alias(f"k{v}"), F.col("pos").alias(f"p{v}")]
     leader = F.max(F.struct((F.col("k") / F.col("n")).alias("part"), "n", "cls", "k", "pos"))
     bins = t.where("bins is not null").select("cls", "bins")
@@ -303,10 +322,10 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
     """Slim rows (_id, _tie, n, cls, check), and (cls, root) of every class."""
     rows = texts(docs, id_col, text_col).withColumn("_tie", F.xxhash64("_text"))
     slim = staged(classes(rows, size), "classes")
-    known = slim.where("cls is not null").groupBy("cls").agg(F.min("check").alias("a"), F.max("check").alias("b"))
+    known = slim.where("cls is not null").groupBy("cls").agg(F.min("check").alias("a"), F.max("check").alias("b"), F.min("n").alias("n"))
     if known.where("a <> b").limit(1).count():
         raise RuntimeError("two shingle sets share a digest")
-    _, roots = class_links(rows.where("_text is not null"), size, percent)
+    _, roots = class_links(rows.where("_text is not null"), known, size, percent)
     return slim, known.select("cls").join(roots, "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"))
 
 
