@@ -218,7 +218,13 @@ def filtered(pairs: DataFrame, bins: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (x, y) whose whole sets are similar enough. Each set travels once per pair, in binary form."""
+    """The pairs (x, y) whose whole sets are similar enough. Each set travels once per pair, in binary form.
+
+    The classes that any pair names are written first: while they are few, Spark sees their size and leaves the other
+    sets where they are; when they are many, one shuffle of the sets by class serves all three joins.
+    """
+    named = staged(pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct(), "named")
+    sets = sets.join(named, "cls", "left_semi")
     a = sets.select(F.col("cls").alias("x"), F.col("s").alias("sx"))
     b = sets.select(F.col("cls").alias("y"), F.col("s").alias("sy"))
     both = pairs.select("x", "y").join(a, "x").join(b, "y").select("x", "y", "sx", "sy")
@@ -267,7 +273,7 @@ def class_links(rows: DataFrame, known: DataFrame, size: int, percent: int) -> t
     roots = staged(components(nodes, links), "star_roots")
 
     # pairs between components: members outside a bucket's largest component against all of it
-    member = t.join(roots, "cls")
+    member = staged(t.drop("bins").join(roots, "cls"), "member")
     parts = member.groupBy("h", "root").agg(F.count("*").alias("c"))
     main = parts.groupBy("h").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("c", "root")).alias("main")).where("roots > 1")
     other = member.join(main, "h").where("root <> main").select("h", *side("x"), F.col("root").alias("rx"))
@@ -280,7 +286,7 @@ def class_links(rows: DataFrame, known: DataFrame, size: int, percent: int) -> t
     rest = staged(rest.join(tried.select("x", "y"), ["x", "y"], "left_anti"), "rest")
     for last in (False, True):
         sides = rest.select("x", "y", "bound").unionByName(rest.select(F.col("y").alias("x"), F.col("x").alias("y"), "bound"))
-        chosen = rest.select("x", "y") if last else best(sides)
+        chosen = rest.select("x", "y") if last else staged(best(sides), "chosen")
         new = staged(verified(chosen, sets, percent), "links")
         links = links.unionByName(new)
         roots = staged(components(nodes, links), "roots")
