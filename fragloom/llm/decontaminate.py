@@ -7,6 +7,8 @@ of the documents are joined; around each hit, the words on the hit's diagonal ar
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -89,30 +91,40 @@ def hit_rows(docs: DataFrame, filled: np.ndarray) -> DataFrame:
     return docs.select("_id", "_text", "_tie").mapInArrow(run, f"_id {kind}, _tie long, tokens binary, seed array<long>, at array<int>")
 
 
-def best_segment(same: np.ndarray, penalty: int) -> tuple[int, int]:
-    """Ends of the part with the largest sum of 1 per equal and -penalty per other word."""
-    run = np.concatenate(([0], np.cumsum(np.where(same, 1, -penalty))))
-    low = np.minimum.accumulate(run)
-    end = int(np.argmax(run - low))
-    start = int(np.argmin(run[: end + 1]))
-    return start, end
+@lru_cache
+def ratio(share: float) -> tuple[int, int]:
+    return Fraction(share).limit_denominator(1000).as_integer_ratio()
 
 
 def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int, min_words: int = MIN_WORDS, min_share: float = MIN_SHARE) -> tuple[int, int, int] | None:
-    """Start in the document, words and equal words of an overlap on the diagonal (document place - item place).
+    """Start in the document, words and equal words of the best overlap on the diagonal (document place - item place).
 
-    A strict search finds long equal runs, a lenient one finds overlaps with evenly spread substitutions.
+    Of all spans of at least ``min_words`` words (or the whole item) with the share of equal words, the one with the most
+    equal words, then the fewest words, then the smallest start. Linear: prefix sums of a score that is not below zero
+    where the share is reached, and for each end the first start whose sum is no larger.
     """
     lo, hi = max(0, -diagonal), min(len(item), len(doc) - diagonal)
-    if hi <= lo:
+    least = min(min_words, len(item))
+    if hi - lo < max(least, 1):
         return None
     same = item[lo:hi] == doc[lo + diagonal : hi + diagonal]
-    for penalty in (4, 2):
-        a, b = best_segment(same, penalty)
-        equal = int(same[a:b].sum())
-        if b - a >= min(min_words, len(item)) and equal >= min_share * (b - a):
-            return lo + diagonal + a, b - a, equal
-    return None
+    part, whole = ratio(min_share)
+    if np.count_nonzero(same) * whole < part * least:
+        return None
+    score = np.concatenate(([0], np.cumsum(whole * same.astype("i8") - part)))
+    before = np.concatenate(([0], np.cumsum(same)))
+    ends = np.arange(least, len(score))
+    starts = np.searchsorted(-np.minimum.accumulate(score), -score[ends])
+    ok = starts <= ends - least
+    most = int((before[ends] - before[starts])[ok].max(initial=0))
+    if not most:
+        return None
+    # the shortest of the spans with so many equal words: from one equal word to another, filled up to the minimum
+    at = np.flatnonzero(same)
+    first, last = at[: len(at) - most + 1], at[most - 1 :]
+    size = np.maximum(last - first + 1, least)
+    k = int(np.argmin(size))
+    return lo + diagonal + max(0, int(last[k] + 1 - size[k])), int(size[k]), most
 
 
 def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

@@ -279,6 +279,28 @@ def bench_overlaps(text, items):
     return out
 
 
+def best_span(same, least):
+    """Start, words, equal words of the best of all spans."""
+    spans = [(sum(same[a:b]), a - b, -a) for a in range(len(same)) for b in range(a + least, len(same) + 1)]
+    equal, size, start = max((x for x in spans if 5 * x[0] >= -4 * x[1]), default=(0, 0, 0))
+    return (-start, -size, equal) if equal else None
+
+
+def test_overlap_is_exact():
+    r = random.Random(8)
+    for n, changed in [(12, 1), (12, 2), (13, 1), (14, 2), (15, 3), (16, 3), (20, 4), (9, 1), (40, 8)] * 20:
+        item = np.arange(1, n + 1, dtype="u8")
+        doc = np.concatenate((np.full(5, 900, "u8"), item, np.full(7, 901, "u8")))
+        doc[5 + np.array(r.sample(range(n), changed))] = 902
+        assert decontaminate.overlap(doc, item, 5) == (5 + (s := best_span(list(doc[5 : 5 + n] == item), min(12, n)))[0], *s[1:])
+    for _ in range(400):  # random likeness, items that begin or end outside the document
+        item, k = np.arange(1, r.choice([8, 12, 30, 60]) + 1, dtype="u8"), r.randrange(-20, 20)
+        doc = np.array([i - k + 1 if r.random() < r.choice([0.7, 0.9]) else 999 for i in range(50)], "i8").astype("u8")
+        lo, hi = max(0, -k), min(len(item), len(doc) - k)
+        want = best_span([bool(item[i] == doc[i + k]) for i in range(lo, hi)], min(12, len(item)))
+        assert decontaminate.overlap(doc, item, k) == (want and (lo + k + want[0], *want[1:]))
+
+
 def test_decontamination(spark):
     r = random.Random(4)
     vocabulary = [f"w{k}" for k in range(400)]
