@@ -144,8 +144,9 @@ def recovered(t):
     p, f, e, chain = chained(t)
     ranges = fr.output_ranges(chain.join(blocks, ["media_id", "fragment_id"]), ["media_id"])
     segments = t.once("part_segments", lambda: materialize(fr.reassemble(ranges, ["media_id"])))
-    # the structure check reads one file per row, like any file-per-row scan
-    texts = segments.where("segment_no = 0").select("media_id", latin(F.col("content")).alias("t"))
+    # the structure check reads one whole file per row, as parts() above does
+    whole = segments.groupBy("media_id").agg(F.expr("listagg(content, X'') within group (order by segment_no)").alias("content"))
+    texts = whole.select("media_id", latin(F.col("content")).alias("t"))
     states = asm.recovery_state(f, chain, p, asm.unresolved_joins(f), asm.xref_check(texts))
     return states, segments
 

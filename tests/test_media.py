@@ -10,6 +10,7 @@ from fragloom import streaming
 from fragloom.functions import formats as fm, text as tx, tokens as tk
 from fragloom.functions.blob import byte_entropy, latin
 from fragloom.operators import assemble as asm, damage, fragments as fr, ml, recovery as rc
+from fragloom.plans import catalog
 from fragloom.sources import bundles as bd, datasets as dsrc
 from fragloom.sources.media import media_scan, unchanged_media
 
@@ -63,6 +64,16 @@ def test_complete_shuffled_media(verdicts):
     assert (v.status, v.recovery_state, v.byte_match, s.placed) == ("verified", "COMPLETE AND VERIFIED", True, 10)
 
 
+def test_file_of_several_segments(spark, tmp_path):
+    """An intact file beyond the first segment has its table and EOF mark in a later one."""
+    long = "\n".join(f"{k} " + "words " * 5_000 for k in range(80))
+    spark.createDataFrame([(12, long), (24, "short\ntext")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    state, verdict = ({r.media_id: r for r in catalog.QUERIES[q](spark, str(tmp_path)).collect()} for q in ("recovery_state", "integrity_verdict"))
+    assert len(long) > 2 * fr.SEGMENT
+    assert {(m, r.recovery_state) for m, r in state.items()} == {("pdf-12", "COMPLETE AND VERIFIED"), ("pdf-24", "COMPLETE AND VERIFIED")}
+    assert {r.status for r in verdict.values()} == {"verified"}
+
+
 def test_missing_fragments(verdicts):
     v, s = verdicts[0]["missing"], verdicts[1]["missing"]
     assert (v.status, v.recovery_state, s.placed) == ("incomplete", "PARTIAL", 8)
