@@ -85,7 +85,7 @@ def format_scores(t: Column, filename: Column) -> dict[str, Column]:
         ),
         "mp4": _score(
             [(ftyp == 5, 0.6), (ftyp > 0, 0.4)],
-            [(has(head(t, 1 << 20), "mdat"), 0.25)],
+            [(has(t, "mdat"), 0.25)],
             [(has(t, "moov"), 0.25)],
             [(brands, 0.1)],
             [(ends(".mp4", ".m4v", ".mov"), 0.1)],
@@ -152,11 +152,10 @@ DAMAGE_CLASSES = [
 
 def damage_diagnosis(t: Column) -> dict[str, Column]:
     """Damage classes, header facts and integrity score of a whole medium (latin text)."""
-    window = head(t, 1 << 20)
     empty = F.length(t) == 0
-    version = F.regexp_extract(window, r"%PDF-([0-9]+\.[0-9]+)", 1)
+    version = F.regexp_extract(t, r"%PDF-([0-9]+\.[0-9]+)", 1)
     has_header = version != ""
-    offset = F.regexp_instr(window, F.lit(r"%PDF-[0-9]+\.[0-9]+")).cast("long") - 1
+    offset = F.regexp_instr(t, F.lit(r"%PDF-[0-9]+\.[0-9]+")).cast("long") - 1
     eof, startxref, trailer = has(t, "%%EOF"), has(t, "startxref"), has(t, "trailer")
     xref = any_of(t, "xref", "/Type /XRef", "/Type/XRef")
     obj = matches(t, LEFT + BARE_OBJECT + RIGHT)
@@ -215,7 +214,7 @@ def surviving_features(t: Column) -> dict[str, Column]:
     box = "/MediaBox" + SPACE + r"*\[" + SPACE + "*" + (SPACE + "+").join([number] * 4) + SPACE + r"*\]"
     side = lambda i, default: F.coalesce(F.nullif(F.regexp_extract(t, box, i), F.lit("")).try_cast("double"), F.lit(default))
     columns = {
-        "pdf_version": F.coalesce(F.nullif(F.regexp_extract(head(t, 1 << 20), r"%PDF-([0-9]+\.[0-9]+)", 1), F.lit("")), F.lit("1.4")),
+        "pdf_version": F.coalesce(F.nullif(F.regexp_extract(t, r"%PDF-([0-9]+\.[0-9]+)", 1), F.lit("")), F.lit("1.4")),
         "fonts": F.when(F.size(fonts) > 0, fonts).otherwise(F.array(F.lit("Helvetica"), F.lit("Helvetica-Bold"))),
         "media_box": F.array(side(1, 0.0), side(2, 0.0), side(3, 612.0), side(4, 792.0)),
     }

@@ -138,9 +138,9 @@ def _hex_text(s: Column) -> Column:
 def text_literals(t: Column) -> Column:
     """Distinct text strings in order: (..) Tj, <hex> Tj, [..] TJ, else bare literals."""
     ws = tk.SPACE
-    paren, hexa = r"\(([^)\r\n]{1,250})\)", "<([0-9A-Fa-f \t\r\n\f]{2,500})>"
+    shown_paren, paren, hexa = r"\(([^)\r\n]{1,250})\)", r"\(([^)\r\n]+)\)", "<([0-9A-Fa-f \t\r\n\f]{2,})>"
     long_enough = lambda arr: F.filter(arr, lambda s: F.length(s) >= 2)
-    plain = F.transform(F.regexp_extract_all(t, F.lit(paren + ws + "*Tj"), F.lit(1)), _clean)
+    plain = F.transform(F.regexp_extract_all(t, F.lit(shown_paren + ws + "*Tj"), F.lit(1)), _clean)
     coded = F.filter(F.transform(F.regexp_extract_all(t, F.lit(hexa + ws + "*Tj"), F.lit(1)), _hex_text), lambda s: s != "")
     pieces = lambda a: F.filter(
         F.transform(
@@ -149,7 +149,7 @@ def text_literals(t: Column) -> Column:
         ),
         lambda s: s != "",
     )
-    arrays = F.transform(F.regexp_extract_all(t, F.lit(r"\[([^\]]{1,2000})\]" + ws + "*TJ"), F.lit(1)), lambda a: F.trim(F.array_join(pieces(a), " ")))
+    arrays = F.transform(F.regexp_extract_all(t, F.lit(r"\[([^\]]+)\]" + ws + "*TJ"), F.lit(1)), lambda a: F.trim(F.array_join(pieces(a), " ")))
     shown = F.array_distinct(F.concat(long_enough(plain), coded, long_enough(arrays)))
     bare = F.transform(F.regexp_extract_all(t, F.lit(r"\(([^)\r\n]{4,120})\)"), F.lit(1)), lambda s: F.trim(F.regexp_replace(s, r"[\x80-\xff]", "")))
     usable = F.filter(

@@ -74,6 +74,21 @@ def test_file_of_several_segments(spark, tmp_path):
     assert {r.status for r in verdict.values()} == {"verified"}
 
 
+def test_no_upper_bounds(spark):
+    """Long hex strings and arrays are read whole; a mark beyond the first 1 MiB counts."""
+    long = "word " * 700
+    coded = "<" + (b"hex " * 300).hex() + "> Tj"
+    far = "\x01" * (1 << 20) + "%PDF-1.7 mdat"
+    t = spark.createDataFrame([(coded, f"[({long}) 20 (end)] TJ", far)], "coded string, shown string, far string")
+    checks = fm.damage_diagnosis(F.col("far"))
+    r = t.select(
+        rc.text_literals(F.col("coded")).alias("coded"), rc.text_literals(F.col("shown")).alias("shown"), checks["detected_version"].alias("v"), checks["header_offset"].alias("at"),
+        fm.surviving_features(F.col("far"))["pdf_version"].alias("kept"),
+    ).first()
+    assert r.coded == [("hex " * 300).strip()] and r.shown == [long.strip() + " end"]
+    assert (r.v, r.at, r.kept) == ("1.7", 1 << 20, "1.7")
+
+
 def test_missing_fragments(verdicts):
     v, s = verdicts[0]["missing"], verdicts[1]["missing"]
     assert (v.status, v.recovery_state, s.placed) == ("incomplete", "PARTIAL", 8)
