@@ -28,7 +28,7 @@ EXTRA_PHRASES = {
     "the isc license": "isc",
     "cc0 1 0 universal": "cc0",
 }
-# Identifier tags: an expression follows up to the end of the line.
+# Identifier tags: the line goes on with an expression.
 TAGS = ("spdx-license-identifier:",)
 TAG_WORDS = "spdx license identifier"
 # Identifiers that allow use without further terms; used to evaluate expressions.
@@ -98,6 +98,49 @@ def parse(expression: str, permissive=PERMISSIVE) -> tuple[set[str], bool] | Non
     return operands[0] if len(operands) == 1 and not want_operand else None
 
 
+def bare(line: str) -> str:
+    """A line without white space around it and without signs and comment ends behind it."""
+    while True:
+        cut = line.strip().rstrip("\"'*#;,. \t")
+        cut = cut.removesuffix("*/").removesuffix("-->")
+        if cut == line:
+            return cut
+        line = cut
+
+
+def looks_licensed(name: str) -> bool:
+    return name in PERMISSIVE or name in SAME or name.startswith("licenseref-") or name.endswith("-exception") or any(c.isdigit() for c in name)
+
+
+def leading(line: str) -> str:
+    """The longest well-formed expression that a line begins with, empty without one.
+
+    Where a plain word follows it, as in ``see the file``, only operands that look like licences count: known ones and
+    those with a digit, ``LicenseRef-`` or ``-exception``. A sign behind an expression ends it whatever its operands are.
+    """
+    depth, want_operand, licensed, end, last = 0, True, True, 0, 0
+    for m in TOKEN.finditer(line):
+        token = m[0].lower()
+        if want_operand and token == "(":
+            depth += 1
+        elif want_operand:
+            name = token.rstrip(".:-") if depth == 0 else token
+            if name in PRECEDENCE or not IDENTIFIER.match(name):
+                break
+            want_operand, licensed, last = False, licensed and looks_licensed(name), m.start() + len(name)
+            if name != token:
+                return line[:last]
+        elif token == ")" and depth:
+            depth, last = depth - 1, m.end()
+        elif token in PRECEDENCE:
+            want_operand = True
+        else:
+            return line[:last] if depth == 0 and not token[0].isalnum() and token != "(" else line[:end]
+        if depth == 0 and not want_operand and licensed:
+            end = last
+    return line[:end]
+
+
 def automaton(base: dict[str, str], extra: dict[str, str]):
     import ahocorasick
 
@@ -139,8 +182,11 @@ def scan_text(text: str | None, found) -> tuple:
     if tagged:
         for tag in TAGS:
             for m in re.finditer(re.escape(tag) + r"([^\n\r]*)", text or "", re.IGNORECASE):
-                expression = re.sub(r"(\*/|-->|[\"'*#;,.]+)\s*\Z", "", m[1].strip()).strip()
+                expression = bare(m[1])
                 result = parse(expression)
+                if result is None:
+                    expression = leading(expression).strip()
+                    result = parse(expression)
                 if result is not None:
                     expressions.append(expression)
                     extra |= {SAME.get(x, x) for x in result[0]}
@@ -153,7 +199,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Licence evidence per row, whole texts, no shuffle.
 
     Returns id, ``n_words``, ``n_base`` (all places of base phrases), ``first_word``/``last_word`` (starts, from 0),
-    ``base_labels``, ``labels`` (arrays, distinct and sorted), ``expressions`` (well-formed ones after identifier tags),
+    ``base_labels``, ``labels`` (arrays, distinct and sorted), ``expressions`` (the longest well-formed ones after identifier tags),
     ``usable`` (all expressions met by permissive licences; null without one) and ``score``: 1 with an expression,
     else 1 - 2^-places, 0 without evidence. Null and empty texts give zeros, nulls and empty lists; rows with equal
     or null ids stay separate rows; other columns are not read.

@@ -226,6 +226,19 @@ def test_licenses(spark):
     assert got[5].labels == ["gpl-3"] and got[5].expressions == []
 
 
+def test_expression_with_text_behind_it():
+    found = licenses.automaton(licenses.BASE_PHRASES, licenses.EXTRA_PHRASES)
+    want = {
+        "MIT. Some prose": ["mit"], "MIT Copyright 2020 X": ["mit"], "MIT. */": ["mit"], "MIT. */ -->": ["mit"], "MIT-->": ["mit"], "MIT */ int x;": ["mit"],
+        "(MIT OR GPL-2.0+) and this notice": ["gpl-2.0+", "mit"], "MIT or later": ["later", "mit"], "MIT or later ones": ["mit"], "OpenSSL, see there": ["openssl"],
+        "GPL-2.0-only WITH Classpath-exception-2.0 OR Apache-2.0 text": ["apache-2", "gpl-2.0-only"], "MIT OR": ["mit"], "see the file": [], "(MIT": [], "OR MIT": [], "": [], "...": [],
+    }
+    for text, labels in want.items():
+        got = licenses.scan_text(f"// SPDX-License-Identifier: {text}\nnext", found)
+        assert got[5] == labels and bool(got[6]) == bool(labels), (text, got)
+    assert licenses.scan_text("spdx-license-identifier: MIT " + "# " * 100_000 + "x", found)[5] == ["mit"]
+
+
 # -- repeats -----------------------------------------------------------------------------------------------------
 
 
