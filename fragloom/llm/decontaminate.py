@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from fragloom.llm.common import hash_filter, in_filter, staged, texts, word_hashes
 
 MASKS = ("1101001011", "10110111")  # 1: the word counts, 0: any word may stand there
+SHORTEST = min(map(len, MASKS))  # items with fewer words are found by all their words
 MIN_WORDS = 12  # words an overlap must span, or the whole item if that has fewer
 MIN_SHARE = 0.8  # of them equal
 # Lower-cased bytes: ASCII signs part words; longer characters belong to them.
@@ -46,25 +47,41 @@ def seeds(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), np.concatenate(at)
 
 
+def whole_seeds(t: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of each window of the given lengths, each hash once at its first place."""
+    out, at = [np.zeros(0, "u8")], [np.zeros(0, "i4")]
+    for size in lengths:
+        n = len(t) - size + 1
+        if size and n > 0:
+            h = np.full(n, len(MASKS) + size, "u8")
+            for i in range(size):
+                h = (h ^ t[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+            h, first = np.unique(h, return_index=True)
+            out.append(h)
+            at.append(first.astype("i4"))
+    return np.concatenate(out), np.concatenate(at)
+
+
 def item_rows(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
     """Benchmark texts, each once under its smallest id, as token bytes with seeds and filter places."""
-    rows = texts(items, item_col, text_col).where("_text is not null").groupBy("_text").agg(F.min("_id").alias("item"))
+    rows = texts(items, item_col, text_col).where("_text is not null").groupBy("_text").agg(F.min("_id").alias("item")).withColumn("key", F.xxhash64("_text"))
     kind = rows.schema["item"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[bytes, int] = {}
         for batch in batches:
             toks = [tokens(t, memo) for t in batch.column(1).to_pylist()]
-            found = [seeds(t) for t in toks]
+            found = [seeds(t) if len(t) >= SHORTEST else whole_seeds(t, [len(t)]) for t in toks]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([t.tobytes() for t in toks], pa.binary()), pa.array([h.view("i8") for h, _ in found], pa.list_(pa.int64())), pa.array([a for _, a in found], pa.list_(pa.int32()))],
-                ["item", "item_tokens", "seed", "at"],
+                [batch.column(0), batch.column(2), pa.array([t.tobytes() for t in toks], pa.binary()), pa.array([h.view("i8") for h, _ in found], pa.list_(pa.int64())), pa.array([a for _, a in found], pa.list_(pa.int32()))],
+                ["item", "key", "item_tokens", "seed", "at"],
             )
 
-    return rows.select("item", "_text").mapInArrow(run, f"item {kind}, item_tokens binary, seed array<long>, at array<int>")
+    return rows.select("item", "_text", "key").mapInArrow(run, f"item {kind}, key long, item_tokens binary, seed array<long>, at array<int>")
 
 
-def hit_rows(docs: DataFrame, filled: np.ndarray) -> DataFrame:
+def hit_rows(docs: DataFrame, filled: np.ndarray, lengths: list[int]) -> DataFrame:
     """Documents with a seed that passes the filter: their token bytes, and the seeds with their places."""
     shared = docs.sparkSession.sparkContext.broadcast(filled)
     kind = docs.schema["_id"].dataType.simpleString()
@@ -75,7 +92,7 @@ def hit_rows(docs: DataFrame, filled: np.ndarray) -> DataFrame:
             keep, toks, hit_seeds, hit_places = [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 t = tokens(text, memo)
-                h, at = seeds(t)
+                h, at = (np.concatenate(x) for x in zip(seeds(t), whole_seeds(t, lengths)))
                 hit = np.flatnonzero(in_filter(h, bitmap))
                 if len(hit):
                     keep.append(i)
@@ -130,17 +147,20 @@ def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int, min_words: int = M
 def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Verified overlaps: (_id, _tie, item, start, words, equal), the best of each document and distinct item text.
 
-    Items with fewer words than the shortest mask (8) have no seed and match nothing. Only documents with a hit go on;
+    Items with fewer words than the shortest mask (8) match word for word; items without words match nothing. A null item
+    id is an id like others. Only documents with a hit go on;
     the filter's size is fixed, so a larger benchmark only makes it let more through to the join.
     """
     bench = staged(item_rows(items, item_col, item_text_col), "bench")
+    sizes = bench.select((F.length("item_tokens") / 8).cast("int").alias("n")).where(F.col("n").between(1, SHORTEST - 1)).distinct()
+    lengths = sorted(x.n for x in sizes.collect())
     rows = texts(docs, id_col, text_col).where("_text is not null").withColumn("_tie", F.xxhash64("_text"))
-    hits = staged(hit_rows(rows, hash_filter(bench.select(F.explode("seed").alias("h")))), "hits")
+    hits = staged(hit_rows(rows, hash_filter(bench.select(F.explode("seed").alias("h"))), lengths), "hits")
     a = hits.select("_id", "_tie", F.explode(F.arrays_zip("seed", "at")).alias("x")).select("_id", "_tie", "x.seed", F.col("x.at").alias("doc_at"))
-    b = bench.select("item", F.explode(F.arrays_zip("seed", "at")).alias("x")).select("item", "x.seed", F.col("x.at").alias("item_at"))
-    pairs = a.join(b, "seed").select("_id", "_tie", "item", (F.col("doc_at") - F.col("item_at")).alias("diagonal")).distinct()
+    b = bench.select("key", F.explode(F.arrays_zip("seed", "at")).alias("x")).select("key", "x.seed", F.col("x.at").alias("item_at"))
+    pairs = a.join(b, "seed").select("_id", "_tie", "key", (F.col("doc_at") - F.col("item_at")).alias("diagonal")).distinct()
     by_doc = hits.select(F.col("_id").alias("_hid"), F.col("_tie").alias("_htie"), "tokens").dropDuplicates(["_hid", "_htie"])
-    full = pairs.join(by_doc, (F.col("_tie") == F.col("_htie")) & F.col("_id").eqNullSafe(F.col("_hid"))).join(bench.select("item", "item_tokens"), "item")
+    full = pairs.join(by_doc, (F.col("_tie") == F.col("_htie")) & F.col("_id").eqNullSafe(F.col("_hid"))).join(bench.select("key", "item", "item_tokens"), "key")
     id_type, item_type = full.schema["_id"].dataType.simpleString(), full.schema["item"].dataType.simpleString()
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,11 +174,11 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
                     keep.append(i)
                     found.append(hit)
             slim = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([slim.column(0), slim.column(1), slim.column(2), *(pa.array([f[k] for f in found], pa.int32()) for k in range(3))], ["_id", "_tie", "item", "start", "words", "equal"])
+            yield pa.RecordBatch.from_arrays([slim.column(0), slim.column(1), slim.column(2), slim.column(6), *(pa.array([f[k] for f in found], pa.int32()) for k in range(3))], ["_id", "_tie", "item", "key", "start", "words", "equal"])
 
-    good = full.select("_id", "_tie", "item", "diagonal", "tokens", "item_tokens").mapInArrow(check, f"_id {id_type}, _tie long, item {item_type}, start int, words int, equal int")
+    good = full.select("_id", "_tie", "item", "diagonal", "tokens", "item_tokens", "key").mapInArrow(check, f"_id {id_type}, _tie long, item {item_type}, key long, start int, words int, equal int")
     best = F.max(F.struct("equal", (-F.col("words")).alias("w"), (-F.col("start")).alias("s"))).alias("b")
-    return good.groupBy("_id", "_tie", "item").agg(best).select("_id", "_tie", "item", (-F.col("b.s")).alias("start"), (-F.col("b.w")).alias("words"), F.col("b.equal").alias("equal"))
+    return good.groupBy("_id", "_tie", "item", "key").agg(best).select("_id", "_tie", "item", (-F.col("b.s")).alias("start"), (-F.col("b.w")).alias("words"), F.col("b.equal").alias("equal"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -171,7 +191,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     added = ("contaminated", "n_items", "item", "start", "words", "equal")
     own = [c for c in docs.columns if c not in added]
     found = overlaps(docs, items, id_col, text_col, item_col, item_text_col).groupBy("_id", "_tie").agg(
-        F.count("*").alias("n_items"), F.min_by(F.struct("item", "start", "words", "equal"), F.struct(-F.col("equal"), F.col("item"))).alias("b")
+        F.count("*").alias("n_items"), F.min_by(F.struct("item", "start", "words", "equal"), F.struct(-F.col("equal"), F.col("item"), F.col("words"), F.col("start"))).alias("b")
     ).withColumnsRenamed({"_id": "_oid", "_tie": "_otie"})
     keyed = docs.select(*(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(own)), F.col(f"`{id_col}`").alias("_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("_tie"))
     out = keyed.join(found, (F.col("_tie") == F.col("_otie")) & F.col("_id").eqNullSafe(F.col("_oid")), "left")

@@ -339,6 +339,15 @@ def test_decontamination(spark):
     assert all(got[i].contaminated for i in planted) and planted
 
 
+def test_items_without_id_and_short_items(spark):
+    long = " ".join(f"q{k}" for k in range(20))
+    texts = [f"a b {long} c", "one Two, three four! one two three", "one two four three", "nothing", f"{long} one two three"]
+    bench = spark.createDataFrame([(None, long), (5, "one two three"), (6, ""), (7, "x")], "item_id long, text string")
+    got = {x.doc_id: (x.contaminated, x.n_items, x.item, x.start, x.words, x.equal) for x in decontaminate.contamination(docs(spark, texts).drop("item", "contaminated"), bench).collect()}
+    no = (False, 0, None, None, None, None)
+    assert got == {0: (True, 1, None, 2, 20, 20), 1: (True, 1, 5, 0, 3, 3), 2: no, 3: no, 4: (True, 2, None, 0, 20, 20)}
+
+
 def groups_of(texts, size=4, percent=85):
     low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     sets = []
