@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fragloom.llm import bpe, decontaminate, jaccard, language, licenses, lines, quality, rules, substrings, tokens_io
+from fragloom.llm import bpe, decontaminate, hardneg, jaccard, language, licenses, lines, minhash, quality, rules, runs, substrings, tokens_io
 from fragloom.llm.common import crc32_fold, scratch, tokenizer_path
 
 QUERIES = {}
@@ -83,3 +83,24 @@ def op6_jaccard(spark: SparkSession, folder: str) -> DataFrame:
 def op9_substrings(spark: SparkSession, folder: str) -> DataFrame:
     out = substrings.cut_repeats(table(spark, folder, "documents"))
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op11_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    planted = docs.select("doc_id", runs.planted(F.col("text"), F.col("doc_id")).alias("text"))
+    return runs.summary(runs.periodic_runs(planted))
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.hard_negatives(table(spark, folder, "embeddings"), label=label)
+
+
+ORACLES["op12_hard_negatives"] = hardneg.ORACLE_SQL
+
+
+@query
+def op13_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_copies(table(spark, folder, "documents"))
