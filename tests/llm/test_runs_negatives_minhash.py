@@ -184,7 +184,7 @@ def test_minhash_chain(spark):
 
 
 def test_minhash_bounds():
-    for percent in (50, 80, 85, 95):
+    for percent in (80, 85, 95):
         bands = minhash.band_count(percent)
         assert (1 - (percent / 100) ** minhash.ROWS) ** bands <= minhash.MISS
         k, n, p = minhash.least_agreement(percent, bands * minhash.ROWS), bands * minhash.ROWS, percent / 100
