@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fragloom.functions.tokens import LEFT, RIGHT, SPACE
-from fragloom.operators import fragments as fr
-from fragloom.operators.scale import materialize
+from fragloom.functions.blob import latin
+from fragloom.operators.chunks import range_pieces
+from fragloom.operators.recovery import asof_next
+from fragloom.operators.scale import materialize, running_rank
 
 SECTIONS = ["xref", "trailer", "startxref", "eof"]
 TOKEN_OF = {"xref": "xref", "trailer": "trailer", "startxref": "startxref", "eof": "%%EOF"}
@@ -182,53 +183,97 @@ def chain_walk(edges: DataFrame, facts: DataFrame) -> DataFrame:
     return rows
 
 
-def xref_check(texts: DataFrame) -> DataFrame:
-    """Structure verdict of whole PDF texts (media_id, t in latin form): header, EOF, startxref, entries, Root, Pages."""
-    t = F.col("t")
-    ws = r"[ \t\r\n]"
-    d = texts.withColumn("_n", F.length(t).cast("long"))
-    d = d.withColumn("startxref", F.nullif(F.regexp_extract(t, LEFT + "startxref" + ws + "+([0-9]+)" + RIGHT, 1), F.lit("")).try_cast("long"))
-    inside = (F.col("startxref") >= 0) & (F.col("startxref") < F.col("_n"))
-    d = d.withColumn("_x", F.when(inside, F.substring(t, (F.col("startxref") + 1).cast("int"), F.col("_n").cast("int"))))
-    head = r"\Axref" + ws + r"+([0-9]+)[ \t]+([0-9]+)" + ws + "+"
-    d = d.withColumn("_first", F.nullif(F.regexp_extract("_x", head, 1), F.lit("")).try_cast("long"))
-    d = d.withColumn("_count", F.nullif(F.regexp_extract("_x", head, 2), F.lit("")).try_cast("long"))
-    d = d.withColumn("_rest", F.regexp_replace("_x", head, ""))
-    entry = r"[0-9]{10}[ \t]+[0-9]{5}[ \t]+[nf]" + ws + "+"
-    d = d.withColumn("_found", F.slice(F.regexp_extract_all("_rest", F.lit("(" + entry + ")"), F.lit(1)), F.lit(1), F.greatest(F.col("_count"), F.lit(0)).cast("int")))
-    whole = (F.size("_found") == F.col("_count")) & F.startswith("_rest", F.array_join("_found", ""))
-    d = d.withColumn(
-        "_used",
-        F.filter(
-            F.transform("_found", lambda e, i: F.struct((F.col("_first") + i).alias("num"), F.substring(e, 1, 10).cast("long").alias("off"), F.regexp_extract(e, "([nf])", 1).alias("state"))),
-            lambda e: e["state"] == "n",
-        ),
+STRUCTURE_MARKERS = (
+    "pdf_mark", "eof", "startxref_at", "table_mark", "table_head", "entry_n", "entry_f", "obj_number", "root_ref", "catalog", "pages_ref",
+)
+
+
+def catalog_pages(chunks: DataFrame, hits: DataFrame) -> DataFrame:
+    """(media_id, pages): the page tree that the first catalog with one names; no '>' may stand between the two."""
+    of = lambda name: hits.where(F.col("marker") == name)
+    refs = of("pages_ref").select("media_id", "pos", "number")
+    catalogs = asof_next(of("catalog").select("media_id", F.col("pos").alias("catalog_at"), "end"), refs.select("media_id", "pos"), ["media_id"], "end", "pos", "pos")
+    catalogs = catalogs.where("pos is not null").join(refs, ["media_id", "pos"])
+    between = catalogs.select("media_id", "catalog_at", F.col("end").alias("start"), F.col("pos").alias("end"))
+    closed = range_pieces(chunks, between, ["catalog_at"]).where(F.contains(latin(F.col("piece")), F.lit(">"))).select("media_id", "catalog_at").distinct()
+    named = catalogs.join(closed, ["media_id", "catalog_at"], "left_anti")
+    return named.groupBy("media_id").agg(F.min_by("number", "catalog_at").alias("pages"))
+
+
+def table_entries(heads: DataFrame, hits: DataFrame) -> DataFrame:
+    """(media_id, num, off, used, pos, end): the first ``count`` entries at or after the table's head, numbered from ``first``."""
+    rows = hits.where(F.col("marker").isin("entry_n", "entry_f")).select("media_id", "pos", "end", F.col("number").alias("off"), (F.col("marker") == "entry_n").alias("used"))
+    rows = rows.join(heads, "media_id").where(F.col("pos") >= F.col("head_end"))
+    ranked = running_rank(rows, ["media_id"], [F.col("pos")], F.floor(F.col("pos") / (1 << 20)), "_i")
+    return ranked.where(F.col("_i") <= F.col("count")).select("media_id", (F.col("first") + F.col("_i") - 1).alias("num"), "off", "used", "pos", "end")
+
+
+def xref_check(chunks: DataFrame, hits: DataFrame) -> DataFrame:
+    """Structure verdict of PDF media in chunks: header, EOF, startxref, table, entries, Root and Pages.
+
+    ``hits`` are the STRUCTURE_MARKERS of the chunks. Offsets that the file names are looked up among the hits by equi-joins,
+    and what follows an offset is told by running ranks, so no row holds more of a medium than a chunk.
+    """
+    of = lambda name: F.col("marker") == name
+    filled = F.length(F.regexp_replace(latin(F.col("content")), r"[ \t\r\n]+\z", ""))
+    facts = chunks.groupBy("media_id").agg(
+        F.max(F.col("base_offset") + F.length("content")).alias("_n"), F.max(F.when(filled > 0, F.col("base_offset") + filled)).alias("_last")
+    )
+    first = lambda name: F.min(F.when(of(name), F.struct("pos", "number")))["number"]
+    seen = hits.groupBy("media_id").agg(
+        F.max(of("pdf_mark") & (F.col("pos") == 0)).alias("_head"), F.max(F.when(of("eof"), F.col("end"))).alias("_eof"),
+        F.count(F.when(of("startxref_at"), 1)).alias("_starts"), first("startxref_at").alias("startxref"), first("root_ref").alias("_root"),
     )
-    header_at = lambda e: F.regexp_extract(F.substring(t, (e["off"] + 1).cast("int"), F.lit(64)), r"\A([0-9]+)[ \t]+[0-9]+[ \t]+obj" + RIGHT, 1)
-    wrong = F.filter("_used", lambda e: (e["off"] >= F.col("_n")) | (header_at(e) != e["num"].cast("string")))
-    defined = F.transform("_used", lambda e: e["num"])
-    named = lambda p: F.nullif(F.regexp_extract(t, p, 1), F.lit("")).try_cast("long")
-    root = named("/Root" + SPACE + "+([0-9]+)" + SPACE + "+0" + SPACE + "+R")
-    pages = named("/Type" + SPACE + "*/Catalog[^>]*?/Pages" + SPACE + "+([0-9]+)" + SPACE + "+0" + SPACE + "+R")
-    absent = lambda c: c.isNotNull() & ~F.coalesce(F.array_contains(defined, c), F.lit(False))
+    d = facts.join(seen, "media_id", "left").join(catalog_pages(chunks, hits), "media_id", "left")
+    d = materialize(d)
+    inside = F.coalesce((F.col("startxref") >= 0) & (F.col("startxref") < F.col("_n")), F.lit(False))
+    pointed = d.where(inside).select("media_id", F.col("startxref").alias("pos"))
+    marks = hits.where(of("table_mark")).join(pointed, ["media_id", "pos"]).select("media_id", F.lit(True).alias("_table"))
+    heads = hits.where(of("table_head")).join(pointed, ["media_id", "pos"]).where("number is not null and generation is not null")
+    heads = materialize(heads.select("media_id", F.col("number").alias("first"), F.col("generation").alias("count"), F.col("end").alias("head_end")))
+
+    entries = materialize(table_entries(heads, hits))
+    found = entries.groupBy("media_id").agg(F.count("*").alias("_found"), F.sum(F.col("end") - F.col("pos")).alias("_bytes"), F.max("end").alias("_to"), F.count(F.when(F.col("used"), 1)).alias("_used"))
+    # an object stands at its offset if its number ends as many places behind it as the number has digits
+    digits = F.length(F.col("num").cast("string"))
+    used = entries.where("used").select("media_id", "num", "off", (F.col("off") + digits).alias("number_end"))
+    numbers = hits.where(of("obj_number")).select("media_id", F.col("end").alias("number_end"), F.col("number").alias("_number"))
+    there = used.join(numbers, ["media_id", "number_end"]).where(F.pmod("_number", F.pow(F.lit(10), digits).cast("long")) == F.col("num"))
+    wrong = used.join(there.select("media_id", "num"), ["media_id", "num"], "left_anti").groupBy("media_id").agg(F.count("*").alias("_wrong"))
+    wanted = d.select("media_id", F.explode(F.array("_root", "pages")).alias("num")).where("num is not null")
+    defined = wanted.distinct().join(used.select("media_id", "num"), ["media_id", "num"], "left_semi").groupBy("media_id").agg(F.collect_set("num").alias("_defined"))  # two at most
+
+    for part in (marks, heads, found, wrong, defined):
+        d = d.join(part, "media_id", "left")
+    whole = (F.coalesce("_found", F.lit(0)) == F.col("count")) & (F.coalesce("_bytes", F.lit(0)) == F.coalesce(F.col("_to") - F.col("head_end"), F.lit(0)))
+    absent = lambda c: F.col(c).isNotNull() & ~F.coalesce(F.array_contains("_defined", F.col(c)), F.lit(False))
     case = lambda cond, name: F.when(F.coalesce(cond, F.lit(False)), F.lit(name))
     started = F.col("startxref").isNotNull()
-    readable = F.col("_count").isNotNull()
+    table = F.coalesce("_table", F.lit(False))
+    readable = F.col("count").isNotNull()
     errors = F.array_compact(
         F.array(
-            case(~F.startswith(t, F.lit("%PDF-")), "header_missing"),
-            case(~t.rlike("%%EOF" + ws + r"*\z"), "eof_missing"),
+            case(~F.coalesce("_head", F.lit(False)), "header_missing"),
+            case(~F.coalesce(F.col("_eof") == F.col("_last"), F.lit(False)), "eof_missing"),
             case(~started, "startxref_missing"),
             case(started & ~inside, "startxref_out_of_bounds"),
-            case(started & inside & ~F.startswith("_x", F.lit("xref")), "no_xref_at_offset"),
-            case(F.startswith("_x", F.lit("xref")) & ~readable, "subsection_malformed"),
+            case(started & inside & ~table, "no_xref_at_offset"),
+            case(table & ~readable, "subsection_malformed"),
             case(readable & ~whole, "entry_malformed"),
-            case(readable & (F.size(wrong) > 0), "object_not_at_offset"),
-            case(readable & absent(root), "root_undefined"),
-            case(readable & absent(pages), "pages_undefined"),
+            case(readable & (F.col("_wrong") > 0), "object_not_at_offset"),
+            case(readable & absent("_root"), "root_undefined"),
+            case(readable & absent("pages"), "pages_undefined"),
         )
     )
-    return d.select("media_id", "startxref", F.coalesce(F.size("_used"), F.lit(0)).cast("long").alias("entries"), errors.alias("errors"), (F.size(errors) == 0).alias("is_valid"))
+    return d.select("media_id", "startxref", F.coalesce("_used", F.lit(0)).cast("long").alias("entries"), errors.alias("errors"), (F.size(errors) == 0).alias("is_valid"))
+
+
+def digest_mismatches(chain: DataFrame, blocks: DataFrame, declared: DataFrame) -> DataFrame:
+    """(media_id, fragment_id) of placed fragments whose bytes have another digest or size than ``declared`` (sha256, size_bytes)."""
+    placed = chain.select("media_id", "fragment_id").join(blocks.select("media_id", "fragment_id", "block"), ["media_id", "fragment_id"])
+    got = placed.select("media_id", "fragment_id", F.sha2("block", 256).alias("_got"), F.length("block").alias("_length"))
+    both = got.join(declared.select("media_id", "fragment_id", "sha256", "size_bytes"), ["media_id", "fragment_id"])
+    return both.where((F.col("_got") != F.col("sha256")) | (F.col("_length") != F.col("size_bytes"))).select("media_id", "fragment_id")
 
 
 def recovery_state(facts: DataFrame, chain: DataFrame, profiles: DataFrame, unresolved: DataFrame, structure: DataFrame,

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,66 +9,29 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fragloom.functions import formats as fm, tokens as tk
 from fragloom.functions.blob import latin
+from fragloom.operators.chunks import HITS, byte_ranges, compiled, sizes_of
 from fragloom.operators.scale import keep_first
 
-# Fixed byte patterns of the markers.
-MARKERS = {
-    "obj": rb"(?:^|[\r\n\s])(\d+)\s+(\d+)\s+obj\b",
-    "endobj": rb"\bendobj\b",
-    "xref": rb"\bxref\b",
-    "trailer": rb"\btrailer\b",
-    "startxref": rb"\bstartxref\b",
-    "eof": rb"%%EOF",
-    "stream": rb"stream[\r\n]+",
-    "endstream": rb"endstream",
-    "pdf_head": rb"%PDF-\d+\.\d+",
-    "png_head": rb"\x89PNG\r\n\x1a\n",
-    "png_end": rb"IEND",
-    "jpeg_head": rb"\xff\xd8",
-    "jpeg_end": rb"\xff\xd9",
-    "zip_head": rb"PK\x03\x04",
-    "zip_end": rb"PK\x05\x06",
-}
-HITS = "media_id string, marker string, pos long, end long, number long, generation long"
-LONGEST_MARKER = 64
-
-
-def with_lookahead(chunks: DataFrame, size: int = LONGEST_MARKER) -> DataFrame:
-    """Append the first bytes of the next chunk, so markers across a chunk border are seen once."""
-    head = chunks.select("media_id", F.col("base_offset").alias("_at"), F.substring("content", 1, size).alias("_head"))
-    at = F.col("base_offset") + F.length("content")
-    return (
-        chunks.withColumn("_at", at).join(head, ["media_id", "_at"], "left")
-        .withColumn("own", F.length("content").cast("long"))
-        .withColumn("content", F.concat("content", F.coalesce("_head", F.unhex(F.lit("")))))
-        .drop("_at", "_head")
-    )
-
 
 def marker_hits(media: DataFrame, markers: tuple[str, ...]) -> DataFrame:
-    """Absolute positions of byte markers, found per Arrow batch; one output row per hit."""
-    compiled = {m: re.compile(MARKERS[m]) for m in markers}
+    """Absolute positions of byte markers in whole media, one row per hit; ``chunks.chunk_hits`` takes media in chunks."""
+    names = tuple(markers)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = compiled(names)
         for batch in batches:
-            out: list[tuple] = []
-            for media_id, base, own, content in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                for name, pattern in compiled.items():
-                    for m in pattern.finditer(content):
-                        start = m.start(1) if m.re.groups else m.start()
-                        if start < own:
-                            # a digit run beyond 18 places is no number this column can hold
-                            num, gen = ((int(d) if len(d) < 19 else None) for d in m.groups()) if m.re.groups else (None, None)
-                            out.append((media_id, name, base + start, base + m.end(), num, gen))
+            out = [
+                (media_id, *hit)
+                for media_id, base, content in zip(*(batch.column(i).to_pylist() for i in range(3)))
+                for hit in search.hits(content, base, base, base + len(content))
+            ]
             columns = list(zip(*out)) if out else [[]] * 6
             types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, types)], ["media_id", "marker", "pos", "end", "number", "generation"]
             )
 
-    own = F.col("own") if "own" in media.columns else F.length("content").cast("long")
-    rows = media.select("media_id", F.col("base_offset"), own.alias("own"), "content")
-    return rows.mapInArrow(scan, HITS)
+    return media.where(F.col("content").isNotNull()).select("media_id", "base_offset", "content").mapInArrow(scan, HITS)
 
 
 def asof_next(left: DataFrame, right: DataFrame, keys: list[str], lpos: str, rpos: str, out: str, width: int = 1 << 24) -> DataFrame:
@@ -97,7 +59,7 @@ def object_rows(media: DataFrame, hits: DataFrame) -> DataFrame:
     """One row per object number: range, termination and confidence; the first occurrence wins."""
     of = lambda *names: hits.where(F.col("marker").isin(*names))
     starts = of("obj").select("media_id", F.col("pos").alias("start"), "number", "generation", (F.col("pos") + 1).alias("_after"))
-    sizes = media.groupBy("media_id").agg(F.max(F.col("base_offset") + F.length("content")).alias("_size"))
+    sizes = sizes_of(media).withColumnRenamed("size_bytes", "_size")
     d = asof_next(starts, of("obj").select("media_id", "pos"), ["media_id"], "_after", "pos", "_next_start")
     d = asof_next(d, of("endobj").select("media_id", "pos"), ["media_id"], "start", "pos", "_endobj")
     d = asof_next(d, of("xref", "trailer", "startxref", "eof").select("media_id", "pos"), ["media_id"], "start", "pos", "_section")
@@ -113,11 +75,11 @@ def object_rows(media: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def object_bodies(objects: DataFrame, media: DataFrame) -> DataFrame:
-    """Bytes, type, stream flag and text literals of harvested objects (media rows hold whole files)."""
-    body = F.substring("content", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
+    """Type, stream flag and text literals of harvested objects; ``media`` may come in chunks, each byte moves once."""
     t = F.col("t")
+    bodies = byte_ranges(media, objects, ["object_number"]).select("media_id", "object_number", latin(F.col("bytes")).alias("t"))
     return (
-        objects.join(media.select("media_id", "content"), "media_id").withColumn("t", latin(body)).drop("content")
+        objects.join(bodies, ["media_id", "object_number"])
         .withColumn("object_type", tk.object_type(t))
         .withColumn("has_stream", F.contains(t, F.lit("stream")))
         .withColumn("texts", text_literals(t))
@@ -159,18 +121,21 @@ def text_literals(t: Column) -> Column:
     return F.when(F.size(shown) > 0, shown).otherwise(F.array_distinct(usable))
 
 
-def missing_references(texts: DataFrame, objects: DataFrame) -> DataFrame:
-    """Object numbers named by /Contents or /Kids that were not harvested."""
-    ws = tk.SPACE
-    direct = F.regexp_extract_all("t", F.lit("/Contents" + ws + "+([0-9]+)" + ws + "+0" + ws + "+R"), F.lit(1))
-    kids = F.flatten(
-        F.transform(
-            F.regexp_extract_all("t", F.lit("/Kids" + ws + r"*\[([^\]]+)\]"), F.lit(1)),
-            lambda k: F.regexp_extract_all(k, F.lit("([0-9]+)" + ws + "+0" + ws + "+R"), F.lit(1)),
-        )
-    )
-    named = texts.select("media_id", F.explode(F.array_distinct(F.concat(direct, kids)).cast("array<bigint>")).alias("object_number"))
-    return named.join(objects, ["media_id", "object_number"], "left_anti").distinct()
+REFERENCE_MARKERS = ("contents_ref", "kids_open", "list_close", "object_ref")
+
+
+def missing_references(hits: DataFrame, objects: DataFrame) -> DataFrame:
+    """Object numbers named by /Contents or inside /Kids [..] that were not harvested, from REFERENCE_MARKERS.
+
+    A reference stands inside a list if the next closing bracket is the same for both.
+    """
+    of = lambda name: hits.where(F.col("marker") == name)
+    closes = of("list_close").select("media_id", "pos")
+    lists = asof_next(of("kids_open").select("media_id", "end"), closes, ["media_id"], "end", "pos", "close").select("media_id", "close", F.col("end").alias("opened"))
+    refs = asof_next(of("object_ref").select("media_id", "pos", "number"), closes, ["media_id"], "pos", "pos", "close")
+    inside = refs.join(lists.where("close is not null"), ["media_id", "close"]).where(F.col("pos") >= F.col("opened"))
+    named = of("contents_ref").select("media_id", "number").unionByName(inside.select("media_id", "number")).where("number is not null")
+    return named.select("media_id", F.col("number").alias("object_number")).distinct().join(objects, ["media_id", "object_number"], "left_anti")
 
 
 def recovery_telemetry(bodies: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -194,15 +159,19 @@ def recovery_telemetry(bodies: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def region_rows(media: DataFrame, hits: DataFrame) -> DataFrame:
-    """Labelled intervals of PDF media: header, xref, trailer, startxref, object parts and streams."""
+    """Labelled intervals of PDF media: header, xref, trailer, startxref, object parts and streams.
+
+    ``media`` may come in chunks: rules look at hits, sizes and the bytes of one object at a time.
+    """
     of = lambda *names: hits.where(F.col("marker").isin(*names))
     at = lambda *names: of(*names).select("media_id", "pos")
-    base = media.select("media_id", "content", F.length("content").cast("long").alias("_size"))
+    newline = F.instr(latin(F.col("content")), "\n")
+    base = media.groupBy("media_id").agg(
+        F.max(F.col("base_offset") + F.length("content")).cast("long").alias("_size"), F.min(F.when(newline > 0, F.col("base_offset") + newline)).alias("_line")
+    )
     sizes = base.select("media_id", "_size")
-    t = latin(F.col("content"))
-    newline = F.instr(t, "\n")
-    header = base.where(F.startswith(t, F.lit("%PDF"))).select(
-        "media_id", F.lit(0).cast("long").alias("start"), F.when(newline > 0, newline).otherwise(F.least(F.lit(32), F.col("_size"))).cast("long").alias("end"),
+    header = base.join(of("pdf_start").where("pos = 0").select("media_id"), "media_id").select(
+        "media_id", F.lit(0).cast("long").alias("start"), F.coalesce("_line", F.least(F.lit(32), F.col("_size"))).cast("long").alias("end"),
         F.lit("PDF_HEADER").alias("label"), F.lit("header_0").alias("entity_id"),
     )
     x = asof_next(of("xref").select("media_id", F.col("pos").alias("start")), at("trailer"), ["media_id"], "start", "pos", "_t").join(sizes, "media_id")
@@ -224,8 +193,11 @@ def region_rows(media: DataFrame, hits: DataFrame) -> DataFrame:
     o = o.withColumn("_from", F.coalesce("_body", F.col("_obj_end")))
     o = asof_next(o, at("endstream"), ["media_id"], "_from", "pos", "_stop")
     o = o.withColumn("_body_end", F.when(F.col("_body").isNotNull(), F.coalesce("_stop", "_obj_end")))
-    piece = lambda a, b: latin(F.substring("content", (a + 1).cast("int"), (b - a).cast("int")))
-    o = o.join(base.select("media_id", "content"), "media_id").withColumn("_c", piece(F.col("start"), F.col("_obj_end"))).withColumn("_s", piece(F.col("_body"), F.col("_body_end")))
+    o = o.dropDuplicates(["media_id", "start"])
+    whole = o.select("media_id", F.col("start").alias("_at"), "start", F.greatest("_obj_end", F.coalesce("_body_end", F.lit(0))).alias("end"))
+    whole = byte_ranges(media, whole, ["_at"]).select("media_id", F.col("_at").alias("start"), latin(F.col("bytes")).alias("_t"))
+    piece = lambda a, b: F.substring("_t", (a - F.col("start") + 1).cast("int"), (b - a).cast("int"))
+    o = o.join(whole, ["media_id", "start"], "left").withColumn("_c", piece(F.col("start"), F.col("_obj_end"))).withColumn("_s", piece(F.col("_body"), F.col("_body_end")))
     c, s = F.col("_c"), F.col("_s")
     any_c = lambda *tokens: tk.any_of(c, *tokens)
     stream_label = (
@@ -307,12 +279,18 @@ def footer_asof(hits: DataFrame) -> DataFrame:
 
 
 def carve_artifacts(runs: DataFrame, media: DataFrame) -> DataFrame:
-    """Carved files with digest, structure score and category; PDFs take one trailing line break along."""
-    d = runs.join(media.select("media_id", "content"), "media_id").where(F.col("end") <= F.length("content"))
-    after = latin(F.substring("content", (F.col("end") + 1).cast("int"), F.lit(2)))
+    """Carved files with digest, structure score and category; PDFs take one trailing line break along.
+
+    ``media`` may come in chunks; a row holds the bytes of one carved file.
+    """
+    inside = runs.join(sizes_of(media), "media_id").where(F.col("end") <= F.col("size_bytes")).drop("size_bytes")
+    more = byte_ranges(media, inside.withColumn("_end", F.col("end")).withColumn("end", F.col("end") + 2), ["format", "_end"])
+    d = more.select("media_id", "format", "start", F.col("_end").alias("end"), F.col("bytes").alias("content"))
+    size = (F.col("end") - F.col("start")).cast("int")
+    after = latin(F.substring("content", size + 1, F.lit(2)))
     extra = F.when(after.isin("\r\n", "\n\r"), 2).when(F.substring(after, 1, 1).isin("\n", "\r"), 1).otherwise(0)
     d = d.withColumn("end", F.when(F.col("format") == "pdf", F.col("end") + extra).otherwise(F.col("end")))
-    d = d.withColumn("bytes", F.substring("content", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))).drop("content")
+    d = d.withColumn("bytes", F.substring("content", F.lit(1), size)).drop("content")
     checks = fm.structure_checks(latin(F.col("bytes")))
     pdf = F.col("format") == "pdf"
     return d.select(

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from fragloom.functions import tokens as tk
 from fragloom.functions.blob import latin
-from fragloom.operators import assemble as asm, fragments as fr, recovery as rc
+from fragloom.operators import assemble as asm, chunks as ck, fragments as fr, recovery as rc
 from fragloom.operators.scale import materialize, running_total
 from fragloom.plans import views as v
 from fragloom.plans.registry import query
-from fragloom.plans.token_queries import damaged_whole
+
+CHUNK = 4096  # bytes of the pieces in which the queries read media
 
 # ---- fragments cut at structural borders, some of them lost, doubled or changed ------------------------
 
@@ -54,16 +55,16 @@ def parts(t):
     k = F.pmod(F.col("doc_id"), F.lit(6))
     starts = lambda s: F.startswith("piece", F.lit(s))
     kept = p.where(~((k == 1) & starts("4 0 obj")) & ~((k == 3) & (F.col("seq") == 0)) & ~((k == 4) & starts("xref")))
-    kept = kept.withColumn("piece", F.when(k == 5, F.replace("piece", F.lit("Helvetica"), F.lit("Helvetixx"))).otherwise(F.col("piece")))
-    twin = p.where((k == 2) & starts("3 0 obj")).select("media_id", "doc_id", (F.col("seq") + 100000).alias("seq"), F.concat("piece", F.lit(" ")).alias("piece"))
-    noise = p.where((F.pmod(F.col("doc_id"), F.lit(12)) == 6) & (F.col("seq") == 0)).select("media_id", "doc_id", (F.col("seq") + 200000).alias("seq"), F.lit("plain words").alias("piece"))
-    d = kept.unionByName(twin).unionByName(noise).withColumn("block", F.encode("piece", "ISO-8859-1"))
+    kept = kept.withColumn("declared", F.col("piece")).withColumn("piece", F.when(k == 5, F.replace("piece", F.lit("Helvetica"), F.lit("Helvetixx"))).otherwise(F.col("piece")))
+    twin = p.where((k == 2) & starts("3 0 obj")).select("media_id", "doc_id", (F.col("seq") + 100000).alias("seq"), F.concat("piece", F.lit(" ")).alias("declared"), F.concat("piece", F.lit(" ")).alias("piece"))
+    noise = p.where((F.pmod(F.col("doc_id"), F.lit(12)) == 6) & (F.col("seq") == 0)).select("media_id", "doc_id", (F.col("seq") + 200000).alias("seq"), F.lit("plain words").alias("declared"), F.lit("plain words").alias("piece"))
+    d = kept.unionByName(twin).unionByName(noise).withColumn("block", F.encode("piece", "ISO-8859-1")).withColumn("declared", F.encode("declared", "ISO-8859-1"))
     fid = F.format_string("FRG-%s-%d-%d", F.substring(F.sha2("block", 256), 1, 16), F.col("seq"), F.col("seq") + 1)
     return tk.profile_blocks(d.withColumn("fragment_id", fid).drop("piece"))
 
 
 def profiles(t):
-    return t.once("part_profiles", lambda: materialize(parts(t).drop("block")))
+    return t.once("part_profiles", lambda: materialize(parts(t).drop("block", "declared")))
 
 
 def with_facts(t):
@@ -134,24 +135,24 @@ def chain_walk(t):
 
 STATES = f"""{PARTS}, placed AS (SELECT media_id, count(*) AS placed, bool_or(kind = 'eof') AS at_end FROM walked GROUP BY media_id),
 whole AS (SELECT f.media_id, fragments, coalesce(placed, 0) AS placed, CASE WHEN coalesce(placed, 0) = 0 THEN 'UNRECOVERABLE'
-  WHEN placed < fragments OR NOT clean OR header_n <> 1 OR xref_n <> 1 THEN 'PARTIAL' ELSE 'COMPLETE AND VERIFIED' END AS recovery_state FROM facts f LEFT JOIN placed USING (media_id))"""
+  WHEN doc_id % 6 = 5 THEN 'CORRUPTED' WHEN placed < fragments OR NOT clean OR header_n <> 1 OR xref_n <> 1 THEN 'PARTIAL' ELSE 'COMPLETE AND VERIFIED' END AS recovery_state FROM (SELECT *, split_part(media_id, '-', 2)::BIGINT AS doc_id FROM facts) f LEFT JOIN placed USING (media_id))"""
 
 
 def recovered(t):
     """State per medium plus the reassembled segments."""
     source = parts(t)
     blocks = source.select("media_id", "fragment_id", F.length("block").cast("long").alias("size_bytes"), "block")
+    declared = source.select("media_id", "fragment_id", F.sha2("declared", 256).alias("sha256"), F.length("declared").cast("long").alias("size_bytes"))
     p, f, e, chain = chained(t)
     ranges = fr.output_ranges(chain.join(blocks, ["media_id", "fragment_id"]), ["media_id"])
     segments = t.once("part_segments", lambda: materialize(fr.reassemble(ranges, ["media_id"])))
-    # the structure check reads one whole file per row, as parts() above does
-    whole = segments.groupBy("media_id").agg(F.expr("listagg(content, X'') within group (order by segment_no)").alias("content"))
-    texts = whole.select("media_id", latin(F.col("content")).alias("t"))
-    states = asm.recovery_state(f, chain, p, asm.unresolved_joins(f), asm.xref_check(texts))
+    chunks = ck.with_sizes(segments.select("media_id", F.col("segment_start").alias("base_offset"), "content"))
+    structure = asm.xref_check(chunks, ck.chunk_hits(chunks, asm.STRUCTURE_MARKERS))
+    states = asm.recovery_state(f, chain, p, asm.unresolved_joins(f), structure, asm.digest_mismatches(chain, blocks, declared))
     return states, segments
 
 
-@query("recovery_state", f"WITH {STATES} SELECT media_id, fragments, placed, recovery_state, CASE WHEN recovery_state = 'COMPLETE AND VERIFIED' THEN 'structurally_valid' ELSE 'incomplete' END AS status FROM whole")
+@query("recovery_state", f"WITH {STATES} SELECT media_id, fragments, placed, recovery_state, CASE recovery_state WHEN 'COMPLETE AND VERIFIED' THEN 'structurally_valid' WHEN 'CORRUPTED' THEN 'failed' ELSE 'incomplete' END AS status FROM whole")
 def recovery_state(t):
     return recovered(t)[0]
 
@@ -181,17 +182,20 @@ def xref_check(t):
         F.when(k == 1, swap("startxref", "start_ref")).when(k == 2, swap("3 0 obj", "33 0 obj")).when(k == 3, F.substring(x, F.lit(2), F.length(x)))
         .when(k == 4, swap("%%EOF", "")).otherwise(x)
     )
-    return asm.xref_check(v.pdf_media(t).select("media_id", broken.alias("t"))).select("media_id", "startxref", F.array_join("errors", ",").alias("errors"))
+    whole = v.pdf_media(t).select("media_id", "base_offset", F.encode(broken, "ISO-8859-1").alias("content"))
+    chunks = materialize(ck.cut_media(whole, CHUNK))
+    return asm.xref_check(chunks, ck.chunk_hits(chunks, asm.STRUCTURE_MARKERS)).select("media_id", "startxref", F.array_join("errors", ",").alias("errors"))
 
 
 # ---- harvest -----------------------------------------------------------------------------------------
 
-ALL = ("obj", "endobj", "xref", "trailer", "startxref", "eof", "stream", "endstream")
+ALL = ("obj", "endobj", "xref", "trailer", "startxref", "eof", "stream", "endstream", "pdf_start", *rc.REFERENCE_MARKERS)
 
 
-def pdf_hits(t, markers=ALL):
-    media = v.pdf_media(t)
-    return media, t.once("pdf_hits", lambda: materialize(rc.marker_hits(media, markers)))
+def pdf_hits(t):
+    """The PDF layouts in chunks, and all marker hits."""
+    chunks = t.once("pdf_chunks", lambda: materialize(ck.cut_media(v.pdf_media(t), CHUNK)))
+    return chunks, t.once("pdf_hits", lambda: materialize(ck.chunk_hits(chunks, ALL)))
 
 
 @query("object_rows", f"""WITH {v.PDF} SELECT 'pdf-' || doc_id AS media_id, k::BIGINT AS object_number, 0::BIGINT AS generation, off AS start, (off + length(obj) - 1)::BIGINT AS "end", false AS unterminated, 1.0::DOUBLE AS confidence FROM pdf_placed""")
@@ -222,14 +226,14 @@ def missing_references(t):
     media, hits = pdf_hits(t)
     doc = F.regexp_extract("media_id", r"(\d+)$", 1).cast("long")
     harvested = rc.object_rows(media, hits).where((F.col("object_number") + doc) % 5 != 0)
-    return rc.missing_references(media.select("media_id", latin(F.col("content")).alias("t")), harvested.select("media_id", "object_number"))
+    return rc.missing_references(hits, harvested.select("media_id", "object_number"))
 
 
 @query("recovery_telemetry", f"""WITH {v.PDF}, m AS (SELECT doc_id, count(*) AS objects, count(*) FILTER (k > 3 AND k % 2 = 1) AS streams, count(*) FILTER (k > 3 AND k % 2 = 0) AS pages, (sum(length(obj)) - count(*))::BIGINT AS authentic_bytes FROM pdf_placed GROUP BY doc_id)
 SELECT 'pdf-' || doc_id AS media_id, objects, streams, pages, 1::BIGINT AS fonts, authentic_bytes, round(authentic_bytes / length(doc)::DOUBLE * 100, 2) AS coverage_pct, (length(doc) - authentic_bytes)::BIGINT AS unplaced_bytes FROM m JOIN pdf USING (doc_id)""")
 def recovery_telemetry(t):
     media, b = bodies(t)
-    return rc.recovery_telemetry(b, media.select("media_id", "size_bytes")).drop("texts")
+    return rc.recovery_telemetry(b, ck.sizes_of(media)).drop("texts")
 
 
 REGIONS = f"""{v.PDF}, lens AS (SELECT doc_id, 'pdf-' || doc_id AS media_id, doc, instr(doc, chr(10) || 'xref' || chr(10)) AS x, instr(doc, chr(10) || 'trailer' || chr(10)) AS tr, instr(doc, chr(10) || 'startxref' || chr(10)) AS sx, length(doc) AS n FROM pdf),
@@ -283,9 +287,9 @@ def disks(t):
 
 
 def carved(t):
-    media = disks(t)
+    media = t.once("disk_chunks", lambda: materialize(ck.cut_media(disks(t), CHUNK)))
     marks = tuple(m for pair in rc.SIGNATURES.values() for m in pair[:2])
-    hits = t.once("disk_hits", lambda: materialize(rc.marker_hits(media, marks)))
+    hits = t.once("disk_hits", lambda: materialize(ck.chunk_hits(media, marks)))
     return media, rc.footer_asof(hits)
 
 

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from fragloom import streaming
 from fragloom.functions import formats as fm, text as tx, tokens as tk
 from fragloom.functions.blob import byte_entropy, latin
-from fragloom.operators import assemble as asm, damage, fragments as fr, ml, recovery as rc
+from fragloom.operators import assemble as asm, chunks as ck, damage, fragments as fr, ml, recovery as rc
 from fragloom.plans import catalog
 from fragloom.sources import bundles as bd, datasets as dsrc
-from fragloom.sources.media import media_scan, unchanged_media
+from fragloom.sources.media import media_files, media_scan, media_write, spans_of, unchanged_media
 
 BLOCK = 256
 
@@ -52,7 +52,8 @@ def verdicts(spark):
     chain = asm.chain_walk(edges, facts)
     ranges = fr.output_ranges(chain.join(f.select("media_id", "fragment_id", "size_bytes", "block"), ["media_id", "fragment_id"]), ["media_id"])
     segments = fr.reassemble(ranges, ["media_id"])
-    structure = asm.xref_check(segments.select("media_id", latin(F.col("content")).alias("t")))
+    chunks = ck.with_sizes(segments.select("media_id", F.col("segment_start").alias("base_offset"), "content"))
+    structure = asm.xref_check(chunks, ck.chunk_hits(chunks, asm.STRUCTURE_MARKERS))
     states = asm.recovery_state(facts, chain, f, asm.unresolved_joins(facts), structure)
     original = media(spark, [(m, pdf) for m in ("complete", "missing", "corrupted")])
     diff = fr.first_diff(segments.select("media_id", F.col("segment_start").alias("start"), F.col("content").alias("block")), fr.carve_blocks(original, fr.SEGMENT))
@@ -111,9 +112,8 @@ def test_unterminated_object(spark):
 def test_markers_across_a_chunk_border(spark):
     data = b"x" * 509 + b"%%EOF" + b"y" * 100
     whole = media(spark, [("m", data)])
-    chunks = spark.createDataFrame([("m", 0, bytearray(data[:512])), ("m", 512, bytearray(data[512:]))], "media_id string, base_offset long, content binary")
     want = [(r.marker, r.pos) for r in rc.marker_hits(whole, ("eof",)).collect()]
-    assert [(r.marker, r.pos) for r in rc.marker_hits(rc.with_lookahead(chunks), ("eof",)).collect()] == want == [("eof", 509)]
+    assert [(r.marker, r.pos) for r in ck.chunk_hits(ck.cut_media(whole, 512), ("eof",)).collect()] == want == [("eof", 509)]
 
 
 def test_binary_formats_carve(spark):
@@ -183,10 +183,11 @@ def test_media_scan_and_stream(spark, tmp_path):
     folder.mkdir()
     pdf = small_pdf()
     (folder / "a.bin").write_bytes(pdf)
-    scan = media_scan(spark, str(folder))
+    (folder / "empty.bin").write_bytes(b"")
+    scan = media_files(spark, str(folder))
     rows = {r.media_id.rsplit("/", 1)[1]: r for r in scan.collect()}
     assert rows["a.bin"].sha256 == hashlib.sha256(pdf).hexdigest() and not rows["a.bin"].warnings
-    assert unchanged_media(scan, media_scan(spark, str(folder))).where("not unchanged").count() == 0
+    assert unchanged_media(scan, media_files(spark, str(folder))).where("not unchanged").count() == 0
     q = streaming.fragment_stream(spark, str(folder)).writeStream.format("memory").queryName("frags").option("checkpointLocation", str(tmp_path / "cp")).start()
     q.processAllAvailable()
     q.stop()
