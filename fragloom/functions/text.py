@@ -142,18 +142,10 @@ def rebuild_table(text: Column, min_rows: int = 2, min_cols: int = 2) -> Column:
 
 
 def wrap_text(text: Column, width: int = 80) -> Column:
-    """Greedy word wrap as an array of lines (a fold over the words)."""
-    words = F.filter(F.split(text, r"\s+", -1), lambda w: w != "")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("line"))
-
-    def step(a, w):
-        joined = F.concat(a["line"], F.lit(" "), w)
-        fits = F.length(joined) <= width
-        return (
-            F.when(a["line"].isNull(), F.struct(a["done"].alias("done"), w.alias("line")))
-            .when(fits, F.struct(a["done"].alias("done"), joined.alias("line")))
-            .otherwise(F.struct(F.concat(a["done"], F.array(a["line"])).alias("done"), w.alias("line")))
-        )
-
-    end = lambda a: F.when(a["line"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["line"])))
-    return F.aggregate(words, start, step, end)
+    """Greedy word wrap as an array of lines; a word longer than ``width`` has a line of its own.
+
+    One regular expression walks the words once: a line is the longest run of whole words that fits, or one long word.
+    """
+    words = F.trim(F.regexp_replace(text, r"\s+", " "))
+    line = r"([^ ]{%d,}|[\s\S]{1,%d})(?: |\z)" % (width + 1, width)
+    return F.when(words != "", F.regexp_extract_all(words, F.lit(line), F.lit(1))).otherwise(F.array().cast("array<string>"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fragloom.functions.blob import latin
 from fragloom.operators.chunks import range_pieces
 from fragloom.operators.recovery import asof_next
-from fragloom.operators.scale import materialize, running_rank
+from fragloom.operators.scale import materialize, running_rank, with_previous
 
 SECTIONS = ["xref", "trailer", "startxref", "eof"]
 TOKEN_OF = {"xref": "xref", "trailer": "trailer", "startxref": "startxref", "eof": "%%EOF"}
@@ -62,16 +62,14 @@ def numbers_duplicated(profiles: DataFrame) -> DataFrame:
 
 
 def numbers_missing(profiles: DataFrame) -> DataFrame:
-    """Numbers absent between the lowest and highest one: gaps between neighbours, expanded."""
-    present = object_counts(profiles).select("media_id", "object_number")
-    span = present.groupBy("media_id").agg(F.min("object_number").alias("lo"), F.max("object_number").alias("hi"))
-    # one short sequence row per 4096 numbers keeps a wide span from becoming one huge array
-    chunks = span.select("media_id", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / 4096), F.floor(F.col("hi") / 4096))).alias("c"))
-    every = chunks.select(
-        "media_id",
-        F.explode(F.sequence(F.greatest("lo", F.col("c") * 4096), F.least("hi", F.col("c") * 4096 + 4095))).alias("object_number"),
-    )
-    return every.join(present, ["media_id", "object_number"], "left_anti")
+    """(media_id, first_number, last_number): the numbers absent between the lowest and highest one, as ranges.
+
+    A gap lies between two neighbours, so its width costs nothing.
+    """
+    present = object_counts(profiles).where("object_number is not null").select("media_id", "object_number")
+    d = with_previous(present, ["media_id"], ["object_number"], F.floor(F.col("object_number") / 4096), "_p")
+    first = F.col("_p.object_number") + 1
+    return d.where(first < F.col("object_number")).select("media_id", first.alias("first_number"), (F.col("object_number") - 1).alias("last_number"))
 
 
 def object_chain(profiles: DataFrame, facts: DataFrame) -> DataFrame:
@@ -140,7 +138,9 @@ def missing_elements(profiles: DataFrame, facts: DataFrame) -> DataFrame:
     rows = [F.when(F.col(f"{r}_n") == 0, F.lit(text)) for r, text in names.items()]
     rows.append(F.when(F.col("objects") == 0, F.lit("missing structural fragments: object definitions (obj)")))
     fixed = facts.select("media_id", F.explode(F.array_compact(F.array(*rows))).alias("element"))
-    gone = numbers_missing(profiles).select("media_id", F.concat(F.lit("missing object: "), F.col("object_number").cast("string")).alias("element"))
+    first, last = F.col("first_number").cast("string"), F.col("last_number").cast("string")
+    several = F.concat(F.lit("missing objects: "), first, F.lit(" to "), last)
+    gone = numbers_missing(profiles).select("media_id", F.when(first == last, F.concat(F.lit("missing object: "), first)).otherwise(several).alias("element"))
     return fixed.unionByName(gone)
 
 

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fragloom.operators.scale import hash_bucket, running_rank
+from fragloom.operators.scale import global_rank, hash_bucket, running_rank
 
 
-def split_by_rank(docs: DataFrame, doc: str, bucket: Column, shares: tuple[float, float, float] = (0.5, 0.2, 0.2)):
-    """Document-level split in id order: train, validation, test (each at least one), rest hard_test."""
+def split_by_rank(docs: DataFrame, doc: str, shares: tuple[float, float, float] = (0.5, 0.2, 0.2)):
+    """Document-level split in the order of a numeric id: train, validation, test (each at least one), rest hard_test."""
     ids = docs.select(doc).distinct()
     n = ids.agg(F.count("*")).scalar()
     sizes = [F.greatest(F.lit(1), F.floor(n * s)) for s in shares]
     r = F.col("_r")
-    ranked = running_rank(ids, [], [F.col(doc)], bucket, "_r")
+    ranked = global_rank(ids, doc, "_r")
     return ranked.withColumn(
         "split",
         F.when(r <= sizes[0], "train")

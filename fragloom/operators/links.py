@@ -8,10 +8,13 @@ Each of these is an equi-join here; the ones that reach over any distance go thr
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fragloom.functions.blob import has, latin, matches, occurrences
 from fragloom.functions.tokens import OBJECT_DEF, OBJECT_REF, SPACE, any_of, rule_label
+from fragloom.operators.scale import materialize
 
 # Fixed values: (end of a, start of b, joined token).
 SPLIT_TOKENS = [
@@ -30,6 +33,7 @@ OTHER_TRANSITION = 0.30
 NEAR_HEAD = 1024
 LARGE_GAP = 4096
 LEAF = 4096
+FAN = 16  # children of a node of the merge tree
 
 
 def _numbers(t: Column, pattern: str) -> Column:
@@ -315,39 +319,37 @@ def ascending_object_pairs(features: DataFrame, max_gap: int = 256) -> DataFrame
 def later_smallest(left: DataFrame, right: DataFrame, k: int, keys: list[str], leaf: int = LEAF) -> DataFrame:
     """For every left row the k smallest ``to_id`` of right rows with equal keys and _s > _e.
 
-    ``left`` has keys, from_id, _e; ``right`` has keys, to_id, _s. Right rows enter a binary tree over
-    offset leaves and each tree node keeps its k smallest ids. A left row reads the rest of its own
-    leaf plus the right sibling of every node on its path, so it touches O(k log n) rows and no key
-    ever produces all pairs.
+    ``left`` has keys, from_id, _e; ``right`` has keys, to_id, _s. A merge tree is built bottom up: a leaf of ``leaf`` bytes
+    keeps its k smallest ids, and each node those of its FAN children, whose lists it holds. A left row reads its own
+    leaf and, level by level, the later siblings of its node, so no row is copied up the tree and no key ever
+    produces all pairs.
     """
+    smallest = lambda lists: F.slice(F.array_sort(lists), 1, k)
     p, q = F.floor(F.col("_s") / leaf), F.floor(F.col("_e") / leaf)
-    depth = right.groupBy(*keys).agg(F.length(F.bin(F.max(p))).alias("_depth"))
-    ranked = lambda df, part: df.withColumn(
-        "_r", F.row_number().over(Window.partitionBy(*part).orderBy("to_id"))
-    ).where(F.col("_r") <= k).drop("_r")
-
-    tree = (
-        right.withColumn("_p", p).join(depth, keys)
-        .withColumn("_l", F.explode(F.sequence(F.lit(0), F.col("_depth") - 1)))
-        .withColumn("_n", F.expr("shiftright(_p, _l)"))
-        .where("_n % 2 = 1")
-        .select(*keys, "_l", "_n", "to_id")
-    )
-    tree = ranked(tree, [*keys, "_l", "_n"])
-    path = (
-        left.withColumn("_q", q).join(depth, keys)
-        .withColumn("_l", F.explode(F.sequence(F.lit(0), F.col("_depth") - 1)))
-        .withColumn("_n", F.expr("shiftright(_q, _l)"))
-        .where("_n % 2 = 0")
-        .select(*keys, "from_id", "_l", (F.col("_n") + 1).alias("_n"))
-    )
-    far = path.join(tree, [*keys, "_l", "_n"]).select(*keys, "from_id", "to_id")
+    nodes = materialize(right.groupBy(*keys, p.alias("_n")).agg(smallest(F.collect_list("to_id")).alias("_ids")))  # a leaf has at most a row per byte
+    top = nodes.agg(F.max("_n")).first()[0] or 0
+    levels = []
+    while top > 0:
+        own = F.struct((F.col("_n") % FAN).alias("slot"), F.col("_ids").alias("ids"))
+        nodes = nodes.groupBy(*keys, F.floor(F.col("_n") / FAN).alias("_n")).agg(F.collect_list(own).alias("_children"))
+        nodes = materialize(nodes.withColumn("_ids", smallest(F.flatten(F.transform("_children", lambda c: c["ids"])))))
+        levels.append(nodes.select(*keys, F.lit(len(levels)).alias("_l"), "_n", "_children"))
+        top //= FAN
     near = (
         left.withColumn("_n", q).join(right.withColumn("_n", p), [*keys, "_n"])
         .where(F.col("_s") > F.col("_e"))
         .select(*keys, "from_id", "to_id")
     )
-    return ranked(far.unionByName(near), [*keys, "from_id"])
+    found = near
+    if levels:
+        tree = reduce(DataFrame.unionByName, levels)
+        steps = F.array(*[F.struct(F.lit(i).alias("_l"), F.floor(F.col("_q") / FAN ** (i + 1)).alias("_n"), (F.floor(F.col("_q") / FAN**i) % FAN).alias("_slot")) for i in range(len(levels))])
+        path = left.withColumn("_q", q).select(*keys, "from_id", F.inline(steps))
+        later = F.filter("_children", lambda c: c["slot"] > F.col("_slot"))
+        ids = smallest(F.flatten(F.transform(later, lambda c: c["ids"])))
+        found = near.unionByName(path.join(tree, [*keys, "_l", "_n"]).select(*keys, "from_id", F.explode(ids).alias("to_id")))
+    order = Window.partitionBy(*keys, "from_id").orderBy("to_id")
+    return found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
 
 
 def _penalty_class() -> Column:

@@ -77,37 +77,65 @@ def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
     return best.select("_best._row.*")
 
 
-def merge_ranges(df: DataFrame, keys: list[str], start: str, end: str, width: int = 1 << 20, fan: int = 4096,
-                 levels: int = 2) -> DataFrame:
-    """Union touching half-open ranges per key.
+def merge_ranges(df: DataFrame, keys: list[str], start: str, end: str, width: int = 1 << 20) -> DataFrame:
+    """Union touching half-open ranges per key, whatever their lengths.
 
-    Ranges are merged inside ``width``-sized buckets first. Only pieces that touch a bucket border can
-    still grow, so each next level sees at most two pieces per child bucket. Input ranges must not
-    cross a bucket border.
+    A range opens a new union if it begins behind the ends of all ranges before it. Inside a ``width``-sized bucket of starts
+    a window tells; what a bucket hands on is its farthest end, and the farthest end of all buckets before is a scan
+    over one row per bucket. A running sum of the openings then numbers the unions.
     """
-    done = None
-    open_rows = df.select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"))
-    for level in range(levels + 1):
-        size = width * fan**level
-        last = level == levels
-        bucket = F.lit(0).cast("long") if last else F.floor(F.col("_s") / size)
-        tagged = open_rows.withColumn("_b", bucket)
-        order = Window.partitionBy(*keys, "_b").orderBy("_s")
-        fresh = F.coalesce(F.lag("_e").over(order) < F.col("_s"), F.lit(True)).cast("int")
-        merged = (
-            tagged.withColumn("_new", fresh)
-            .withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-            .groupBy(*keys, "_b", "_run")
-            .agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"))
-        )
-        if last:
-            final = merged.select(*keys, "_s", "_e")
-        else:
-            border = (F.col("_s") == F.col("_b") * size) | (F.col("_e") == (F.col("_b") + 1) * size)
-            final = merged.where(~border).select(*keys, "_s", "_e")
-            open_rows = merged.where(border).select(*keys, "_s", "_e")
-        done = final if done is None else done.unionByName(final)
-    return done.select(*keys, F.col("_s").alias(start), F.col("_e").alias(end))
+    tagged = df.select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e")).withColumn("_b", F.floor(F.col("_s") / width))
+    last = running_max(tagged.groupBy(*keys, "_b").agg(F.max("_e").alias("_to")), keys, "_b", "_to", "_carry")
+    before = Window.partitionBy(*keys, "_b").orderBy("_s", "_e").rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.greatest(F.max("_e").over(before), F.col("_carry"))
+    opened = tagged.join(last.select(*keys, "_b", "_carry"), [*keys, "_b"]).withColumn("_new", F.coalesce(seen < F.col("_s"), F.lit(True)).cast("long"))
+    numbered = running_total(opened.drop("_carry", "_b"), keys, [F.col("_s"), F.col("_e")], F.floor(F.col("_s") / width), F.col("_new"), "_run")
+    merged = numbered.groupBy(*keys, "_run").agg(F.min("_s").alias(start), F.max("_e").alias(end))
+    return merged.drop("_run")
+
+
+def running_max(df: DataFrame, keys: list[str], order: str, value: str, out: str, width: int = WIDTH) -> DataFrame:
+    """Largest ``value`` of the rows before each row (null for the first); rows meet ``width`` at a time.
+
+    ``order`` is a non-negative integer. The maximum is associative, so a group of ``width`` numbers hands on one row.
+    """
+    group = df.withColumn("_g", F.floor(F.col(order) / width))
+    tops = group.groupBy(*keys, "_g").agg(F.max(value).alias("_top"))
+    ahead = F.max("_top").over(Window.partitionBy(*keys).orderBy("_g").rowsBetween(Window.unboundedPreceding, -1))
+    inner = F.max(value).over(Window.partitionBy(*keys, "_g").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    joined = group.withColumn("_in", inner).join(tops.withColumn("_ahead", ahead).drop("_top"), [*keys, "_g"])
+    return joined.withColumn(out, F.greatest("_in", "_ahead")).drop("_g", "_in", "_ahead")
+
+
+def even_bucket(df: DataFrame, column: str, parts: int, error: float = 0.0) -> Column:
+    """A bucket number that never falls along the numeric ``column``, with about as many rows in each of ``parts`` buckets.
+
+    The splitters come from Spark's quantile sketch, so sparse, dense and hashed values spread alike; the driver
+    gets ``parts`` numbers. A null goes to bucket 0, as it sorts first.
+    """
+    error = error or 0.1 / parts
+    cuts = sorted(set(df.approxQuantile(column, [k / parts for k in range(1, parts)], error))) if parts > 1 else []
+    if not cuts:
+        return F.lit(0).cast("long")
+    at = F.col(column).cast("double")
+    return _search(at, cuts, 0, len(cuts)).cast("long")
+
+
+def _search(at: Column, cuts: list[float], low: int, high: int) -> Column:
+    """Number of ``cuts`` at or below ``at``, by halving."""
+    if low == high:
+        return F.lit(low)
+    mid = (low + high) // 2
+    return F.when(at >= cuts[mid], _search(at, cuts, mid + 1, high)).otherwise(_search(at, cuts, low, mid))
+
+
+def global_rank(df: DataFrame, column: str, out: str, keys: list[str] | None = None, ties: tuple[str, ...] = (), parts: int | None = None) -> DataFrame:
+    """Row number in the order of a numeric ``column`` (then ``ties``), over all rows or per key, by sample sort.
+
+    Buckets between splitters are ranked on their own and shifted by the counts of the buckets before them.
+    """
+    parts = parts or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return running_rank(df, keys or [], [F.col(column), *map(F.col, ties)], even_bucket(df, column, parts), out)
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fragloom.operators import links as lk
-from fragloom.operators.scale import materialize, running_rank
+from fragloom.operators.scale import global_rank, materialize, running_rank
 
 
 def true_successors(df: DataFrame, keys: list[str], order: str, id_col: str) -> DataFrame:
@@ -21,7 +21,7 @@ def cross_source_negatives(features: DataFrame, doc_number: Column, first: int =
     order = Window.partitionBy("media_id").orderBy("start")
     heads = features.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= first).drop("_r")
     docs = features.select("media_id", doc_number.alias("_d")).groupBy("media_id").agg(F.min("_d").alias("_d"))
-    ranked = running_rank(docs, [], [F.col("_d"), F.col("media_id")], F.floor(F.col("_d") / 4096), "_doc")
+    ranked = global_rank(docs, "_d", "_doc", ties=("media_id",))
     row = F.struct(*features.columns)
     tagged = heads.select("media_id", row.alias("row")).join(ranked.select("media_id", "_doc"), "media_id")
     a = tagged.select("_doc", F.col("row").alias("a"))

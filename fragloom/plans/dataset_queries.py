@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fragloom.functions import tokens as tk
 from fragloom.functions.blob import latin
 from fragloom.operators import damage, datasets as ds, evaluate as ev
+from fragloom.operators.scale import global_rank
 from fragloom.plans import views as v
 from fragloom.plans.registry import query
 from fragloom.plans.token_queries import hits
@@ -94,7 +95,7 @@ shuffled AS (SELECT doc_id, CASE WHEN k <= greatest(1, round_even(n * 0.6, 0)) T
 
 
 def by_rank(t):
-    return ds.split_by_rank(t.documents, "doc_id", F.floor(F.col("doc_id") / 4096))
+    return ds.split_by_rank(t.documents.select("doc_id"), "doc_id")
 
 
 def shuffled_split(t):
@@ -114,9 +115,7 @@ def split_shuffled(t):
 @query("severity_assign", f"""WITH {SPLITS}, i AS (SELECT doc_id, split, row_number() OVER (PARTITION BY split ORDER BY doc_id) - 1 AS i FROM by_rank)
 SELECT doc_id, CASE split WHEN 'hard_test' THEN 4 WHEN 'test' THEN 2 + i % 2 WHEN 'validation' THEN 1 + i % 2 ELSE i % 4 + 1 END::BIGINT AS severity FROM i""")
 def severity_assign(t):
-    from fragloom.operators.scale import running_rank
-
-    ranked = running_rank(by_rank(t), ["split"], [F.col("doc_id")], F.floor(F.col("doc_id") / 4096), "_r")
+    ranked = global_rank(by_rank(t), "doc_id", "_r", ["split"])
     return ranked.select("doc_id", ds.severity_assign(F.col("split"), F.col("_r") - 1).alias("severity"))
 
 

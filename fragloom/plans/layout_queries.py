@@ -248,7 +248,9 @@ def page_elements(t):
     return ly.page_elements(e).select("element_id", "page", "type", "band", "position")
 
 
-@query("wrap_text")
+@query("wrap_text", r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda s: s <> '') AS w FROM documents),
+l AS (SELECT doc_id, list_reduce(list_transform(w, lambda x: {'s': x, 'n': length(x)}), lambda a, b: CASE WHEN a.n + 1 + b.n <= 80 THEN {'s': a.s || ' ' || b.s, 'n': a.n + 1 + b.n} ELSE {'s': a.s || chr(10) || b.s, 'n': b.n} END).s AS t FROM w WHERE len(w) > 0),
+p AS (SELECT doc_id, string_split(t, chr(10)) AS ls FROM l) SELECT doc_id, (generate_subscripts(ls, 1) - 1)::INT AS line_no, unnest(ls) AS line FROM p""")
 def wrap_text(t):
     d = t.documents.select("doc_id", tx.wrap_text(F.col("text")).alias("w"))
     return d.select("doc_id", F.posexplode("w").alias("line_no", "line"))

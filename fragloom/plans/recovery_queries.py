@@ -84,8 +84,10 @@ def object_chain(t):
     return asm.object_chain(p, f)
 
 
-@query("numbers_missing", f"""WITH {PARTS}, n AS (SELECT media_id, unnest(generate_series(lo, hi)) AS object_number FROM facts) SELECT media_id, object_number FROM n
-EXCEPT SELECT media_id, num FROM prof WHERE num IS NOT NULL""")
+GAPS = "gaps AS (SELECT media_id, before + 1 AS first_number, num - 1 AS last_number FROM (SELECT media_id, num, lag(num) OVER (PARTITION BY media_id ORDER BY num) AS before FROM (SELECT DISTINCT media_id, num FROM prof WHERE num IS NOT NULL)) WHERE num > before + 1)"
+
+
+@query("numbers_missing", f"WITH {PARTS}, {GAPS} SELECT media_id, first_number, last_number FROM gaps")
 def numbers_missing(t):
     return asm.numbers_missing(parts(t))
 
@@ -108,9 +110,9 @@ def unresolved_joins(t):
     return asm.unresolved_joins(asm.media_facts(parts(t))).select("media_id", "rule", "candidates")
 
 
-@query("missing_elements", f"""WITH {PARTS}, n AS (SELECT media_id, unnest(generate_series(lo, hi)) AS o FROM facts) SELECT media_id, 'missing structural fragment: header (%PDF-)' AS element FROM facts WHERE header_n = 0
+@query("missing_elements", f"""WITH {PARTS}, {GAPS} SELECT media_id, 'missing structural fragment: header (%PDF-)' AS element FROM facts WHERE header_n = 0
 UNION ALL SELECT media_id, 'missing structural fragment: cross-reference table (xref)' FROM facts WHERE xref_n = 0
-UNION ALL SELECT media_id, 'missing object: ' || o FROM (SELECT media_id, o FROM n EXCEPT SELECT media_id, num FROM prof WHERE num IS NOT NULL)""")
+UNION ALL SELECT media_id, CASE WHEN first_number = last_number THEN 'missing object: ' || first_number ELSE 'missing objects: ' || first_number || ' to ' || last_number END FROM gaps""")
 def missing_elements(t):
     p, f = with_facts(t)
     return asm.missing_elements(p, f)

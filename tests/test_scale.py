@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from fragloom.operators import links as lk, scale
+from fragloom.functions import text as tx
+from fragloom.operators import assemble as asm, fragments as fr, links as lk, scale
 from fragloom.operators.recovery import asof_next
 from fragloom.operators.truth import later_count
 
@@ -29,7 +30,7 @@ def test_merge_ranges(spark):
     rng = random.Random(2)
     blocks = sorted({rng.randint(0, 4000) for _ in range(3000)})
     df = spark.createDataFrame([("m", b * 4, b * 4 + 4) for b in blocks], "media_id string, start long, end long")
-    got = scale.merge_ranges(df, ["media_id"], "start", "end", width=64, fan=4, levels=2)
+    got = scale.merge_ranges(df, ["media_id"], "start", "end", width=64)
     want = []
     for b in blocks:
         if want and want[-1][1] == b * 4:
@@ -74,3 +75,62 @@ def test_asof_next(spark):
     b = spark.createDataFrame([("m", x) for x in right], "media_id string, r long")
     got = {r.l: r.hit for r in asof_next(a, b, ["media_id"], "l", "r", "hit", width=50).collect()}
     assert got == {x: min((y for y in right if y >= x), default=None) for x in left}
+
+
+def test_merge_any_ranges(spark):
+    """Ranges may overlap, nest, repeat and cross bucket borders."""
+    rng = random.Random(12)
+    rows = [(k, a, a + rng.choice([1, 3, 40, 900, 30_000])) for k in "ab" for a in rng.sample(range(400_000), 400)]
+    rows += rows[:20]
+    df = spark.createDataFrame(rows, "k string, s long, e long")
+    want = []
+    for k, a, b in sorted(rows):
+        if want and want[-1][0] == k and want[-1][2] >= a:
+            want[-1][2] = max(want[-1][2], b)
+        else:
+            want.append([k, a, b])
+    for width in (16, 1 << 10, 1 << 20):
+        assert sorted(list(r) for r in scale.merge_ranges(df, ["k"], "s", "e", width).collect()) == want
+
+
+def test_erased_regions_of_odd_blocks(spark):
+    """3 MiB of zeros in blocks of 1,000 bytes are one region, also beside others."""
+    data = b"x" * 1_000 + bytes(3 << 20) + b"y" * 424 + bytes(2_000) + b"z"
+    df = spark.createDataFrame([("m", 0, bytearray(data))], "media_id string, base_offset long, content binary")
+    got = [(r.start, r.end) for r in fr.erased_regions(fr.carve_blocks(df, 1_000)).orderBy("start").collect()]
+    size = 3 << 20
+    assert got == [(1_000, (1_000 + size) // 1_000 * 1_000), (-(-(1_424 + size) // 1_000) * 1_000, (3_424 + size) // 1_000 * 1_000)]
+
+
+@pytest.mark.parametrize("ids", ["dense", "sparse", "hashed"])
+def test_global_rank(spark, ids):
+    rng = random.Random(13)
+    values = {"dense": range(3_000), "sparse": [i * 10**14 for i in range(3_000)], "hashed": [rng.randrange(-(1 << 62), 1 << 62) for _ in range(3_000)]}[ids]
+    df = spark.createDataFrame([(v, v % 3) for v in values], "v long, k long")
+    want = {v: r for r, v in enumerate(sorted(values), 1)}
+    ranked = scale.global_rank(df, "v", "r", parts=8)
+    assert {r.v: r.r for r in ranked.collect()} == want
+    parts = {}
+    for v in sorted(values):
+        parts.setdefault(v % 3, []).append(v)
+    got = scale.global_rank(df, "v", "r", ["k"], parts=8).collect()
+    assert {r.v: r.r for r in got} == {v: r for own in parts.values() for r, v in enumerate(own, 1)}
+    counts = [r.n for r in df.groupBy(scale.even_bucket(df, "v", 8)).agg(F.count("*").alias("n")).collect()]
+    assert len(counts) == 8 and max(counts) < 600  # no bucket is near all rows
+
+
+def test_numbers_missing_as_ranges(spark):
+    rows = [("m", "object", 1), ("m", "object", 9 * 10**18), ("n", "object", 4), ("n", "object", 5), ("n", "object", 5), ("n", "object", 7), ("n", "xref", None)]
+    got = asm.numbers_missing(spark.createDataFrame(rows, "media_id string, kind string, object_number long")).collect()
+    assert {tuple(r) for r in got} == {("m", 2, 9 * 10**18 - 1), ("n", 6, 6)}
+
+
+def test_wrap_text(spark):
+    import textwrap
+
+    rng = random.Random(14)
+    texts = [" ".join("w" * rng.choice([1, 2, 5, 9, 30]) for _ in range(rng.choice([0, 1, 5, 200]))) for _ in range(60)] + ["\t a\n\nb  ", "é😀 " * 40, "x" * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    for width in (1, 6, 20, 80):
+        got = df.select("i", tx.wrap_text(F.col("t"), width).alias("w")).collect()
+        assert {r.i: r.w for r in got} == {i: textwrap.wrap(" ".join(t.split()), width, break_long_words=False, break_on_hyphens=False) for i, t in enumerate(texts)}
