@@ -6,7 +6,7 @@
    the threshold meets in none with a chance below MISS.
 3. A bucket is not expanded into pairs: its members first meet one leader, the class that meets most others over all
    buckets. What links is one component, and only members of different components meet again.
-4. A pair that meets must agree in enough minima, then its whole sets are compared.
+4. A pair that meets must agree in the lowest four bits of enough minima, then its whole sets are compared.
 5. Components come from alternating large-star and small-star rounds.
 """
 
@@ -24,6 +24,7 @@ from fragloom.llm.common import hash_filter, in_filter, staged, texts, word_hash
 
 ROWS = 5  # minima per band
 MISS = 1e-8  # chance that a pair at the threshold shares no band, and that its signatures agree too little
+NIBBLES = 16  # minima whose lowest four bits make one word of a sketch
 SEED = 20_11
 TILE = 1 << 15  # shingles hashed together, so that they stay in the processor's cache
 SEEN = 1 << 17  # classes that a task remembers to have signed
@@ -35,17 +36,15 @@ def band_count(percent: int) -> int:
     return 1 if percent == 100 else math.ceil(math.log(MISS) / math.log1p(-((percent / 100) ** ROWS)))
 
 
-def least_agreement(percent: int, minima: int) -> int:
-    """Agreeing minima that a pair of similarity ``percent`` falls short of with a chance of at most MISS."""
-    p, tail = percent / 100, 0.0
-    if p == 1:
-        return minima
+def most_different(percent: int, minima: int) -> int:
+    """Differing four-bit parts of the signatures that a pair of similarity ``percent`` exceeds with a chance of at most MISS."""
+    p, tail = (1 - percent / 100) * (1 - 1 / 16), 0.0
     ways = lambda k: math.lgamma(minima + 1) - math.lgamma(k + 1) - math.lgamma(minima - k + 1)
-    for k in range(minima + 1):
-        tail += math.exp(ways(k) + k * math.log(p) + (minima - k) * math.log1p(-p))
+    for k in range(minima, 0, -1):
+        tail += math.exp(ways(k) + k * math.log(p) + (minima - k) * math.log1p(-p)) if p else 0.0
         if tail > MISS:
             return k
-    return minima
+    return 0
 
 
 def functions(count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,57 +122,70 @@ def signed(rows: DataFrame, size: int, count: int) -> DataFrame:
     return rows.select("_id", "_text", "_tie").mapInArrow(run, f"_id {kind}, _tie long, n long, cls binary, sig binary")
 
 
-def band_rows(classes: DataFrame, bands: int, busy: DataFrame | None = None) -> DataFrame:
-    """(h, cid, n): the band hashes of each class; with ``busy``, a table of hashes h, only those (and a few more)."""
-    listed = None if busy is None else classes.sparkSession.sparkContext.broadcast(hash_filter(busy))
+def band_hashes(sig: np.ndarray) -> np.ndarray:
+    """(row, band): the hash of each band of a signature matrix."""
+    parts = sig.reshape(len(sig), -1, ROWS).astype("u8")
+    h = np.zeros(parts.shape[:2], "u8") + np.arange(1, parts.shape[1] + 1, dtype="u8")
+    for k in range(ROWS):
+        h = (h ^ parts[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(31)
+    return h
+
+
+def sketches(sig: np.ndarray) -> np.ndarray:
+    """(row, word): the lowest four bits of each minimum, sixteen to a 64-bit word."""
+    low = np.zeros((len(sig), -(-sig.shape[1] // NIBBLES) * NIBBLES), "u8")
+    low[:, : sig.shape[1]] = sig & 15
+    return np.bitwise_or.reduce(low.reshape(len(sig), -1, NIBBLES) << (np.arange(NIBBLES, dtype="u8") * np.uint64(4)), axis=2)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4").reshape(-1, bands, ROWS).astype("u8")
-            h = np.full(sig.shape[:2], 1, "u8") * np.arange(1, bands + 1, dtype="u8")
-            for k in range(ROWS):
-                h = (h ^ sig[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
-                h ^= h >> np.uint64(31)
-            h = h.ravel()
-            keep = np.arange(len(h)) if listed is None else np.flatnonzero(in_filter(h, listed.value))
-            cid, n = (batch.column(k).to_numpy() for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(h[keep].view("i8")), pa.array(cid[keep // bands]), pa.array(n[keep // bands])], ["h", "cid", "n"])
 
-    return classes.select("cid", "n", "sig").mapInArrow(run, "h long, cid long, n long")
+def signatures(column: pa.Array, count: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, count)
 
 
-def agreeing(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
-    """(x, y, same) of the pairs whose signatures agree in ``least`` minima or more."""
+def band_counts(classes: DataFrame, count: int) -> DataFrame:
+    """(h): the band hashes that two or more classes have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u4").reshape(batch.num_rows, -1) for k in (2, 3))
-            same = (a == b).sum(axis=1)
-            keep = np.flatnonzero(same >= least)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(keep)) for k in (0, 1)), pa.array(same[keep].astype("i8"))], ["x", "y", "same"])
+            yield pa.RecordBatch.from_arrays([pa.array(band_hashes(signatures(batch.column(0), count)).ravel().view("i8"))], ["h"])
 
-    a, b = (nodes.select(F.col("cid").alias(v), F.col("sig").alias(f"s{v}")) for v in "xy")
-    return pairs.select("x", "y").join(a, "x").join(b, "y").select("x", "y", "sx", "sy").mapInArrow(run, "x long, y long, same long")
+    return classes.select("sig").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (x, y) with 100 * common >= percent * union on their whole sets."""
+def members(classes: DataFrame, count: int, busy: DataFrame) -> DataFrame:
+    """(h, cid, n, s0, s1, ..): the classes of the bands ``busy``, with the words of their sketches; a bitmap of those bands goes to the tasks."""
+    listed = classes.sparkSession.sparkContext.broadcast(hash_filter(busy))
+    words = word_names(count)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for i in range(batch.num_rows):
-                s, t = (np.frombuffer(batch.column(k)[i].as_buffer(), "<u8") for k in (2, 3))
-                common = len(np.intersect1d(s, t, assume_unique=True))
-                ok.append(100 * common >= percent * (len(s) + len(t) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(ok, pa.bool_())) for k in (0, 1)], ["x", "y"])
+            sig = signatures(batch.column(2), count)
+            h = band_hashes(sig)
+            row, band = np.nonzero(in_filter(h.ravel(), listed.value).reshape(h.shape))
+            cid, n = (batch.column(k).to_numpy()[row] for k in (0, 1))
+            parts = sketches(sig).view("i8")[row]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[row, band].view("i8"), cid, n, *parts.T)], ["h", "cid", "n", *words])
+
+    found = classes.select("cid", "n", "sig").mapInArrow(run, ", ".join(f"{c} long" for c in ("h", "cid", "n", *words)))
+    return found.join(busy, "h", "left_semi")
 
+
+def word_names(count: int) -> list[str]:
+    return [f"s{i}" for i in range(-(-count // NIBBLES))]
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) with 100 * common >= percent * union on their whole sets."""
     a, b = (sets.select(F.col("cid").alias(v), F.col("s").alias(f"s{v}")) for v in "xy")
-    return pairs.select("x", "y").join(a, "x").join(b, "y").select("x", "y", "sx", "sy").mapInArrow(run, "x long, y long")
+    both = pairs.select("x", "y").join(a, "x").join(b, "y")
+    common = F.size(F.array_intersect("sx", "sy"))
+    union = F.size("sx") + F.size("sy") - common
+    return both.where(common * 100 >= union * percent).select("x", "y")
 
 
 def whole_sets(rows: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """(cid, s): the whole set of each class of ``nodes``, made from the text of its first row.
+    """(cid, s): the whole set of each class of ``nodes`` as an array, made from the text of its first row.
 
     A bitmap of the first rows' text hashes is all that goes to the tasks; other rows are not shingled.
     """
@@ -192,10 +204,10 @@ def whole_sets(rows: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
                     if name not in seen:
                         seen.add(name)
                         names.append(name)
-                        out.append(s.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(out, pa.binary())], ["cls", "s"])
+                        out.append(s.view("i8"))
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(out, pa.list_(pa.int64()))], ["cls", "s"])
 
-    found = rows.select("_text", "_tie").mapInArrow(run, "cls binary, s binary")
+    found = rows.select("_text", "_tie").mapInArrow(run, "cls binary, s array<long>")
     return found.join(nodes.select("cls", "cid"), "cls").groupBy("cid").agg(F.first("s").alias("s"))
 
 
@@ -224,46 +236,54 @@ def components(links: DataFrame) -> DataFrame:
 
 def best(pairs: DataFrame) -> DataFrame:
     """For each class its pair with most agreement, as (x, y) with x < y."""
-    sides = pairs.select("x", "y", "same").unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"), "same"))
-    top = sides.groupBy("x").agg(F.max(F.struct("same", "y")).alias("b"))
+    sides = pairs.select("x", "y", "apart").unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"), "apart"))
+    top = sides.groupBy("x").agg(F.min(F.struct("apart", "y")).alias("b"))
     return top.select(F.least("x", "b.y").alias("x"), F.greatest("x", "b.y").alias("y")).distinct()
 
 
-def met(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
-    """Distinct (x, y), x < y, of members (h, cid, n, root) of one bucket in different components whose sizes can match."""
-    a, b = (t.select("h", F.col("cid").alias(v), F.col("n").alias(f"n{v}"), F.col("root").alias(f"r{v}")) for t, v in ((left, "x"), (right, "y")))
-    fits = F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent
-    return a.join(b, "h").where((F.col("rx") != F.col("ry")) & fits).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-
+def met(left: DataFrame, right: DataFrame, percent: int, count: int) -> DataFrame:
+    """Distinct (x, y, apart), x < y, of members (h, cid, n, root, s0, ..) of one bucket in different components.
 
-def class_roots(rows: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    Sizes and signatures are compared inside the join, so pairs that can't be similar are not written: ``apart`` is the
+    number of minima whose lowest four bits differ.
+    """
+    words = word_names(count)
+    a, b = (t.select("h", *(F.col(c).alias(f"{v}_{c}") for c in ("cid", "n", "root", *words))) for t, v in ((left, "x"), (right, "y")))
+    fits = F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent
+    apart = F.lit(0)
+    for c in words:
+        z = F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 2))
+        apart = apart + F.bit_count(z.bitwiseAND(F.lit(0x1111111111111111)))
+    similar = apart <= most_different(percent, count)
+    pairs = a.join(b, (a["h"] == b["h"]) & (F.col("x_root") != F.col("y_root")) & fits & similar)
+    return pairs.select(F.least("x_cid", "y_cid").alias("x"), F.greatest("x_cid", "y_cid").alias("y"), apart.alias("apart")).distinct()
+
+
+def class_roots(rows: DataFrame, classes: DataFrame, size: int, percent: int, count: int) -> DataFrame:
     """(cid, root) of the classes that are linked with another one."""
-    bands = band_count(percent)
-    least = least_agreement(percent, bands * ROWS)
-    busy = band_rows(classes, bands).groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    busy = staged(busy, "busy")
-    t = staged(band_rows(classes, bands, busy).join(busy, "h", "left_semi"), "members")
-    nodes = staged(classes.join(t.select("cid").distinct(), "cid", "left_semi"), "nodes")
-    sets = staged(whole_sets(rows, nodes, size), "sets")
+    busy = staged(band_counts(classes, count), "busy")
+    t = staged(members(classes, count, busy), "members")
+    nodes = classes.join(t.select("cid").distinct(), "cid", "left_semi").select("cls", "cid", "tie")
+    sets = staged(whole_sets(rows, staged(nodes, "nodes"), size), "sets")
 
     # a bucket's leader: the class that meets most others
     crowd = t.groupBy("h").agg(F.count("*").alias("c"))
     fame = t.join(crowd, "h").groupBy("cid").agg(F.sum("c").alias("f"))
-    leaders = t.join(fame, "cid").groupBy("h").agg(F.max(F.struct("f", "n", "cid")).alias("l")).select("h", "l.cid", "l.n")
+    first = t.select("h", "cid", "n").join(fame, "cid").groupBy("h").agg(F.max(F.struct("f", "n", "cid")).alias("l")).select("h", "l.cid")
     alone = lambda df: df.withColumn("root", F.col("cid"))
-    stars = staged(agreeing(met(alone(t), alone(leaders), percent), nodes, least), "stars")
+    stars = staged(met(alone(t), alone(t.join(first, ["h", "cid"], "left_semi")), percent, count), "stars")
     tried = staged(best(stars), "tried")
     links = staged(confirmed(tried, sets, percent), "links")
 
     # whatever components share a bucket: their other members
     roots = staged(components(links), "roots")
-    rooted = t.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    member = staged(rooted, "rooted")
+    member = staged(t.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid")), "rooted")
     parts = member.groupBy("h", "root").agg(F.count("*").alias("c"))
     main = parts.groupBy("h").agg(F.count("*").alias("roots"), F.max(F.struct("c", "root")).alias("m")).where("roots > 1")
     other = member.join(main.select("h", F.col("m.root").alias("main")), "h").where("root <> main").drop("main")
-    rest = met(other, member, percent).join(tried, ["x", "y"], "left_anti")
-    rest = staged(agreeing(rest, nodes, least), "rest")
+    rest = staged(met(other, member, percent, count).join(tried, ["x", "y"], "left_anti"), "rest")
     chosen = staged(best(rest), "chosen")
     links = links.unionByName(staged(confirmed(chosen, sets, percent), "more"))
     roots = staged(components(links), "roots")
@@ -290,7 +310,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = slim.where("cls is not null").groupBy("cls").agg(F.first("sig", ignorenulls=True).alias("sig"), F.first("n").alias("n"), first.alias("one"), F.min("_id").alias("low"))
     # the number is only read from the written table, so it is the same for all that follows
     classes = staged(classes.select("cls", "sig", "n", F.col("one._tie").alias("tie"), "low", F.monotonically_increasing_id().alias("cid")), "classes")
-    roots = class_roots(rows, classes, size, percent)
+    roots = class_roots(rows, classes, size, percent, count)
     owned = classes.select("cls", "cid", "low").join(roots, "cid", "left").select("cls", "low", F.coalesce("root", "cid").alias("root"))
     lowest = owned.groupBy("root").agg(F.min("low").alias("component_id"))
     named = owned.join(lowest, "root").select("cls", "component_id")

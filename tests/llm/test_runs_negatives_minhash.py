@@ -187,8 +187,18 @@ def test_minhash_bounds():
     for percent in (80, 85, 95):
         bands = minhash.band_count(percent)
         assert (1 - (percent / 100) ** minhash.ROWS) ** bands <= minhash.MISS
-        k, n, p = minhash.least_agreement(percent, bands * minhash.ROWS), bands * minhash.ROWS, percent / 100
-        assert sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k)) <= minhash.MISS
+        n, p = bands * minhash.ROWS, (1 - percent / 100) * 15 / 16
+        k = minhash.most_different(percent, n)
+        assert sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1, n + 1)) <= minhash.MISS
+    assert minhash.most_different(100, 160) == 0 and minhash.band_count(100) == 1
+
+
+def test_sketches():
+    r = np.random.default_rng(7)
+    sig = r.integers(0, 1 << 32, (5, 35), "u4")
+    words = minhash.sketches(sig)
+    assert words.shape == (5, 3)
+    assert all(int(words[i, k // 16]) >> 4 * (k % 16) & 15 == int(sig[i, k]) & 15 for i in range(5) for k in range(35))
 
 
 def test_minima_by_tiles():
