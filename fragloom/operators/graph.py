@@ -74,12 +74,16 @@ def best_edges(edges: DataFrame, floor: float) -> DataFrame:
     )
 
 
-def walk(starts: DataFrame, step: DataFrame, max_nodes: int) -> DataFrame:
-    """Rows (media_id, start_id, position, id, weight) of the path from each start along ``step``.
+def walk(starts: DataFrame, step: DataFrame, max_nodes: int | None = None) -> DataFrame:
+    """Rows (media_id, start_id, position, id, weight) of the path from each start along ``step``, whole unless ``max_nodes`` is given.
 
     Pointer doubling: round i joins the first 2^i nodes of every path with a table of 2^i-step jumps, so
-    a path of 100 nodes takes seven joins. ``step`` must have one row per node and no cycles.
+    a path of 100 nodes takes seven joins. A path visits a node once, so the steps of the medium with most of them
+    bound the rounds. ``step`` must have one row per node and no cycles.
     """
+    if max_nodes is None:
+        most = step.groupBy("media_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        max_nodes = (most or 0) + 1
     jump = materialize(step.select("media_id", "id", F.col("next").alias("to"), F.col("weight").alias("w")))
     rows = starts.select("media_id", F.col("id").alias("start_id"), F.lit(0).cast("long").alias("position"), "id", F.lit(0.0).alias("weight"))
     reach = 1
@@ -99,7 +103,7 @@ def walk(starts: DataFrame, step: DataFrame, max_nodes: int) -> DataFrame:
     return rows
 
 
-def candidate_chains(nodes: DataFrame, edges: DataFrame, floor: float = 0.50, max_nodes: int = 100) -> DataFrame:
+def candidate_chains(nodes: DataFrame, edges: DataFrame, floor: float = 0.50, max_nodes: int | None = None) -> DataFrame:
     """Greedy chains from nodes without a strong predecessor, or with a header label; length over 1.
 
     Links inside a source only run forward, so the walk cannot revisit a node.
@@ -113,7 +117,7 @@ def candidate_chains(nodes: DataFrame, edges: DataFrame, floor: float = 0.50, ma
     return walk(moving, step, max_nodes)
 
 
-def best_chain(nodes: DataFrame, edges: DataFrame, max_nodes: int = 100) -> DataFrame:
+def best_chain(nodes: DataFrame, edges: DataFrame, max_nodes: int | None = None) -> DataFrame:
     """One greedy chain per medium from its header (else the node of lowest in-degree) to a footer.
 
     ``nodes`` needs id, is_header, is_footer and ``seq`` (the order of entry, for ties).
@@ -123,7 +127,7 @@ def best_chain(nodes: DataFrame, edges: DataFrame, max_nodes: int = 100) -> Data
     key = F.struct((~F.col("is_header")).alias("h"), F.when(F.col("is_header"), 0).otherwise(F.col("_in")).alias("d"), "seq", "id")
     starts = ranked.groupBy("media_id").agg(F.min(key).alias("_s")).select("media_id", F.col("_s.id").alias("id"))
     keep = nodes.where(~F.col("is_footer")).select("media_id", "id").unionByName(starts).distinct()
-    step = best_edges(edges, float("-inf")).join(keep, ["media_id", "id"], "left_semi")
+    step = materialize(best_edges(edges, float("-inf")).join(keep, ["media_id", "id"], "left_semi"))
     return walk(starts, step, max_nodes)
 
 

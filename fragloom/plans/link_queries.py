@@ -229,7 +229,7 @@ def graph_export(t):
 CHAINS = f"""{PAIRS}, step AS (SELECT media_id, from_id, to_id AS next, affinity FROM edges WHERE rank = 1 AND affinity >= 0.5),
 starts AS (SELECT media_id, fragment_id AS id FROM f WHERE (media_id, fragment_id) NOT IN (SELECT (media_id, to_id) FROM edges WHERE affinity >= 0.5)),
 chain AS (SELECT media_id, id AS start_id, 0 AS position, id FROM starts WHERE (media_id, id) IN (SELECT (media_id, from_id) FROM step)
-  UNION ALL SELECT c.media_id, c.start_id, c.position + 1, s.next FROM chain c JOIN step s ON s.media_id = c.media_id AND s.from_id = c.id WHERE c.position < 99)"""
+  UNION ALL SELECT c.media_id, c.start_id, c.position + 1, s.next FROM chain c JOIN step s ON s.media_id = c.media_id AND s.from_id = c.id)"""
 
 
 @query("candidate_chains", f"WITH RECURSIVE {CHAINS} SELECT media_id, start_id, position::BIGINT AS position, id FROM chain")
@@ -243,7 +243,7 @@ pick AS (SELECT f.media_id, fragment_id AS id, row_number() OVER (PARTITION BY f
   FROM f LEFT JOIN indeg ON indeg.media_id = f.media_id AND indeg.id = f.fragment_id),
 chain AS (SELECT media_id, id AS start_id, 0 AS position, id, 0::DOUBLE AS weight FROM pick WHERE n = 1
   UNION ALL SELECT c.media_id, c.start_id, c.position + 1, e.to_id, c.weight + e.affinity FROM chain c JOIN edges e ON e.media_id = c.media_id AND e.from_id = c.id AND e.rank = 1
-    JOIN f ON f.media_id = c.media_id AND f.fragment_id = c.id WHERE c.position < 99 AND (c.position = 0 OR NOT f.has_eof))
+    JOIN f ON f.media_id = c.media_id AND f.fragment_id = c.id WHERE c.position = 0 OR NOT f.has_eof)
 SELECT media_id, position::BIGINT AS position, id, round(weight, 3) AS weight FROM chain""")
 def best_chain(t):
     f, e = stored_edges(t)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from fragloom import streaming
 from fragloom.functions import formats as fm, text as tx, tokens as tk
 from fragloom.functions.blob import byte_entropy, latin
-from fragloom.operators import assemble as asm, chunks as ck, damage, fragments as fr, ml, recovery as rc
+from fragloom.operators import assemble as asm, chunks as ck, damage, fragments as fr, graph as gr, ml, recovery as rc
 from fragloom.plans import catalog
 from fragloom.sources import bundles as bd, datasets as dsrc
 from fragloom.sources.media import media_files, media_scan, media_write, spans_of, unchanged_media
@@ -217,9 +217,31 @@ def test_model_round_trip(spark, tmp_path):
     rows = [(float(i % 2), float(i), "even" if i % 2 == 0 else "odd") for i in range(40)]
     df = spark.createDataFrame(rows, "x double, y double, label string")
     model = ml.rf_train(df, trees=5, depth=3, features=["x", "y"])
-    model.write().save(str(tmp_path / "model"))
-    again = ml.load_or_none(str(tmp_path / "model"))
+    path = str(tmp_path / "package")
+    ml.model_save(model, path, ["x", "y"], {"trees": 5})
+    again, features, about = ml.model_load(spark, path)
+    assert features == ["x", "y"] and about["trees"] == 5 and sorted(about["labels"]) == ["even", "odd"]
     got = ml.rf_predict(again, df).select("label", "prediction.label").toDF("y", "p").where("y = p").count()
     assert got == 40
-    assert ml.load_or_none(str(tmp_path / "none")) is None
     assert ml.feature_importance(again, spark, ["x", "y"]).first().feature == "x"
+    assert ml.load_or_none(spark, path, ["x", "y"]) is not None
+    assert ml.load_or_none(spark, path, ["y", "x"]) is None  # another feature list
+    assert ml.load_or_none(spark, str(tmp_path / "none")) is None
+    changed = next(p for p in (tmp_path / "package/features").glob("part-*"))
+    (changed.parent / f".{changed.name}.crc").unlink(missing_ok=True)
+    changed.write_text(changed.read_text().replace('"x"', '"z"'))
+    with pytest.raises(ml.ModelPackageError, match="not as the manifest says"):
+        ml.model_load(spark, path)
+    (tmp_path / "half").mkdir()
+    model.write().save(str(tmp_path / "half/model"))
+    with pytest.raises(ml.ModelPackageError, match="no whole package"):
+        ml.model_load(spark, str(tmp_path / "half"))
+
+
+def test_long_chain(spark):
+    """A chain of 500 nodes is whole; a given bound still holds."""
+    nodes = spark.createDataFrame([("m", f"n{i:03d}", i == 0, False, i) for i in range(500)], "media_id string, id string, is_header boolean, is_footer boolean, seq long")
+    edges = spark.createDataFrame([("m", f"n{i:03d}", f"n{i + 1:03d}", 0.9) for i in range(499)], "media_id string, from_id string, to_id string, affinity double")
+    for chain in (gr.candidate_chains(nodes, edges), gr.best_chain(nodes, edges)):
+        assert [r.id for r in chain.orderBy("position").collect()] == [f"n{i:03d}" for i in range(500)]
+    assert gr.best_chain(nodes, edges, 100).count() == 100
