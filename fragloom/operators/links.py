@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fragloom.functions.blob import has, latin, matches, occurrences
 from fragloom.functions.tokens import OBJECT_DEF, OBJECT_REF, SPACE, any_of, rule_label
-from fragloom.operators.scale import materialize
+from fragloom.operators.recovery import asof_next
+from fragloom.operators.scale import materialize, running_rank
 
 # Fixed values: (end of a, start of b, joined token).
 SPLIT_TOKENS = [
@@ -282,23 +283,29 @@ def adjacent_pairs(features: DataFrame) -> DataFrame:
     return a.join(b, ["media_id", "_at"]).select("media_id", "from_id", "to_id")
 
 
-def forward_gap_pairs(features: DataFrame, max_gap: int = LARGE_GAP) -> DataFrame:
-    """Pairs with 0 < gap <= max_gap through buckets of max_gap bytes, with their proximity.
+def forward_gap_pairs(features: DataFrame, k: int = 5, by_penalty: bool = False) -> DataFrame:
+    """Each fragment's k nearest successors behind a gap, however far, with gap and proximity; ties by target id.
 
-    Wider gaps stay below every threshold on proximity alone and are found by the signal joins.
+    Targets are numbered along their source, a start finds the first target behind its end as of its offset, and the k
+    numbers from there are an equi-join: rows move once, whatever the distances. ``by_penalty`` gives the k nearest of
+    those targets that no penalty takes below every proximity, which is what ranks of links need.
     """
-    a = features.select(
-        "media_id", F.col("fragment_id").alias("from_id"), F.col("end").alias("_e"),
-        F.explode(F.array(F.floor(F.col("end") / max_gap), F.floor(F.col("end") / max_gap) + 1)).alias("_b"),
-    )
-    b = features.select(
-        "media_id", F.col("fragment_id").alias("to_id"), F.col("start").alias("_s"), F.floor(F.col("start") / max_gap).alias("_b")
-    )
+    every, own = F.lit("all"), F.concat(F.lit("c"), _penalty_class().cast("string")) if by_penalty else None
+    right = features.select("media_id", F.explode(F.array(every, own) if by_penalty else F.array(every)).alias("_c"), F.col("fragment_id").alias("to_id"), F.col("start").alias("_s"))
+    right = materialize(running_rank(right, ["media_id", "_c"], [F.col("_s"), F.col("to_id")], F.floor(F.col("_s") / (1 << 20)), "_r"))
+    kinds = F.array(every)
+    if by_penalty:
+        costly = F.col("is_header") | F.col("has_eof") | F.col("has_endstream")
+        accepted = F.transform(_accepted_classes(0.35, 1e-4), lambda c: F.concat(F.lit("c"), c.cast("string")))
+        kinds = F.when(costly, accepted).otherwise(kinds)
+    left = features.select("media_id", F.explode(kinds).alias("_c"), F.col("fragment_id").alias("from_id"), F.col("end").alias("_e"), (F.col("end") + 1).alias("_from"))
+    keys = ["media_id", "_c"]
+    found = asof_next(left, right.select(*keys, "_s"), keys, "_from", "_s", "_at").where("_at is not null")
+    first = right.groupBy(*keys, F.col("_s").alias("_at")).agg(F.min("_r").alias("_r0"))
+    numbers = found.join(first, [*keys, "_at"]).select(*keys, "from_id", "_e", F.explode(F.sequence(F.col("_r0"), F.col("_r0") + (k - 1))).alias("_r"))
     gap = F.col("_s") - F.col("_e")
-    return (
-        a.join(b, ["media_id", "_b"]).where((gap > 0) & (gap <= max_gap))
-        .select("media_id", "from_id", "to_id", gap.alias("gap"), (1.0 / (1.0 + F.log1p(gap.cast("double")))).alias("proximity"))
-    )
+    pairs = numbers.join(right, [*keys, "_r"]).select("media_id", "from_id", "to_id", gap.alias("gap"), (1.0 / (1.0 + F.log1p(gap.cast("double")))).alias("proximity"))
+    return pairs
 
 
 def ascending_object_pairs(features: DataFrame, max_gap: int = 256) -> DataFrame:
@@ -412,7 +419,7 @@ def transition_pairs(features: DataFrame, k: int = 3, floor: float = 0.35) -> Da
 def candidate_pairs(features: DataFrame, k: int = 3, floor: float = 0.35) -> DataFrame:
     """All pairs that can be among the k best links of their start at or above ``floor`` (>= 0.35)."""
     if floor < 0.35:
-        raise ValueError("below 0.35 proximity alone can make a link; use forward_gap_pairs as well")
+        raise ValueError("below 0.35 proximity alone can make a link; take forward_gap_pairs(by_penalty=True) as well")
     parts = [
         adjacent_pairs(features),
         ascending_object_pairs(features),

@@ -56,7 +56,7 @@ def later_count(left: DataFrame, right: DataFrame, keys: list[str], leaf: int =
 def link_metrics(features: DataFrame, truth: DataFrame, cross: DataFrame, floor: float = 0.55) -> DataFrame:
     """Confusion counts and rates over all ordered pairs without making the pairs.
 
-    Above 0.50 only adjacency and a token splice can predict a link inside a source. Spliced pairs over a
+    ``truth`` has the true (media_id, from_id, to_id) inside the sources; they are scored themselves. Above 0.50 only adjacency and a token splice can predict a link inside a source. Spliced pairs over a
     gap are counted, not listed; true negatives follow from n(n-1).
     """
     if floor <= 0.50:
@@ -64,7 +64,8 @@ def link_metrics(features: DataFrame, truth: DataFrame, cross: DataFrame, floor:
     scored = lk.score_pairs(lk.adjacent_pairs(features), features).select("media_id", "from_id", "to_id", "affinity")
     near = materialize(scored).where(F.col("affinity") >= floor)
     hit = near.select("media_id", "from_id", "to_id")
-    tp = hit.join(truth, ["media_id", "from_id", "to_id"], "left_semi").agg(F.count("*").alias("tp"))
+    right_ones = lk.score_pairs(truth.select("media_id", "from_id", "to_id"), features).select("affinity")
+    tp = materialize(right_ones).where(F.col("affinity") >= floor).agg(F.count("*").alias("tp"))
     accepted = lk._accepted_classes(0.90, floor)
     left = features.where("split_left is not null").select(
         "media_id", F.col("split_left").alias("_k"), F.explode(accepted).alias("_c"), F.col("fragment_id").alias("from_id"), F.col("end").alias("_e")
