@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fragloom.functions.blob import byte_entropy, flag, has, latin, matches, occurrences
+from fragloom.functions.blob import byte_measures, flag, has, latin, matches, occurrences
 
 W = "[A-Za-z0-9_]"
 LEFT, RIGHT = f"(?<!{W})", f"(?!{W})"
@@ -92,23 +92,22 @@ def any_of(t: Column, *tokens: str) -> Column:
 
 def byte_features(df: DataFrame, block: str = "block") -> DataFrame:
     """Adds the 33 feature columns; empty blocks give zeros."""
-    d = df.withColumn("_t", latin(F.col(block))).withColumn("_h", byte_entropy(F.col(block)))
+    d = df.withColumn("_t", latin(F.col(block))).withColumn("_m", byte_measures(F.col(block)))
     t = F.col("_t")
     n = F.length(t)
-    ratio = lambda pattern: F.coalesce(matches(t, pattern) / F.nullif(n, F.lit(0)), F.lit(0.0))
+    ratio = lambda name: F.coalesce(F.col(f"_m.{name}") / F.nullif(n, F.lit(0)), F.lit(0.0))
     count = lambda token: occurrences(t, token).cast("double")
-    printable = ratio(r"[ -~\t\n\r]")
-    runs = F.transform(F.regexp_extract_all(t, F.lit(r"([ -~\t\n\r]+)"), F.lit(1)), lambda r: F.length(r))
+    printable = ratio("printable")
     defs = matches(t, OBJECT_DEF).cast("double")
     tj = matches(t, LEFT + "(?:Tj|TJ)" + RIGHT).cast("double")
     columns = {
         "length": n.cast("double"),
         "printable_ratio": printable,
-        "whitespace_ratio": ratio(r"[ \t\n\r]"),
-        "null_byte_ratio": ratio(r"\x00"),
-        "high_byte_ratio": ratio(r"[\x80-\xff]"),
-        "digit_ratio": ratio("[0-9]"),
-        "shannon_entropy": F.col("_h"),
+        "whitespace_ratio": ratio("white"),
+        "null_byte_ratio": ratio("zero"),
+        "high_byte_ratio": ratio("high"),
+        "digit_ratio": ratio("digit"),
+        "shannon_entropy": F.col("_m.entropy"),
         "starts_with_pdf_magic": flag(F.startswith(t, F.lit("%PDF")) | has(F.substring(t, 1, 64), "%PDF-")),
         "starts_with_dict_open": flag(t.rlike(r"\A" + SPACE + "*<<")),
         "has_dict_open": flag(has(t, "<<")),
@@ -133,12 +132,12 @@ def byte_features(df: DataFrame, block: str = "block") -> DataFrame:
         "token_count_et": count("ET"),
         "token_count_tj": tj,
         "slash_name_count": matches(t, "/[A-Za-z0-9_-]+").cast("double"),
-        "consecutive_printable_max": F.coalesce(F.array_max(runs), F.lit(0)).cast("double"),
+        "consecutive_printable_max": F.coalesce("_m.run", F.lit(0)).cast("double"),
         "is_compressed_candidate": flag(
-            any_of(t, "x\x9c", "x\x01", "x\xda") | ((F.col("_h") > 7.2) & (printable < 0.2))
+            any_of(t, "x\x9c", "x\x01", "x\xda") | ((F.col("_m.entropy") > 7.2) & (printable < 0.2))
         ),
     }
-    return d.withColumns({k: columns[k] for k in FEATURES}).drop("_t", "_h")
+    return d.withColumns({k: columns[k] for k in FEATURES}).drop("_t", "_m")
 
 
 def labelled(cases: list[tuple[Column, str, float]], fallback: tuple[str, float]) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fragloom.operators import contract as ct
+from fragloom.operators.scale import materialize
 from fragloom.plans import views as v
 from fragloom.plans.registry import query
 
@@ -227,6 +228,11 @@ canon AS (SELECT o_orderkey, o_custkey, o_orderkey % 10 AS k, '{{"acquisition":'
   CASE o_orderkey % 10 WHEN 1 THEN '' WHEN 2 THEN ',"schema_version":"evidence_bundle/9.9"' ELSE ',"schema_version":"evidence_bundle/1.0"' END || CASE WHEN o_orderkey % 10 = 5 THEN ',"surprise":1' ELSE '' END || '}}' AS tail FROM orders JOIN items USING (o_orderkey))"""
 
 
+def canonical(t):
+    """The canonical form of every bundle, written once for all that hash it."""
+    return t.once("canonical", lambda: materialize(bundles(t).select("bundle", "o_custkey", ct.canonical_json("body").alias("canonical"))))
+
+
 @query("canonical_json", f"WITH {CANON} SELECT o_orderkey AS bundle, head || stamp || tail AS canonical FROM canon")
 def canonical_json(t):
     return bundles(t).select("bundle", ct.canonical_json("body").alias("canonical"))
@@ -234,7 +240,7 @@ def canonical_json(t):
 
 @query("bundle_sha256", f"WITH {CANON} SELECT o_orderkey AS bundle, sha256(head || stamp || tail) AS bundle_sha256 FROM canon")
 def bundle_sha256(t):
-    return bundles(t).select("bundle", ct.canonical_sha256(ct.canonical_json("body")).alias("bundle_sha256"))
+    return canonical(t).select("bundle", ct.canonical_sha256(F.col("canonical")).alias("bundle_sha256"))
 
 
 @query("outputs_hash", f"WITH {CANON} SELECT o_orderkey AS bundle, sha256(head || tail) AS outputs_hash FROM canon")
@@ -244,9 +250,9 @@ def outputs_hash(t):
 
 @query("report_id", f"WITH {CANON} SELECT o_orderkey AS bundle, 'RPT-' || sha256('{DOMAIN}' || chr(31) || 'CASE-' || o_custkey || chr(31) || sha256(head || stamp || tail) || chr(31) || '1.0')[1:12] AS report_id FROM canon")
 def report_id(t):
-    sha = ct.canonical_sha256(ct.canonical_json("body"))
+    sha = ct.canonical_sha256(F.col("canonical"))
     case = F.concat(F.lit("CASE-"), F.col("o_custkey").cast("string"))
-    return bundles(t).select("bundle", ct.report_id(DOMAIN, case, sha, F.lit("1.0")).alias("report_id"))
+    return canonical(t).select("bundle", ct.report_id(DOMAIN, case, sha, F.lit("1.0")).alias("report_id"))
 
 
 # ---- declared rules ----------------------------------------------------------------------------------

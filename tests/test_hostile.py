@@ -8,7 +8,7 @@ from fragloom.operators import contract as ct, evaluate as ev, fragments as fr,
 @pytest.mark.parametrize("text,want", [
     ('{"a":1e999}', None), ("[" * 200_000, None), ("[" * 200_000 + "]" * 200_000, None), ('{"a":"\\ud800"}', None), ('{"a":1,"a":2}', None), ('{"a":NaN}', None), ("", None), (None, None),
     ('{"b":0.0000014,"a":-0.0,"_c":1}', '{"a":0,"b":0.000001}'), ('{"a":[0.00004,1e3,2.50,7.9990001]}', '{"a":[0.00004,1000,2.5,7.999]}'), ('{"a":1e22,"b":{"_k":1}}', '{"a":10000000000000000000000,"b":{"_k":1}}'),
-    ('{"\\ue0ff":0.5}', '{"":0.5}'), ('"x"', '"x"'), ("0.00001", "0.00001"),
+    ('{"a":"\\ue0ff1","b":0.0000014,"\ue0ff":["\ue0ff\\ue0ff",0.00002]}', '{"a":"\ue0ff1","b":0.000001,"\ue0ff":["\ue0ff\ue0ff",0.00002]}'), ('{"\\ue0ff":0.5}', '{"":0.5}'), ('"x"', '"x"'), ("0.00001", "0.00001"),
 ])
 def test_canonical_json(spark, text, want):
     df = spark.createDataFrame([(text,)], "body string")
