@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
 import zlib
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # White space of the word rules: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -36,6 +41,45 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+REMEMBERED: dict[str, object] = {}  # what tasks of one worker share: a vocabulary, pieces it has coded
+
+
+def remembered(name: str, build: Callable):
+    """The object of that name in this worker, built on first use."""
+    if name not in REMEMBERED:
+        REMEMBERED[name] = build()
+    return REMEMBERED[name]
+
+
+def forget() -> None:
+    REMEMBERED.clear()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Spark uses a worker again, and its peaks would otherwise add up."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def released(run: Callable, keep: bool = False) -> Callable:
+    """``run``, a function of Arrow batches, that gives its memory back when its task ends.
+
+    What earlier tasks of another operator remember goes as well, unless ``keep`` says that the next tasks need it.
+    """
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        if not keep:
+            forget()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator reads, under names that no other column can clash with."""
     return docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))

@@ -5,7 +5,8 @@
 2. A band is a hash of ROWS minima. Classes that share a band meet in its bucket. There are so many bands that a pair at
    the threshold meets in none with a chance below MISS.
 3. A bucket is not expanded into pairs: its members first meet one leader, the class that meets most others over all
-   buckets. What links is one component, and only members of different components meet again.
+   buckets. What links is one component. Of what is left only members of different components meet again, and only those
+   with so few shingles of their own that they can link at all.
 4. A pair that meets must agree in the lowest four bits of enough minima, then its whole sets are compared.
 5. Components come from alternating large-star and small-star rounds.
 """
@@ -20,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from fragloom.llm.common import hash_filter, in_filter, staged, texts, word_hashes
+from fragloom.llm.common import hash_filter, in_filter, released, staged, texts, word_hashes
 
 ROWS = 5  # minima per band
 MISS = 1e-8  # chance that a pair at the threshold shares no band, and that its signatures agree too little
@@ -119,7 +120,7 @@ def signed(rows: DataFrame, size: int, count: int) -> DataFrame:
                     ["_id", "_tie", "n", "cls", "sig"],
                 )
 
-    return rows.select("_id", "_text", "_tie").mapInArrow(run, f"_id {kind}, _tie long, n long, cls binary, sig binary")
+    return rows.select("_id", "_text", "_tie").mapInArrow(released(run), f"_id {kind}, _tie long, n long, cls binary, sig binary")
 
 
 def band_hashes(sig: np.ndarray) -> np.ndarray:
@@ -150,7 +151,7 @@ def band_counts(classes: DataFrame, count: int) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(band_hashes(signatures(batch.column(0), count)).ravel().view("i8"))], ["h"])
 
-    return classes.select("sig").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    return classes.select("sig").mapInArrow(released(run), "h long").groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
 
 
 def members(classes: DataFrame, count: int, busy: DataFrame) -> DataFrame:
@@ -167,7 +168,7 @@ def members(classes: DataFrame, count: int, busy: DataFrame) -> DataFrame:
             parts = sketches(sig).view("i8")[row]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[row, band].view("i8"), cid, n, *parts.T)], ["h", "cid", "n", *words])
 
-    found = classes.select("cid", "n", "sig").mapInArrow(run, ", ".join(f"{c} long" for c in ("h", "cid", "n", *words)))
+    found = classes.select("cid", "n", "sig").mapInArrow(released(run), ", ".join(f"{c} long" for c in ("h", "cid", "n", *words)))
     return found.join(busy, "h", "left_semi")
 
 
@@ -207,7 +208,7 @@ def whole_sets(rows: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
                         out.append(s.view("i8"))
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(out, pa.list_(pa.int64()))], ["cls", "s"])
 
-    found = rows.select("_text", "_tie").mapInArrow(run, "cls binary, s array<long>")
+    found = rows.select("_text", "_tie").mapInArrow(released(run), "cls binary, s array<long>")
     return found.join(nodes.select("cls", "cid"), "cls").groupBy("cid").agg(F.first("s").alias("s"))
 
 
@@ -242,14 +243,15 @@ def best(pairs: DataFrame) -> DataFrame:
 
 
 def met(left: DataFrame, right: DataFrame, percent: int, count: int) -> DataFrame:
-    """Distinct (x, y, apart), x < y, of members (h, cid, n, root, s0, ..) of one bucket in different components.
+    """Distinct (x, y, apart), x < y, of members (h, cid, n, k, root, s0, ..) of one bucket in different components.
 
-    Sizes and signatures are compared inside the join, so pairs that can't be similar are not written: ``apart`` is the
-    number of minima whose lowest four bits differ.
+    ``k`` bounds what a class has in common with any other. Sizes and signatures are compared inside the join, so pairs
+    that can't be similar are not written: ``apart`` is the number of minima whose lowest four bits differ.
     """
     words = word_names(count)
-    a, b = (t.select("h", *(F.col(c).alias(f"{v}_{c}") for c in ("cid", "n", "root", *words))) for t, v in ((left, "x"), (right, "y")))
-    fits = F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent
+    a, b = (t.select("h", *(F.col(c).alias(f"{v}_{c}") for c in ("cid", "n", "k", "root", *words))) for t, v in ((left, "x"), (right, "y")))
+    # k common shingles are a similarity of k / (x_n + y_n - k)
+    fits = F.least("x_k", "y_k") * (100 + percent) >= (F.col("x_n") + F.col("y_n")) * percent
     apart = F.lit(0)
     for c in words:
         z = F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))
@@ -261,6 +263,27 @@ def met(left: DataFrame, right: DataFrame, percent: int, count: int) -> DataFram
     return pairs.select(F.least("x_cid", "y_cid").alias("x"), F.greatest("x_cid", "y_cid").alias("y"), apart.alias("apart")).distinct()
 
 
+def shared_counts(sets: DataFrame) -> DataFrame:
+    """(cid, k): no fewer than the shingles that a class has in common with another one of ``sets``.
+
+    The shingles of two classes or more are counted exactly and go to the tasks as a bitmap, so ``k`` may be too large
+    and never too small.
+    """
+    twice = sets.select(F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    listed = sets.sparkSession.sparkContext.broadcast(hash_filter(twice))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                chunk = batch.slice(at, 256)
+                hit = in_filter(chunk.column(1).flatten().to_numpy().view("u8"), listed.value)
+                total = np.concatenate(([0], np.cumsum(hit)))
+                ends = np.cumsum(chunk.column(1).value_lengths().to_numpy())
+                yield pa.RecordBatch.from_arrays([chunk.column(0), pa.array(np.diff(total[np.concatenate(([0], ends))]))], ["cid", "k"])
+
+    return sets.select("cid", "s").mapInArrow(released(run), "cid long, k long")
+
+
 def class_roots(rows: DataFrame, classes: DataFrame, size: int, percent: int, count: int) -> DataFrame:
     """(cid, root) of the classes that are linked with another one."""
     busy = staged(band_counts(classes, count), "busy")
@@ -272,7 +295,7 @@ def class_roots(rows: DataFrame, classes: DataFrame, size: int, percent: int, co
     crowd = t.groupBy("h").agg(F.count("*").alias("c"))
     fame = t.join(crowd, "h").groupBy("cid").agg(F.sum("c").alias("f"))
     first = t.select("h", "cid", "n").join(fame, "cid").groupBy("h").agg(F.max(F.struct("f", "n", "cid")).alias("l")).select("h", "l.cid")
-    alone = lambda df: df.withColumn("root", F.col("cid"))
+    alone = lambda df: df.withColumns({"root": F.col("cid"), "k": F.col("n")})
     stars = staged(met(alone(t), alone(t.join(first, ["h", "cid"], "left_semi")), percent, count), "stars")
     tried = staged(best(stars), "tried")
     links = staged(confirmed(tried, sets, percent), "links")
@@ -282,8 +305,12 @@ def class_roots(rows: DataFrame, classes: DataFrame, size: int, percent: int, co
     member = staged(t.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid")), "rooted")
     parts = member.groupBy("h", "root").agg(F.count("*").alias("c"))
     main = parts.groupBy("h").agg(F.count("*").alias("roots"), F.max(F.struct("c", "root")).alias("m")).where("roots > 1")
-    other = member.join(main.select("h", F.col("m.root").alias("main")), "h").where("root <> main").drop("main")
-    rest = staged(met(other, member, percent, count).join(tried, ["x", "y"], "left_anti"), "rest")
+    main = staged(main.select("h", F.col("m.root").alias("main")), "main")
+    crowded = member.join(main, "h")
+    # a class whose own shingles, which no other has, are too many links with none
+    shared = staged(shared_counts(sets.join(crowded.select("cid").distinct(), "cid", "left_semi")), "shared")
+    left = staged(crowded.join(shared, "cid").where(F.col("k") * 100 >= F.col("n") * percent), "left")
+    rest = staged(met(left.where("root <> main"), left, percent, count).join(tried, ["x", "y"], "left_anti"), "rest")
     chosen = staged(best(rest), "chosen")
     links = links.unionByName(staged(confirmed(chosen, sets, percent), "more"))
     roots = staged(components(links), "roots")
