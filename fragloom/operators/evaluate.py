@@ -40,12 +40,18 @@ def label_universe(df: DataFrame, true: str, pred: str) -> DataFrame:
 
 
 def confusion_matrix(df: DataFrame, true: str, pred: str, labels: list) -> DataFrame:
-    """Rows true, one column per predicted label of the list and one for all others, zero filled."""
-    named = F.when(F.col(pred).isin(labels), F.col(pred)).otherwise(F.lit("other")).alias("_pred")
-    wide = df.select(true, named).groupBy(true).pivot("_pred", [*labels, "other"]).agg(F.count(F.lit(1)))
+    """Rows true, one column per predicted label of the list and one for all others, zero filled.
+
+    The others' column is ``pred_other``, with underscores behind it as long as a label of the list has that name.
+    """
+    rest = "other"
+    while rest in labels:
+        rest += "_"
+    named = F.when(F.col(pred).isin(labels), F.col(pred)).otherwise(F.lit(rest)).alias("_pred")
+    wide = df.select(true, named).groupBy(true).pivot("_pred", [*labels, rest]).agg(F.count(F.lit(1)))
     universe = label_universe(df, true, pred).withColumnRenamed("label", true)
     return universe.join(wide, true, "left").select(
-        F.col(true).alias("true_label"), *[F.coalesce(F.col(f"`{l}`"), F.lit(0)).alias(f"pred_{l}") for l in [*labels, "other"]]
+        F.col(true).alias("true_label"), *[F.coalesce(F.col(f"`{l}`"), F.lit(0)).alias(f"pred_{l}") for l in [*labels, rest]]
     )
 
 

@@ -270,18 +270,31 @@ def dominant_label(t):
 
 # ---- carving from raw streams that hold several files -------------------------------------------------
 
-RAW = f"""{v.PDF}, stream AS (SELECT 'disk-' || doc_id // 4 AS media_id, string_agg('junk between files' || chr(10) || CASE WHEN doc_id % 4 = 3 THEN replace(doc, '1 0 obj', '1 0 xxx') ELSE doc END, '' ORDER BY doc_id) AS s FROM pdf GROUP BY doc_id // 4),
+_PLANTED = """CASE doc_id % 4 WHEN 0 THEN chr(137) || 'PNG' || chr(13) || chr(10) || chr(26) || chr(10) || 'IHDR' || doc_id || 'IENDcrc!' WHEN 1 THEN chr(255) || chr(216) || chr(255) || chr(224) || 'data' || doc_id || chr(255) || chr(217)
+  WHEN 2 THEN 'PK' || chr(3) || chr(4) || 'name' || doc_id || 'PK' || chr(5) || chr(6) || repeat('x', 18) ELSE '' END"""
+RAW = f"""{v.PDF}, parts AS (SELECT 'disk-' || doc_id // 4 AS media_id, doc_id, 'junk between files' || chr(10) AS junk, {_PLANTED} AS x, CASE WHEN doc_id % 4 = 3 THEN replace(doc, '1 0 obj', '1 0 xxx') ELSE doc END AS doc FROM pdf),
+stream AS (SELECT media_id, string_agg(junk || x || doc, '' ORDER BY doc_id) AS s FROM parts GROUP BY media_id),
+placed AS (SELECT *, (length(junk) + coalesce(sum(length(junk) + length(x) + length(doc)) OVER (PARTITION BY media_id ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS head FROM parts),
 heads AS (SELECT media_id, s, p FROM (SELECT media_id, s, unnest(range(0, length(s))) AS p FROM stream WHERE false) UNION ALL
   SELECT media_id, s, (sum(length(seg) + 5) OVER (PARTITION BY media_id ORDER BY i) - 5)::BIGINT FROM (SELECT media_id, s, unnest(string_split(s, '%PDF-')) AS seg, generate_subscripts(string_split(s, '%PDF-'), 1) AS i, len(string_split(s, '%PDF-')) AS n FROM stream) WHERE i < n),
-carved AS (SELECT media_id, p AS start, (p + instr(s[p + 1:], '%%EOF') + 4)::BIGINT AS "end", s[p + 1:p + instr(s[p + 1:], '%%EOF') + 5] AS bytes FROM heads)"""
+carved AS (SELECT media_id, p AS start, (p + instr(s[p + 1:], '%%EOF') + 4)::BIGINT AS "end", s[p + 1:p + instr(s[p + 1:], '%%EOF') + 5] AS bytes FROM heads),
+found AS (SELECT media_id, 'pdf' AS format, start, "end", sha256(bytes) AS sha256, bytes FROM carved
+  UNION ALL SELECT media_id, CASE doc_id % 4 WHEN 0 THEN 'png' WHEN 1 THEN 'jpeg' ELSE 'zip' END, head, head + length(x), sha256(CASE doc_id % 4 WHEN 0 THEN unhex('89504E470D0A1A0A') || encode('IHDR' || doc_id || 'IENDcrc!')
+    WHEN 1 THEN unhex('FFD8FFE0') || encode('data' || doc_id) || unhex('FFD9') ELSE encode(x) END), NULL FROM placed WHERE x <> '')"""
 
 
 def disks(t):
-    """Streams of four PDF layouts with junk between them, one of the four without readable objects."""
+    """Streams of four PDF layouts with junk, a PNG, a JPEG and a ZIP run between them, one of the four without readable objects."""
     doc = F.regexp_extract("media_id", r"(\d+)$", 1).cast("long")
     text = latin(F.col("content"))
     body = F.when(F.pmod(doc, F.lit(4)) == 3, F.replace(text, F.lit("1 0 obj"), F.lit("1 0 xxx"))).otherwise(text)
-    d = v.pdf_media(t).select(doc.alias("d"), F.encode(F.concat(F.lit("junk between files\n"), body), "ISO-8859-1").alias("b"))
+    number = doc.cast("string")
+    planted = (
+        F.when(F.pmod(doc, F.lit(4)) == 0, F.concat(F.lit("\x89PNG\r\n\x1a\nIHDR"), number, F.lit("IENDcrc!")))
+        .when(F.pmod(doc, F.lit(4)) == 1, F.concat(F.lit("\xff\xd8\xff\xe0data"), number, F.lit("\xff\xd9")))
+        .when(F.pmod(doc, F.lit(4)) == 2, F.concat(F.lit("PK\x03\x04name"), number, F.lit("PK\x05\x06" + "x" * 18))).otherwise("")
+    )
+    d = v.pdf_media(t).select(doc.alias("d"), F.encode(F.concat(F.lit("junk between files\n"), planted, body), "ISO-8859-1").alias("b"))
     return (
         d.groupBy(F.floor(F.col("d") / 4).alias("disk")).agg(F.expr("listagg(b, X'') within group (order by d)").alias("content"))
         .select(F.concat(F.lit("disk-"), F.col("disk").cast("string")).alias("media_id"), F.lit(0).cast("long").alias("base_offset"), "content")
@@ -295,21 +308,21 @@ def carved(t):
     return media, rc.footer_asof(hits)
 
 
-@query("footer_asof", f"""WITH {RAW} SELECT media_id, 'pdf' AS format, start, "end" FROM carved""")
+@query("footer_asof", f"""WITH {RAW} SELECT media_id, format, start, "end" FROM found""")
 def footer_asof(t):
     return carved(t)[1]
 
 
-@query("carve_artifacts", f"""WITH {RAW} SELECT media_id, 'carved_' || lpad(lower(to_hex(start)), 8, '0') || '.pdf' AS filename, start, ("end" + 1)::BIGINT AS "end", sha256(bytes) AS sha256,
-  CASE WHEN regexp_matches(bytes, '[0-9]+\\s+[0-9]+\\s+obj') THEN 1.0 ELSE 0.8 END::DOUBLE AS integrity_score, CASE WHEN regexp_matches(bytes, '[0-9]+\\s+[0-9]+\\s+obj') THEN 'RECOVERED' ELSE 'PARTIAL' END AS category FROM carved""")
+@query("carve_artifacts", f"""WITH {RAW} SELECT media_id, 'carved_' || lpad(lower(to_hex(start)), 8, '0') || '.' || CASE format WHEN 'jpeg' THEN 'jpg' ELSE format END AS filename, start, (CASE WHEN format = 'pdf' THEN "end" + 1 ELSE "end" END)::BIGINT AS "end", sha256,
+  CASE WHEN format <> 'pdf' THEN NULL WHEN regexp_matches(bytes, '[0-9]+\\s+[0-9]+\\s+obj') THEN 1.0 ELSE 0.8 END::DOUBLE AS integrity_score, CASE WHEN format <> 'pdf' THEN 'CANDIDATE' WHEN regexp_matches(bytes, '[0-9]+\\s+[0-9]+\\s+obj') THEN 'RECOVERED' ELSE 'PARTIAL' END AS category FROM found""")
 def carve_artifacts(t):
     media, runs = carved(t)
     return rc.carve_artifacts(runs, media).drop("format")
 
 
-@query("cap_artifacts", f"""WITH {RAW} SELECT media_id, start FROM (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY start) AS n FROM carved) WHERE n <= 2""")
+@query("cap_artifacts", f"""WITH {RAW} SELECT media_id, start FROM (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY list_position(['pdf', 'png', 'jpeg', 'zip'], format), start) AS n FROM found) WHERE n <= 5""")
 def cap_artifacts(t):
-    return rc.cap_artifacts(carved(t)[1], 2).select("media_id", "start")
+    return rc.cap_artifacts(carved(t)[1], 5).select("media_id", "start")
 
 
 ART = """art AS (SELECT o_orderkey AS artifact_id, o_custkey AS case_id, CASE o_orderstatus WHEN 'F' THEN 'RECOVERED' WHEN 'O' THEN 'PARTIAL' ELSE CASE o_orderkey % 4 WHEN 0 THEN 'CANDIDATE' WHEN 1 THEN 'VERIFIED' ELSE 'UNRECOVERABLE' END END AS category,

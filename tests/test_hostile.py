@@ -52,3 +52,9 @@ def test_labels_outside_the_list(spark):
     df = spark.createDataFrame([("a", "zzz"), ("a", "a"), ("b", "a")], "y string, p string")
     got = {r.true_label: (r.pred_a, r.pred_b, r.pred_other) for r in ev.confusion_matrix(df, "y", "p", ["a", "b"]).collect()}
     assert got["a"] == (1, 0, 1) and got["b"] == (1, 0, 0) and got["zzz"] == (0, 0, 0)
+
+
+def test_label_named_other(spark):
+    df = spark.createDataFrame([("a", "other"), ("a", "x"), ("other", "other")], "t string, p string")
+    got = {r.true_label: (r.pred_other, r.pred_a, r.pred_other_) for r in ev.confusion_matrix(df, "t", "p", ["a", "other"]).collect()}
+    assert got == {"a": (1, 0, 1), "other": (1, 0, 0), "x": (0, 0, 0)}
