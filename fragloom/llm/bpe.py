@@ -17,7 +17,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from fragloom.llm.common import texts
+from fragloom.llm.common import released, remembered, texts
 
 # The file's split pattern, and the printable stand-ins of byte-level vocabularies.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -277,14 +277,9 @@ class Decoder:
         return out
 
 
-_LOADED: dict[str, Vocabulary] = {}
-
-
 def vocabulary(path: str) -> Vocabulary:
-    """One vocabulary per worker process and file."""
-    if path not in _LOADED:
-        _LOADED[path] = Vocabulary(path)
-    return _LOADED[path]
+    """One vocabulary per worker process and file, until tasks of another operator come."""
+    return remembered(f"vocabulary {path}", lambda: Vocabulary(path))
 
 
 def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
@@ -316,4 +311,4 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
                 yield pa.RecordBatch.from_arrays([chunk.column(0), *(pa.array(list(c), k) for c, k in zip(zip(*out), kinds))], [id_col, *names])
 
     kept = "ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string"
-    return rows.mapInArrow(run, f"`{id_col}` {id_type}, n_tokens long, {kept}")
+    return rows.mapInArrow(released(run, keep=True), f"`{id_col}` {id_type}, n_tokens long, {kept}")

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fragloom.llm.common import hash_filter, in_filter, staged, texts, word_hashes
+from fragloom.llm.common import hash_filter, in_filter, released, staged, texts, word_hashes
 
 MASKS = ("1101001011", "10110111")  # 1: the word counts, 0: any word may stand there
 SHORTEST = min(map(len, MASKS))  # items with fewer words are found by all their words
@@ -78,7 +78,7 @@ def item_rows(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
                 ["item", "key", "item_tokens", "seed", "at"],
             )
 
-    return rows.select("item", "_text", "key").mapInArrow(run, f"item {kind}, key long, item_tokens binary, seed array<long>, at array<int>")
+    return rows.select("item", "_text", "key").mapInArrow(released(run), f"item {kind}, key long, item_tokens binary, seed array<long>, at array<int>")
 
 
 def hit_rows(docs: DataFrame, filled: np.ndarray, lengths: list[int]) -> DataFrame:
@@ -105,7 +105,7 @@ def hit_rows(docs: DataFrame, filled: np.ndarray, lengths: list[int]) -> DataFra
                 ["_id", "_tie", "tokens", "seed", "at"],
             )
 
-    return docs.select("_id", "_text", "_tie").mapInArrow(run, f"_id {kind}, _tie long, tokens binary, seed array<long>, at array<int>")
+    return docs.select("_id", "_text", "_tie").mapInArrow(released(run), f"_id {kind}, _tie long, tokens binary, seed array<long>, at array<int>")
 
 
 @lru_cache

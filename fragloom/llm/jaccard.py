@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from fragloom.llm.common import hash_filter, in_filter, staged, texts, word_hashes
+from fragloom.llm.common import hash_filter, in_filter, released, staged, texts, word_hashes
 from fragloom.operators.graph import connected_components
 
 BLOCK_BYTES = 8 << 20  # text bytes per block of shingles
@@ -64,7 +64,7 @@ def classes(rows: DataFrame, size: int) -> DataFrame:
                 out.append((len(s), class_of(s), class_of(s, 1)) if len(s) else (0, None, None))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([o[k] for o in out], pa.int64()) for k in range(3))], ["_id", "_tie", "n", "cls", "check"])
 
-    return rows.select("_id", "_text", "_tie").mapInArrow(run, f"_id {kind}, _tie long, n long, cls long, check long")
+    return rows.select("_id", "_text", "_tie").mapInArrow(released(run), f"_id {kind}, _tie long, n long, cls long, check long")
 
 
 def shared_shingles(rows: DataFrame, size: int, blocks: int) -> DataFrame:
@@ -145,7 +145,7 @@ def shared_shingles(rows: DataFrame, size: int, blocks: int) -> DataFrame:
             payloads.append([ids[docs[a:b][starts[:-1]]].tobytes(), np.diff(starts).astype("<i4").tobytes(), entry[a:b].tobytes()])
         return pa.table({"bucket": pa.array(names, pa.int64()), "block": pa.array([block] * len(names), pa.int32())} | {name: pa.array([p[k] for p in payloads], pa.binary()) for k, name in enumerate(("ids", "counts", "payload"))})
 
-    dealt = rows.select("_id", "_text").mapInArrow(deal, "block int, ids binary, index binary, low binary")
+    dealt = rows.select("_id", "_text").mapInArrow(released(deal), "block int, ids binary, index binary, low binary")
     return dealt.groupBy("block").applyInArrow(count, "bucket long, block int, ids binary, counts binary, payload binary")
 
 
@@ -214,7 +214,7 @@ def filtered(pairs: DataFrame, bins: DataFrame, percent: int) -> DataFrame:
 
     once = pairs.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), (F.col("nx") + F.col("ny")).alias("both")).distinct()
     a, b = (bins.select(F.col("cls").alias(v), F.col("bins").alias(f"b{v}")) for v in "xy")
-    return once.join(a, "x").join(b, "y").select("x", "y", "both", "bx", "by").mapInArrow(bound, "x long, y long, bound long")
+    return once.join(a, "x").join(b, "y").select("x", "y", "both", "bx", "by").mapInArrow(released(bound), "x long, y long, bound long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -239,7 +239,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ok.append(100 * common >= percent * (len(s) + len(t) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], ["x", "y"])
 
-    return both.mapInArrow(check, "x long, y long")
+    return both.mapInArrow(released(check), "x long, y long")
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -320,7 +320,7 @@ def class_sets(rows: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
                     out.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["cls", "s"])
 
-    found = rows.select("_id", "_text").mapInArrow(run, "cls long, s binary")
+    found = rows.select("_id", "_text").mapInArrow(released(run), "cls long, s binary")
     return found.join(nodes, "cls").groupBy("cls").agg(F.first("s").alias("s"))
 
 

@@ -8,8 +8,9 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from fragloom.llm.common import texts
+from fragloom.llm.common import released, texts
 
 GRAMS = 1024  # hashed shape trigrams
 LEVELS = 16  # grid of each measure
@@ -72,14 +73,16 @@ def features(text: str | None) -> np.ndarray:
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int) -> DataFrame:
     """At most ``per_label`` rows of each label, those with the smallest hash of their id.
 
-    Ids are chosen on slim rows first; an id with several labels takes the more frequent one, 1 on a tie.
+    Rows are chosen by id and hash of the text on slim rows first, so an id on many rows does not pass the bound; an id with
+    several labels takes the more frequent one, 1 on a tie.
     """
     votes = labels.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label_col}`").alias("_y")).where("_id is not null and _y is not null")
     votes = votes.groupBy("_id").agg((F.avg("_y") >= 0.5).cast("int").alias("_y"))
-    known = votes.join(docs.select(F.col(f"`{id_col}`").alias("_id")).distinct(), "_id")
-    pick = lambda y: known.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_label)
-    ids = pick(0).unionByName(pick(1))  # at most 2 * per_label rows of two numbers, so it may be broadcast
-    return texts(docs, id_col, text_col).join(F.broadcast(ids), "_id").select("_id", "_text", "_y")
+    rows = texts(docs, id_col, text_col).withColumn("_h", F.xxhash64("_text"))
+    known = rows.select("_id", "_h").join(votes, "_id").distinct()
+    pick = lambda y: known.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id", "_h").limit(per_label)
+    chosen = pick(0).unionByName(pick(1))  # at most 2 * per_label rows of three numbers, so it may be broadcast
+    return rows.join(F.broadcast(chosen), ["_id", "_h"]).dropDuplicates(["_id", "_h"]).select("_id", "_text", "_y")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = PER_LABEL) -> Model:
@@ -96,7 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary()), batch.column(2)], ["_id", "x", "y"])
 
     id_type = sample.schema["_id"].dataType.simpleString()
-    got = sample.mapInArrow(run, f"_id {id_type}, x binary, y int").toPandas().sort_values("_id", kind="stable")
+    got = sample.mapInArrow(released(run), f"_id {id_type}, x binary, y int").toPandas().sort_values("_id", kind="stable")
     x = np.frombuffer(b"".join(got["x"]), "f4").reshape(-1, WIDTH).astype("f8")
     y = got["y"].to_numpy().astype("f4")
     weight = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1
@@ -129,7 +132,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
     rows = texts(docs, id_col, text_col).withColumnRenamed("_id", id_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 * per_label * 48 floats and the topics: under 1 MB
-    id_type = rows.schema[id_col].dataType.simpleString()
+    schema = StructType([rows.schema[id_col], StructField("score", DoubleType())])  # an object, as the id may be a struct with any names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,4 +141,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 x = np.stack([features(t) for t in block.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([block.column(0), pa.array(vote(x, shared.value).astype("f8"))], [id_col, "score"])
 
-    return rows.mapInArrow(run, f"`{id_col}` {id_type}, score double")
+    return rows.mapInArrow(released(run), schema)

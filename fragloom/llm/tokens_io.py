@@ -17,12 +17,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from fragloom.llm.common import texts
+from fragloom.llm.common import released, remembered, texts
 
 MAGIC = b"DAC1"
 BLOCK = 512
 END_ID = 1
-MEMO = 1 << 19  # pieces remembered per worker
+MEMO = 1 << 18  # pieces remembered per worker
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -105,9 +105,6 @@ def encode_texts(model, batch: list[str | None], known: dict[str, bytes]) -> lis
     return out
 
 
-_KNOWN: dict[str, dict[str, bytes]] = {}  # per worker process and vocabulary file: tasks of one worker share the memory
-
-
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> None:
     """Encode every whole text, append ``end_id``, and write the records to ``path`` in ascending id order.
 
@@ -127,7 +124,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
         model = Tokenizer.from_file(tokenizer)
         model.no_truncation()
         model.no_padding()
-        known = _KNOWN.setdefault(tokenizer, {})
+        known = remembered(f"pieces {tokenizer}", dict)  # tasks of one worker share them
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
             for at in range(0, batch.num_rows, 64):  # a few texts at a time bound the memory of the encodings
@@ -144,7 +141,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
                     ["id", "part", "start_in_part", "n_tokens", "record"],
                 )
 
-    ordered.mapInArrow(encode, f"id {id_type}, part int, start_in_part long, n_tokens long, record binary").write.option("compression", "zstd").parquet(path)
+    ordered.mapInArrow(released(encode, keep=True), f"id {id_type}, part int, start_in_part long, n_tokens long, record binary").write.option("compression", "zstd").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

@@ -52,6 +52,18 @@ def test_edges(spark, name):
     assert EVERY[name](table(spark, [])).count() == 0
 
 
+def test_token_files_on_edges(spark):
+    """Null texts and ids, repeated rows and ids, clashing names: a record each, in order; an empty table gives none."""
+    for rows in (EDGE, []):
+        path = scratch(spark, "tokens")
+        tokens_io.write_tokens(table(spark, rows), path, tokenizer_path())
+        out = tokens_io.checksums(tokens_io.read_tokens(spark, path)).orderBy("start").collect()
+        assert len(out) == len(rows)
+        assert [r.start for r in out] == [sum(x.n_tokens for x in out[:k]) for k in range(len(out))]
+        assert sorted((r.id is not None, r.id or 0) for r in out) == [(r.id is not None, r.id or 0) for r in out]
+        assert sum(r.n_tokens == 1 for r in out) == sum(not (t or "").strip() for _, t, _, _ in rows)  # the end id alone
+
+
 def test_folds(spark):
     got = spark.range(50).withColumn("f", crc32_fold("id", 5)).collect()
     assert all(r.f == crc32_of_id(r.id) % 5 == zlib.crc32(str(r.id).encode()) % 5 for r in got)

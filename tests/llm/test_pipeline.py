@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
@@ -70,8 +71,43 @@ def test_coding(stages):
         assert r.decoded == model.decode(r.ids, skip_special_tokens=False) and r.n_tokens == len(r.ids)
 
 
+ODD = "doc_id long, text string, lang string, source string, n_chars int, n_removed long, item string, contaminated boolean, score double, n_lines long, _id long, _text string, `a.b` string, `c d` string"
+
+
+def odd_rows():
+    text = "One plain line of words that nobody else has written here before.\nAnother line follows it and says a little more than the first.\n" * 3
+    texts = [(1, text), (1, text), (None, text + "with an end of its own"), (2, None), (3, ""), (4, " \n\t"), (None, None), (5, "x " * 9_000)]
+    return [(i, t, "en", None, 7, 70 + k, f"item{k}", True, 0.5, 5, 6, "x", f"ab{k}", None) for k, (i, t) in enumerate(texts)]
+
+
+@pytest.mark.parametrize("name,stage", P.STAGES)
+def test_stage_on_odd_rows(spark, name, stage):
+    """Null and repeated ids, null and empty texts, columns named like the operators' own or with a dot: kept as they are."""
+    docs = spark.createDataFrame(odd_rows(), ODD)
+    out = stage(spark, docs, SF)
+    assert stage(spark, docs.limit(0), SF).count() == 0
+    got = out.collect()
+    if name == "bpe":
+        assert len(got) == 8 and all(r.decoded == "" for r in got if not r.n_tokens)
+        return
+    assert out.columns == docs.columns
+    kept = {(r.n_removed, r.item, r["a.b"], r.contaminated, r.score) for r in got}
+    every = {(70 + k, f"item{k}", f"ab{k}", True, 0.5) for k in range(8)}
+    assert kept <= every
+    if name in ("line_dedup", "decontamination"):
+        assert kept == every and len(got) == 8
+
+
+def test_labelled_rows_are_bounded(spark):
+    """An id on many rows does not pass the bound."""
+    docs = spark.range(3_000).select((F.col("id") % 3).alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text")).unionByName(spark.range(500).select(F.lit(7).cast("long").alias("doc_id"), F.lit("one text").alias("text")))
+    labels = spark.createDataFrame([(0, 0), (1, 1), (2, 1), (7, 0)], "doc_id long, quality int")
+    got = quality.labelled_sample(docs, labels, "doc_id", "text", "quality", 40).collect()
+    assert len(got) == 80 and len({(r._id, r._text) for r in got}) == 80
+
+
 def test_every_operator_has_a_query(spark):
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_line_dedup_oracle():
