@@ -6,7 +6,8 @@
    the threshold meets in none with a chance below MISS.
 3. A bucket is not expanded into pairs: its members first meet one leader, the class that meets most others over all
    buckets. What links is one component. Of what is left only members of different components meet again, and only those
-   with so few shingles of their own that they can link at all.
+   with so few shingles of their own that they can link at all. In buckets of CROWD members and more (variants of one text)
+   that asks for enough common shingles; variants that share rare ones as well are found by those, in rare-first prefixes.
 4. A pair that meets must agree in the lowest four bits of enough minima, then its whole sets are compared.
 5. Components come from alternating large-star and small-star rounds.
 """
@@ -19,12 +20,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from fragloom.llm.common import hash_filter, in_filter, released, staged, texts, word_hashes
 
 ROWS = 5  # minima per band
 MISS = 1e-8  # chance that a pair at the threshold shares no band, and that its signatures agree too little
+CROWD = 64  # members from which a bucket is large, and classes from which a shingle is common
 NIBBLES = 16  # minima whose lowest four bits make one word of a sketch
 SEED = 20_11
 TILE = 1 << 15  # shingles hashed together, so that they stay in the processor's cache
@@ -249,7 +251,7 @@ def met(left: DataFrame, right: DataFrame, percent: int, count: int) -> DataFram
     that can't be similar are not written: ``apart`` is the number of minima whose lowest four bits differ.
     """
     words = word_names(count)
-    a, b = (t.select("h", *(F.col(c).alias(f"{v}_{c}") for c in ("cid", "n", "k", "root", *words))) for t, v in ((left, "x"), (right, "y")))
+    a, b = (t.select(*(F.col(c).alias(f"{v}_{c}") for c in ("h", "cid", "n", "k", "root", *words))) for t, v in ((left, "x"), (right, "y")))
     # k common shingles are a similarity of k / (x_n + y_n - k)
     fits = F.least("x_k", "y_k") * (100 + percent) >= (F.col("x_n") + F.col("y_n")) * percent
     apart = F.lit(0)
@@ -259,29 +261,41 @@ def met(left: DataFrame, right: DataFrame, percent: int, count: int) -> DataFram
         z = z.bitwiseOR(F.shiftrightunsigned(z, 2))
         apart = apart + F.bit_count(z.bitwiseAND(F.lit(0x1111111111111111)))
     similar = apart <= most_different(percent, count)
-    pairs = a.join(b, (a["h"] == b["h"]) & (F.col("x_root") != F.col("y_root")) & fits & similar)
+    pairs = a.join(b, (F.col("x_h") == F.col("y_h")) & (F.col("x_root") != F.col("y_root")) & fits & similar)
     return pairs.select(F.least("x_cid", "y_cid").alias("x"), F.greatest("x_cid", "y_cid").alias("y"), apart.alias("apart")).distinct()
 
 
-def shared_counts(sets: DataFrame) -> DataFrame:
-    """(cid, k): no fewer than the shingles that a class has in common with another one of ``sets``.
+def shared_counts(sets: DataFrame, counts: DataFrame) -> DataFrame:
+    """(cid, k, common): no fewer than a class's shingles with a count of two and of CROWD or more.
 
-    The shingles of two classes or more are counted exactly and go to the tasks as a bitmap, so ``k`` may be too large
-    and never too small.
+    ``counts`` (h, c) go to the tasks as two bitmaps, so both numbers may be too large and never too small.
     """
-    twice = sets.select(F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
-    listed = sets.sparkSession.sparkContext.broadcast(hash_filter(twice))
+    spark = sets.sparkSession
+    listed = [spark.sparkContext.broadcast(hash_filter(counts.where(F.col("c") >= least))) for least in (2, CROWD)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 chunk = batch.slice(at, 256)
-                hit = in_filter(chunk.column(1).flatten().to_numpy().view("u8"), listed.value)
-                total = np.concatenate(([0], np.cumsum(hit)))
-                ends = np.cumsum(chunk.column(1).value_lengths().to_numpy())
-                yield pa.RecordBatch.from_arrays([chunk.column(0), pa.array(np.diff(total[np.concatenate(([0], ends))]))], ["cid", "k"])
+                h = chunk.column(1).flatten().to_numpy().view("u8")
+                ends = np.concatenate(([0], np.cumsum(chunk.column(1).value_lengths().to_numpy())))
+                totals = [np.concatenate(([0], np.cumsum(in_filter(h, x.value))))[ends] for x in listed]
+                yield pa.RecordBatch.from_arrays([chunk.column(0), *(pa.array(np.diff(t)) for t in totals)], ["cid", "k", "common"])
 
-    return sets.select("cid", "s").mapInArrow(released(run), "cid long, k long")
+    return sets.select("cid", "s").mapInArrow(released(run), "cid long, k long, common long")
+
+
+def rare_members(sets: DataFrame, counts: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """Rows like members, with shingles for bands: each class's shingles with a count under CROWD in its rare-first prefix.
+
+    Of n shingles, the rarest n - ceil(t n) + 1 hold the rarest one that it shares with a class of similarity t. Those that
+    no other class has come first and are only counted.
+    """
+    rare = sets.select("cid", F.explode("s").alias("h")).join(counts.where(F.col("c") < CROWD), "h")
+    order = Window.partitionBy("cid").orderBy("c", "h")  # one class: no more rows than its text has words
+    placed = rare.withColumn("place", F.row_number().over(order)).join(facts, "cid")
+    whole = F.ceil(F.col("n") * percent / 100)
+    return placed.where(F.col("n") - F.col("k") + F.col("place") <= F.col("n") - whole + 1).drop("c", "place")
 
 
 def class_roots(rows: DataFrame, classes: DataFrame, size: int, percent: int, count: int) -> DataFrame:
@@ -304,13 +318,22 @@ def class_roots(rows: DataFrame, classes: DataFrame, size: int, percent: int, co
     roots = staged(components(links), "roots")
     member = staged(t.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid")), "rooted")
     parts = member.groupBy("h", "root").agg(F.count("*").alias("c"))
-    main = parts.groupBy("h").agg(F.count("*").alias("roots"), F.max(F.struct("c", "root")).alias("m")).where("roots > 1")
-    main = staged(main.select("h", F.col("m.root").alias("main")), "main")
+    main = parts.groupBy("h").agg(F.count("*").alias("roots"), F.sum("c").alias("size"), F.max(F.struct("c", "root")).alias("m")).where("roots > 1")
+    main = staged(main.select("h", "size", F.col("m.root").alias("main")), "main")
     crowded = member.join(main, "h")
+    own = staged(sets.join(crowded.select("cid").distinct(), "cid", "left_semi"), "crowded")
+    counts = staged(own.select(F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "counts")
     # a class whose own shingles, which no other has, are too many links with none
-    shared = staged(shared_counts(sets.join(crowded.select("cid").distinct(), "cid", "left_semi")), "shared")
-    left = staged(crowded.join(shared, "cid").where(F.col("k") * 100 >= F.col("n") * percent), "left")
-    rest = staged(met(left.where("root <> main"), left, percent, count).join(tried, ["x", "y"], "left_anti"), "rest")
+    left = crowded.join(shared_counts(own, counts), "cid").where(F.col("k") * 100 >= F.col("n") * percent)
+    left = staged(left, "left")
+    # in a large bucket a pair either shares a rare shingle, by which it is found below, or has common ones alone
+    bound = F.when(F.col("size") < CROWD, F.col("k")).otherwise(F.col("common"))
+    bounded = left.withColumn("k", bound).where(F.col("k") * 100 >= F.col("n") * percent)
+    rest = met(bounded.where("root <> main"), bounded, percent, count)
+    facts = left.where(F.col("size") >= CROWD).drop("h", "size", "main", "common").dropDuplicates(["cid"])
+    rare = staged(rare_members(own.join(facts.select("cid"), "cid", "left_semi"), counts, facts, percent), "rare")
+    rest = rest.unionByName(met(rare, rare, percent, count)).distinct()
+    rest = staged(rest.join(tried, ["x", "y"], "left_anti"), "rest")
     chosen = staged(best(rest), "chosen")
     links = links.unionByName(staged(confirmed(chosen, sets, percent), "more"))
     roots = staged(components(links), "roots")
