@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fragloom.functions import text as tx
+from fragloom.functions.blob import byte_entropy
 from fragloom.operators import assemble as asm, fragments as fr, links as lk, scale
 from fragloom.operators.recovery import asof_next
 from fragloom.operators.truth import later_count
@@ -134,3 +135,17 @@ def test_wrap_text(spark):
     for width in (1, 6, 20, 80):
         got = df.select("i", tx.wrap_text(F.col("t"), width).alias("w")).collect()
         assert {r.i: r.w for r in got} == {i: textwrap.wrap(" ".join(t.split()), width, break_long_words=False, break_on_hyphens=False) for i, t in enumerate(texts)}
+
+
+def test_blocks_take_no_content_to_python(spark):
+    media = spark.createDataFrame([("m", bytearray(b"abc" * 300))], "media_id string, content binary")
+    blocks = fr.carve_blocks(media, 256)
+    got = blocks.select("media_id", "start", "end", byte_entropy(F.col("block")).alias("e"))
+    node = got._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "ArrowEvalPython":
+        node = node.children().head()
+    names = {node.output().apply(i).name() for i in range(node.output().size())}
+    assert "media_id" in names and "content" not in names
+    assert [(r.start, r.end, bytes(r.block)) for r in blocks.orderBy("start").collect()] == [
+        (s, min(s + 256, 900), (b"abc" * 300)[s : s + 256]) for s in range(0, 900, 256)
+    ]
