@@ -149,3 +149,18 @@ def test_blocks_take_no_content_to_python(spark):
     assert [(r.start, r.end, bytes(r.block)) for r in blocks.orderBy("start").collect()] == [
         (s, min(s + 256, 900), (b"abc" * 300)[s : s + 256]) for s in range(0, 900, 256)
     ]
+
+
+@pytest.mark.parametrize("few", [0, 3, 64])
+def test_later_smallest_by_class(spark, few):
+    rng = random.Random(7)
+    right = [(f"k{rng.randint(0, 5)}", rng.randint(0, 2), f"t{i:04d}", rng.randint(0, 9000)) for i in range(300)] + [("rare", 1, "x", 8000)]
+    left = [(rng.choice(["k0", "k1", "k2", "rare", "none"]), f"f{i}", rng.randint(0, 9000), rng.sample([0, 1, 2, 7], 2)) for i in range(60)]
+    a = spark.createDataFrame(left, "_k string, from_id string, _e long, _cs array<int>")
+    b = spark.createDataFrame(right, "_k string, _c int, to_id string, _s long")
+    got = lk.later_smallest(a, b, 3, ["_k"], leaf=32, classes=True, few=few).collect()
+    want = set()
+    for key, x, e, cs in left:
+        for c in cs:
+            want |= {(key, c, x, to) for to in sorted(r[2] for r in right if r[0] == key and r[1] == c and r[3] > e)[:3]}
+    assert sorted((r._k, r._c, r.from_id, r.to_id) for r in got) == sorted(want)
