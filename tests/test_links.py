@@ -88,3 +88,14 @@ def test_chains_follow_the_best_edge(spark):
     )
     got = sorted((r.start_id, r.position, r.id) for r in gr.candidate_chains(nodes, edges).collect())
     assert got == [("a", 0, "a"), ("a", 1, "c")]
+
+
+def test_gap_pairs_whole_and_nearest(spark):
+    rows = [("m", f"f{i:02d}", s, s + 10) for i, s in enumerate([0, 10, 15, 25, 300, 310, 311, 900, 900, 5000])] + [("n", "x", 0, 10)]
+    f = spark.createDataFrame(rows, "media_id string, fragment_id string, start long, end long")
+    after = lambda r: sorted((b for b in rows if b[0] == r[0] and b[2] > r[3]), key=lambda b: (b[2], b[1]))
+    every = {(a[1], b[1], b[2] - a[3]) for a in rows for b in after(a)}
+    assert {(r.from_id, r.to_id, r.gap) for r in lk.all_gap_pairs(f, width=64).collect()} == every
+    near = {(a[1], b[1], b[2] - a[3]) for a in rows for b in after(a)[:2]}
+    got = lk.forward_gap_pairs(f, 2).collect()
+    assert len(got) == len(near) and {(r.from_id, r.to_id, r.gap) for r in got} == near
