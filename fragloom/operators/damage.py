@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 LOST = "UNRECOVERABLE_WITHOUT_EXTERNAL_REDUNDANCY"
@@ -127,6 +129,33 @@ def object_pattern(action: str, number: Column | int):
     }[action]
 
 
+# A pattern whose target is the last occurrence of a literal: found from the end of the text, no regex walks the whole of it.
+_LAST = r"\\A\(\[\\s\\S\]\*\)\(([A-Za-z]+)\)"
+_ENTRY = "[0-9]{10}(?=" + _WS + "+[0-9]{5}" + _WS + "+[fn])"
+
+
+def last_position(text: Column, token: str) -> Column:
+    """Offset of the last occurrence of a literal, null without one."""
+    after = F.length(F.substring_index(text, token, -1))
+    return F.when(F.contains(text, F.lit(token)), (F.length(text) - after - len(token)).cast("long"))
+
+
+def _first_entry(text: Column) -> Column:
+    """Offset of the first table entry behind the last xref that has one behind it, null without one.
+
+    An entry has no letters of xref in a row, so it lies whole in one of the pieces between them.
+    """
+    pieces = F.transform(F.split(text, "xref", -1), lambda p, i: F.struct(
+        F.length(p).cast("long").alias("size"), F.when(i > 0, F.regexp_instr(p, F.lit(_ENTRY))).otherwise(0).cast("long").alias("at")
+    ))
+    none = F.lit(None).cast("long")
+    walked = F.aggregate(
+        pieces, F.struct(F.lit(0).cast("long").alias("base"), none.alias("found")),
+        lambda a, p: F.struct((a["base"] + p["size"] + 4).alias("base"), F.when(p["at"] > 0, a["base"] + p["at"] - 1).otherwise(a["found"]).alias("found")),
+    )
+    return walked["found"]
+
+
 def damage_pattern(media: DataFrame, name: str, rule: tuple | None = None, seed: Column | None = None) -> DataFrame:
     """Damage the first match of a pattern (patterns anchored at the start of the text take the last one).
 
@@ -136,9 +165,18 @@ def damage_pattern(media: DataFrame, name: str, rule: tuple | None = None, seed:
     d = media.withColumn("_t", F.decode("content", "ISO-8859-1"))
     # without an image no object start can match, and trying each of them would be quadratic
     possible = F.contains("_t", F.lit("/Image")) if "/Image" in pattern else F.lit(True)
-    d = d.withColumn("_at", F.when(possible, F.regexp_instr("_t", F.lit(pattern))).otherwise(0))
-    group = lambda i: F.when(F.col("_at") > 0, F.regexp_extract("_t", pattern, i)).otherwise("")
-    d = d.withColumn("_s", (F.col("_at") - 1 + F.length(group(1))).cast("long")).withColumn("_n", F.length(group(2)).cast("long"))
+    last = re.fullmatch(_LAST, pattern)
+    if last:
+        token = last.group(1)
+        at, n = last_position(F.col("_t"), token), F.lit(len(token)).cast("long")
+        d = d.withColumn("_s", at).withColumn("_n", F.when(F.col("_s").isNotNull(), n).otherwise(0))
+    elif pattern == PATTERNS["damage_object_offsets"][0]:
+        d = d.withColumn("_s", _first_entry(F.col("_t"))).withColumn("_n", F.when(F.col("_s").isNotNull(), 10).otherwise(0).cast("long"))
+    else:
+        d = d.withColumn("_at", F.when(possible, F.regexp_instr("_t", F.lit(pattern))).otherwise(0))
+        group = lambda i: F.when(F.col("_at") > 0, F.regexp_extract("_t", pattern, i)).otherwise("")
+        found = F.when(F.col("_at") > 0, (F.col("_at") - 1 + F.length(group(1))).cast("long"))
+        d = d.withColumn("_s", found).withColumn("_n", F.length(group(2)).cast("long"))
     s, n, content = F.col("_s"), F.col("_n"), F.col("content")
     zero = F.lit(0).cast("long")
     if action == "replace":
@@ -156,7 +194,7 @@ def damage_pattern(media: DataFrame, name: str, rule: tuple | None = None, seed:
         to_ = from_ + size
         new = keyed_noise(size, seed if seed is not None else F.col("media_id")) if action == "noise" else F.unhex(F.repeat(F.lit("00"), size.cast("int")))
         new = F.when(size > 0, new).otherwise(F.unhex(F.lit("")))
-    hit = F.col("_at") > 0
+    hit = F.col("_s").isNotNull()
     damaged = F.concat(cut(content, zero, from_), new, cut(content, to_, F.length(content).cast("long")))
     operation = F.when(
         hit,
@@ -193,7 +231,7 @@ def damage_recipe(media: DataFrame, recipe: str) -> DataFrame:
         out = F.concat(F.lit(PREAMBLE), F.when(at > 0, swapped).otherwise(t))
     elif recipe == "destroyed_xref_trailer":
         at = F.regexp_instr(t, F.lit(r"(?:\r?\n|\A)xref" + edge))
-        last = F.length(F.regexp_extract(t, r"\A([\s\S]*)trailer", 1))
+        last = F.coalesce(last_position(t, "trailer"), F.lit(0)).cast("int")
         out = (
             F.when(at > 0, rstrip(F.substring(t, F.lit(1), at - 1))).when(F.contains(t, F.lit("trailer")), rstrip(F.substring(t, F.lit(1), last)))
             .otherwise(F.substring(t, F.lit(1), F.floor(n * 0.9).cast("int")))

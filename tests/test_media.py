@@ -245,3 +245,16 @@ def test_long_chain(spark):
     for chain in (gr.candidate_chains(nodes, edges), gr.best_chain(nodes, edges)):
         assert [r.id for r in chain.orderBy("position").collect()] == [f"n{i:03d}" for i in range(500)]
     assert gr.best_chain(nodes, edges, 100).count() == 100
+
+
+def test_last_occurrences_without_a_walk(spark):
+    import re
+
+    entry = "0000000017 00000 n \n"
+    texts = ["", "xref", "a xref b startxref 9", f"xref\n0 1\n{entry}{entry}startxref\n5", f"xref {entry} xref {entry} trailer trailer xref", f"{entry} xref none", "xrefxref" + entry]
+    media = spark.createDataFrame([(str(i), bytearray(x.encode())) for i, x in enumerate(texts)], "media_id string, content binary")
+    for name in ("damage_xref", "damage_startxref", "damage_trailer", "damage_object_offsets"):
+        assert name == "damage_object_offsets" or re.fullmatch(damage._LAST, damage.PATTERNS[name][0])
+        got = {int(r.media_id): r.operation and (r.operation.offset_start, r.operation.offset_end) for r in damage.damage_pattern(media, name).collect()}
+        want = {i: m and m.span(2) for i, x in enumerate(texts) for m in [re.search(damage.PATTERNS[name][0], x)]}
+        assert got == want, name
