@@ -253,11 +253,14 @@ def damage_recipe(media: DataFrame, recipe: str) -> DataFrame:
         out = F.substring(t, F.lit(1), F.greatest(F.lit(64), F.floor(n * 0.65)).cast("int"))
     elif recipe == "online_scramble":
         # about 2 % of the bytes between the first and last 32: a keyed digest picks one byte in every 50
-        pieces = F.transform(
-            F.sequence(F.lit(0), F.floor((F.greatest(n, F.lit(1)) - 1) / 50)),
-            lambda i: _scrambled(F.substring(t, (i * 50 + 1).cast("int"), F.lit(50)), F.sha2(F.concat_ws(":", F.col("media_id"), i.cast("string")), 256), i * 50, n),
+        # the pieces come from one pass over the text, and its length is bound once: both cost the whole text each time
+        cut50 = F.regexp_extract_all(t, F.lit(r"[\s\S]{1,50}"), F.lit(0))
+        keyed = lambda i: F.sha2(F.concat_ws(":", F.col("media_id"), i.cast("string")), 256)
+        bound = F.transform(
+            F.array(F.struct(cut50.alias("p"), n.alias("n"))),
+            lambda s: F.array_join(F.transform(s.p, lambda p, i: _scrambled(p, keyed(i), i * 50, s.n)), ""),
         )
-        out = F.array_join(pieces, "")
+        out = F.get(bound, F.lit(0))
     elif recipe == "orphan_pages":
         out = F.regexp_replace(F.regexp_replace(t, "/Type" + _WS + "*/Catalog" + edge, "/Type /Cata_og"), "/Type" + _WS + "*/Pages" + edge, "/Type /Pag_s")
     else:
