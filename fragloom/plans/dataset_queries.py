@@ -226,7 +226,8 @@ q AS (SELECT media_id, unnest(list_distinct(regexp_extract_all(doc[1:length(doc)
 SELECT media_id, o AS object_number FROM p INTERSECT SELECT media_id, o FROM q""")
 def recovered_originals(t):
     s = object_sets(t)
-    side = lambda c: s.select("media_id", F.explode(c).alias("object_number"))
+    # outer explodes: for an emptiness filter Spark would build and search each text once more, in the tasks of the scan
+    side = lambda c: s.select("media_id", F.explode_outer(c).alias("object_number")).where("object_number is not null")
     return side("a").intersect(side("b"))
 
 
@@ -234,7 +235,7 @@ def recovered_originals(t):
 SELECT media_id, o AS object, CASE WHEN NOT regexp_matches(doc[1:length(doc) // 2], '(?:^|[ \\t\\n\\r\\f])' || o || '[ \\t\\n\\r\\f]+0[ \\t\\n\\r\\f]+obj') THEN 'MISSING' WHEN o IN (1, 4) THEN 'PARTIALLY_DAMAGED' ELSE 'INTACT' END AS state FROM p""")
 def damage_states(t):
     states = ds.damage_states(F.col("a"), F.array_except("a", "b"), F.array(F.lit(1).cast("long"), F.lit(4).cast("long")))
-    return object_sets(t).select("media_id", F.inline(states))
+    return object_sets(t).select("media_id", F.inline_outer(states)).where("object is not null")
 
 
 SAMPLES = f"""{v.PDF}, {SPLITS}, cut AS (SELECT doc_id, media_id, doc, doc[1:floor(length(doc) * (0.4 + 0.1 * (doc_id % 6)))::BIGINT] AS dmg FROM pdf),
