@@ -6,8 +6,10 @@
    the threshold meets in none with a chance below MISS.
 3. A bucket is not expanded into pairs: its members first meet one leader, the class that meets most others over all
    buckets. What links is one component. Of what is left only members of different components meet again, and only those
-   with so few shingles of their own that they can link at all. In buckets of CROWD members and more (variants of one text)
-   that asks for enough common shingles; variants that share rare ones as well are found by those, in rare-first prefixes.
+   with so few shingles of their own that they can link at all: first with a second leader, the class with most common
+   shingles and fewest others, which links with most variants of its text, then with each other. In buckets of CROWD
+   members and more (variants of one text) that asks for enough common shingles; variants that share rare ones as well are
+   found by those, in rare-first prefixes.
 4. A pair that meets must agree in the lowest four bits of enough minima, then its whole sets are compared.
 5. Components come from alternating large-star and small-star rounds.
 """
@@ -298,6 +300,13 @@ def rare_members(sets: DataFrame, counts: DataFrame, facts: DataFrame, percent:
     return placed.where(F.col("n") - F.col("k") + F.col("place") <= F.col("n") - whole + 1).drop("c", "place")
 
 
+def main_roots(member: DataFrame) -> DataFrame:
+    """(h, size, main) of the buckets with several components: number of members and the component that has most of them."""
+    parts = member.groupBy("h", "root").agg(F.count("*").alias("c"))
+    main = parts.groupBy("h").agg(F.count("*").alias("roots"), F.sum("c").alias("size"), F.max(F.struct("c", "root")).alias("m")).where("roots > 1")
+    return main.select("h", "size", F.col("m.root").alias("main"))
+
+
 def class_roots(rows: DataFrame, classes: DataFrame, size: int, percent: int, count: int) -> DataFrame:
     """(cid, root) of the classes that are linked with another one."""
     busy = staged(band_counts(classes, count), "busy")
@@ -317,15 +326,23 @@ def class_roots(rows: DataFrame, classes: DataFrame, size: int, percent: int, co
     # whatever components share a bucket: their other members
     roots = staged(components(links), "roots")
     member = staged(t.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid")), "rooted")
-    parts = member.groupBy("h", "root").agg(F.count("*").alias("c"))
-    main = parts.groupBy("h").agg(F.count("*").alias("roots"), F.sum("c").alias("size"), F.max(F.struct("c", "root")).alias("m")).where("roots > 1")
-    main = staged(main.select("h", "size", F.col("m.root").alias("main")), "main")
+    main = staged(main_roots(member), "main")
     crowded = member.join(main, "h")
     own = staged(sets.join(crowded.select("cid").distinct(), "cid", "left_semi"), "crowded")
     counts = staged(own.select(F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "counts")
     # a class whose own shingles, which no other has, are too many links with none
     left = crowded.join(shared_counts(own, counts), "cid").where(F.col("k") * 100 >= F.col("n") * percent)
     left = staged(left, "left")
+
+    # of many variants of one text the least changed one links with most: each bucket's next leader
+    plain = F.struct((F.col("common") * 2 - F.col("n")).alias("plain"), "n", "cid")  # common shingles less its own
+    second = left.groupBy("h").agg(F.max(plain).alias("l")).select("h", "l.cid")
+    near = staged(met(left, left.join(second, ["h", "cid"], "left_semi"), percent, count).join(tried, ["x", "y"], "left_anti"), "near")
+    tried = tried.unionByName(near.select("x", "y"))
+    links = links.unionByName(staged(confirmed(near, sets, percent), "found"))
+    roots = staged(components(links), "roots")
+    left = staged(left.drop("root", "main").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid")), "again")
+    left = staged(left.join(main_roots(left).drop("size"), "h"), "open")
     # in a large bucket a pair either shares a rare shingle, by which it is found below, or has common ones alone
     bound = F.when(F.col("size") < CROWD, F.col("k")).otherwise(F.col("common"))
     bounded = left.withColumn("k", bound).where(F.col("k") * 100 >= F.col("n") * percent)
@@ -334,14 +351,7 @@ def class_roots(rows: DataFrame, classes: DataFrame, size: int, percent: int, co
     rare = staged(rare_members(own.join(facts.select("cid"), "cid", "left_semi"), counts, facts, percent), "rare")
     rest = rest.unionByName(met(rare, rare, percent, count)).distinct()
     rest = staged(rest.join(tried, ["x", "y"], "left_anti"), "rest")
-    chosen = staged(best(rest), "chosen")
-    links = links.unionByName(staged(confirmed(chosen, sets, percent), "more"))
-    roots = staged(components(links), "roots")
-    a, b = (roots.select(F.col("cid").alias(v), F.col("root").alias(f"r{v}")) for v in "xy")
-    split = rest.join(chosen, ["x", "y"], "left_anti").join(a, "x", "left").join(b, "y", "left")
-    split = split.where(F.coalesce("rx", "x") != F.coalesce("ry", "y")).select("x", "y")
-    links = links.unionByName(staged(confirmed(split, sets, percent), "last"))
-    return components(links)
+    return components(links.unionByName(staged(confirmed(rest, sets, percent), "last")))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 85) -> DataFrame:

@@ -179,6 +179,29 @@ def test_minhash(spark, monkeypatch, crowd):
         assert sorted((tuple(x)[:3] for x in got), key=str) == linked(rows, 3, 60)
 
 
+def test_minhash_variants(spark, monkeypatch):
+    """Variants of one text, most of them less similar than the threshold: pairs left after the leaders stay in proportion to them."""
+    monkeypatch.setattr(minhash, "CROWD", 16)
+    staged, kept = minhash.staged, {}
+
+    def keep(df, name):
+        kept[name] = staged(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(minhash, "staged", keep)
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(400):
+        own = list(base)
+        for _ in range(r.choice([1, 2, 2, 3])):
+            own[r.randrange(len(own))] = "x%d" % r.randrange(2_000)
+        rows.append((i, " ".join(own)))
+    got = minhash.near_copies(docs(spark, [t for _, t in rows])).collect()
+    assert sorted((tuple(x)[:3] for x in got), key=str) == linked(rows, 5, 85)
+    assert kept["rest"].count() <= 4 * len(rows)
+
+
 def test_minhash_chain(spark):
     """A chain of links reaches its far end, whatever their number."""
     words = [f"w{i}" for i in range(1_000)]
