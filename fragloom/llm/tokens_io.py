@@ -9,6 +9,7 @@ ids, rows in ascending id order: Spark writes and reads them on any store.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -22,7 +23,8 @@ from fragloom.llm.common import released, remembered, texts
 MAGIC = b"DAC1"
 BLOCK = 512
 END_ID = 1
-MEMO = 1 << 18  # pieces remembered per worker
+MEMO = 1 << 17  # pieces remembered per worker
+PIECES = 1 << 10  # new pieces given to the library at once
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -92,12 +94,26 @@ def token_at(record, i: int) -> int:
     raise ValueError("record ends inside an id")
 
 
+def library(tokenizer: str):
+    """The library's tokenizer on one thread: a task has one core, and each further thread keeps memory of its own."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(tokenizer)
+    model.no_truncation()
+    model.no_padding()
+    return model
+
+
 def encode_texts(model, batch: list[str | None], known: dict[str, bytes]) -> list[np.ndarray]:
     """The library's ids of each text. Pieces between spaces and line feeds, which no word of this kind of vocabulary
     crosses, go to the library once and are remembered up to a bound."""
     split = [(t or "").replace("\n", " ").split(" ") for t in batch]
     new = [p for p in {p for parts in split for p in parts} if p not in known]
-    ids = {p: np.array(e.ids, dtype="<u4").tobytes() for p, e in zip(new, model.encode_batch_fast(new, add_special_tokens=False))}
+    ids: dict[str, bytes] = {}
+    for at in range(0, len(new), PIECES):  # what the library returns takes far more room than the ids
+        part = new[at : at + PIECES]
+        ids.update((p, np.array(e.ids, dtype="<u4").tobytes()) for p, e in zip(part, model.encode_batch_fast(part, add_special_tokens=False)))
     out = [np.frombuffer(b"".join([known[p] if p in known else ids[p] for p in parts]), dtype="<u4") for parts in split]
     room = MEMO - len(known)
     if room > 0:
@@ -119,11 +135,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(tokenizer)
-        model.no_truncation()
-        model.no_padding()
+        model = remembered(f"library {tokenizer}", lambda: library(tokenizer))
         known = remembered(f"pieces {tokenizer}", dict)  # tasks of one worker share them
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:

@@ -1,6 +1,7 @@
 """Operators against brute force on small fixtures, and their results on nulls, empty and repeated rows, clashing names."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -89,6 +90,24 @@ def test_encode_like_library(spark):
         assert "".join(machine.feed([i]) for i in ids) + machine.end() == model.decode(ids, skip_special_tokens=False)
 
 
+def test_pieces_are_coded_in_small_lots():
+    """What the library returns for a piece is large, so however many are new, few are with it at a time, on one thread."""
+    model = tokens_io.library(tokenizer_path())
+    sizes = []
+
+    class Counted:
+        def encode_batch_fast(self, part, add_special_tokens):
+            sizes.append(len(part))
+            return model.encode_batch_fast(part, add_special_tokens=add_special_tokens)
+
+    text = " ".join(f"w{i}" for i in range(5_000))
+    known = {}
+    got = tokens_io.encode_texts(Counted(), [text, None], known)
+    assert list(got[0]) == model.encode(text, add_special_tokens=False).ids and len(got[1]) == 0
+    assert max(sizes) <= 1_024 and len(known) <= tokens_io.MEMO
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
+
+
 def test_stream_emits_before_the_end():
     v = bpe.Vocabulary(tokenizer_path())
     seen, fed = [], []
