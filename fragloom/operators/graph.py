@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from fragloom.operators.scale import hash_bucket, materialize, running_rank
+from fragloom.operators.scale import discard, materialize, running_rank
 
 AMBIGUOUS = 0.50
 
@@ -41,7 +41,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
             .where("u <> v")
             .distinct()
         )
-        pairs = materialize(small)
+        pairs, spent = materialize(small), pairs
+        discard(spent)
         state = pairs.agg(F.count("*"), F.sum(F.xxhash64(key, "u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break
@@ -93,13 +94,15 @@ def walk(starts: DataFrame, step: DataFrame, max_nodes: int | None = None) -> Da
             .where(F.col("position") + reach < max_nodes)
             .select("media_id", "start_id", (F.col("position") + reach).alias("position"), F.col("to").alias("id"), (F.col("weight") + F.col("w")).alias("weight"))
         )
-        rows = materialize(rows.unionByName(ahead))
+        rows, spent = materialize(rows.unionByName(ahead)), rows
+        if reach > 1:
+            discard(spent)
         reach *= 2
         if reach < max_nodes:
             far = jump.select("media_id", F.col("id").alias("to"), F.col("to").alias("to2"), F.col("w").alias("w2"))
-            jump = materialize(
-                jump.join(far, ["media_id", "to"]).select("media_id", "id", F.col("to2").alias("to"), (F.col("w") + F.col("w2")).alias("w"))
-            )
+            far = jump.join(far, ["media_id", "to"]).select("media_id", "id", F.col("to2").alias("to"), (F.col("w") + F.col("w2")).alias("w"))
+            jump, spent = materialize(far), jump
+            discard(spent)
     return rows
 
 

@@ -53,19 +53,27 @@ def later_count(left: DataFrame, right: DataFrame, keys: list[str], leaf: int =
     return far.unionByName(near).groupBy(*keys, "from_id").agg(F.sum("_cnt").alias("later"))
 
 
+def _spliced(pairs: DataFrame, features: DataFrame) -> DataFrame:
+    """Those of the pairs whose two texts may join to a known token."""
+    having = lambda column, key: features.where(F.col(column).isNotNull()).select("media_id", F.col("fragment_id").alias(key))
+    return pairs.join(having("split_left", "from_id"), ["media_id", "from_id"], "left_semi").join(having("split_right", "to_id"), ["media_id", "to_id"], "left_semi")
+
+
 def link_metrics(features: DataFrame, truth: DataFrame, cross: DataFrame, floor: float = 0.55) -> DataFrame:
     """Confusion counts and rates over all ordered pairs without making the pairs.
 
-    ``truth`` has the true (media_id, from_id, to_id) inside the sources; they are scored themselves. Above 0.50 only adjacency and a token splice can predict a link inside a source. Spliced pairs over a
+    ``truth`` has the true (media_id, from_id, to_id) inside the sources, none of them twice. Above 0.50 only adjacency and a token splice can predict a link inside a source. Spliced pairs over a
     gap are counted, not listed; true negatives follow from n(n-1).
     """
     if floor <= 0.50:
         raise ValueError("the counting shortcut needs a threshold above 0.50")
-    scored = lk.score_pairs(lk.adjacent_pairs(features), features).select("media_id", "from_id", "to_id", "affinity")
+    scored = lk.score_adjacent(features).select("media_id", "from_id", "to_id", "affinity")
     near = materialize(scored).where(F.col("affinity") >= floor)
     hit = near.select("media_id", "from_id", "to_id")
-    right_ones = lk.score_pairs(truth.select("media_id", "from_id", "to_id"), features).select("affinity")
-    tp = materialize(right_ones).where(F.col("affinity") >= floor).agg(F.count("*").alias("tp"))
+    true = truth.select("media_id", "from_id", "to_id")
+    behind = lk.score_pairs(_spliced(true, features), features).where("not is_adjacent").where(F.col("affinity") >= floor)
+    right_ones = hit.join(true, hit.columns, "left_semi").unionByName(behind.select(*hit.columns))
+    tp = materialize(right_ones.agg(F.count("*").alias("tp")))
     accepted = lk._accepted_classes(0.90, floor)
     left = features.where("split_left is not null").select(
         "media_id", F.col("split_left").alias("_k"), F.explode(accepted).alias("_c"), F.col("fragment_id").alias("from_id"), F.col("end").alias("_e")
