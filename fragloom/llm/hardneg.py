@@ -158,7 +158,7 @@ def anchor_rows(blocks: DataFrame, every: int) -> DataFrame:
 def anchor_blocks(anchors: DataFrame, slots: int) -> DataFrame:
     """(anchors): rows (number, id, label, vector, highs) packed ANCHORS at a time, ordered by label.
 
-    ``highs`` has the scores of the anchor's positives in ``slots`` places, NOTHING where there is none.
+    Each bucket gets a copy of every block, so its components take no more bytes than the largest of them needs. ``highs`` has the scores of the anchor's positives in ``slots`` places, NOTHING where there is none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,9 +175,10 @@ def anchor_blocks(anchors: DataFrame, slots: int) -> DataFrame:
                 for dims in np.unique(sizes):
                     own = np.flatnonzero(sizes == dims)
                     own = own[np.argsort(label[own], kind="stable")]
-                    v = b"".join([raw[i] for i in own])
+                    v = np.frombuffer(b"".join([raw[i] for i in own]), "<i8")
+                    width = next(w for w in (1, 2, 4, 8) if -1 << 8 * w - 1 <= v.min(initial=0) and v.max(initial=0) < 1 << 8 * w - 1)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([len(own)], pa.int32()), pa.array([int(dims)], pa.int32()), pa.array([v], pa.binary()), *(pa.array([x[own].astype("<i8").tobytes()], pa.binary()) for x in (number, label, highs))],
+                        [pa.array([len(own)], pa.int32()), pa.array([int(dims)], pa.int32()), pa.array([v.astype(f"<i{width}").tobytes()], pa.binary()), *(pa.array([x[own].astype("<i8").tobytes()], pa.binary()) for x in (number, label, highs))],
                         ["a_size", "a_dims", "vectors", "a_numbers", "a_labels", "highs"],
                     )
 
@@ -243,8 +244,8 @@ def other_labels(kept: Kept, anchor: dict, tables: np.ndarray, c: dict, low: int
 
 def best_per_anchor(blocks: DataFrame, anchors: DataFrame, buckets: int, k: int, slots: int, low: int, high: int) -> DataFrame:
     """(number, slot, score, id): what each task kept for each anchor; ``slots`` = 0 is the first pass."""
-    dealt = blocks.withColumn("bucket", F.pmod("place", F.lit(buckets)))
-    every = anchors.withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))))
+    dealt = blocks.withColumn("bucket", F.pmod("place", F.lit(buckets))).repartition(buckets, "bucket")
+    every = anchors.withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long")))).repartition(buckets, "bucket")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = kept = anchor = tables = None
@@ -262,7 +263,8 @@ def best_per_anchor(blocks: DataFrame, anchors: DataFrame, buckets: int, k: int,
                     if held is not None:
                         yield result()
                     size, dims = record["a_size"].as_py(), record["a_dims"].as_py()
-                    v = longs(record, "vectors").reshape(size, dims)
+                    raw = record["vectors"].as_buffer()
+                    v = np.frombuffer(raw, f"<i{max(1, raw.size // max(1, size * dims))}").astype("i8").reshape(size, dims)
                     anchor = {"numbers": longs(record, "a_numbers").copy(), "labels": longs(record, "a_labels").copy(), "highs": longs(record, "highs").reshape(size, -1).copy()}
                     tables = subset_sums(v, table_kind(v, planes))
                     kept = Kept(size * max(1, slots), k)
@@ -276,7 +278,9 @@ def best_per_anchor(blocks: DataFrame, anchors: DataFrame, buckets: int, k: int,
         if held is not None:
             yield result()
 
-    pairs = every.join(dealt, "bucket").drop("bucket", "place")
+    # merged: Spark's estimate does not see the copies of the anchors, and would collect and broadcast all of them. An anchor block
+    # also meets the blocks of its bucket one after the other, so its tables are built once there
+    pairs = every.hint("merge").join(dealt, "bucket").drop("bucket", "place")
     return pairs.mapInArrow(run, "number long, slot int, score long, id long")
 
 
