@@ -4,9 +4,10 @@
    it at the same place, so windows need comparing only with those of the same anchor hash and place. Consecutive
    windows with one anchor form a segment.
 2. An anchor hash seen once has no equal window. For the others, segments are collected once per distinct content.
-3. Suffixes that start at the same place before the same anchor are sorted by merging sorted runs. A comparison finds the
-   common extension by binary search over polynomial prefix hashes, so it takes 8 hash look-ups and a byte. Neighbours with 200
-   bytes in common are equal windows once their bytes have been compared.
+3. Suffixes that start at the same place before the same anchor meet by the hash of their first 200 bytes. A class whose
+   bytes all agree is done, one whose bytes differ is sorted by merging sorted runs: a comparison finds the common extension
+   by binary search over polynomial prefix hashes, so it takes 8 hash look-ups and a byte. Neighbours with 200 bytes in
+   common are equal windows once their bytes have been compared.
 4. Windows found equal are marked in their documents, and every byte under one of them goes.
 """
 
@@ -26,8 +27,10 @@ from fragloom.llm.common import hash_filter, in_filter, staged, texts
 LENGTH = 200
 GRAM = 32
 PIECE = 1 << 23  # bytes of a document looked at together
+TOGETHER = 1 << 14  # bytes of short documents looked at together
 SORT_ROWS = 3_000  # segments sorted together
 WINDOWS = 1 << 20  # windows sorted together
+PAIRS = 1 << 12  # windows whose bytes are compared together
 MAX_GROUP = 50_000  # segments of one anchor hash that a task sorts; windows of larger groups meet in a shuffle
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -49,29 +52,50 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(29)
 
 
-def segments(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows, anchor's distance from the first window, and anchor hash of each segment."""
-    parts = []
-    for at in range(0, max(1, len(data) - length + 1), PIECE):
-        piece = data[at : at + PIECE + length - 1]
-        if len(piece) < length:
-            break
-        h = gram_hashes(piece)
-        key = (h & ~np.uint64((1 << 24) - 1)) | np.arange(len(h), dtype="u8")
-        span, width = length - GRAM + 1, 1
-        while width * 2 <= span:
-            key = np.minimum(key[: len(key) - width], key[width:])
-            width *= 2
-        key = np.minimum(key[: len(key) - (span - width)], key[span - width :])
-        anchor = (key & np.uint64((1 << 24) - 1)).astype("i8")
-        first = np.flatnonzero(np.diff(anchor, prepend=-1))
-        count = np.diff(first, append=len(anchor))
-        parts.append((first + at, count, anchor[first] - first, h[anchor[first]]))
+def segments(data: list[np.ndarray], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first window, number of windows, anchor's distance from the first window, and anchor hash of each segment.
+
+    Texts are looked at TOGETHER bytes at a time, as most are far too short to be worth a pass each. Strings that reach from
+    one text into the next are hashed as well, but no window of a text holds one.
+    """
+    parts, held, weight = [], [], 0
+    for i, text in enumerate(data):
+        for at in range(0, len(text) - length + 1, PIECE):
+            piece = text[at : at + PIECE + length - 1]
+            held.append((i, at, piece))
+            weight += len(piece)
+            if weight >= TOGETHER:
+                parts.append(segments_together(held, length))
+                held, weight = [], 0
+    if held:
+        parts.append(segments_together(held, length))
     if not parts:
-        return tuple(np.zeros(0, k) for k in ("i8", "i8", "i8", "u8"))
+        return tuple(np.zeros(0, k) for k in ("i8", "i8", "i8", "i8", "u8"))
     return tuple(np.concatenate(p) for p in zip(*parts))
 
 
+def segments_together(pieces: list[tuple[int, int, np.ndarray]], length: int) -> tuple[np.ndarray, ...]:
+    """``segments`` of pieces (text, offset in it, bytes) of at least ``length`` bytes each."""
+    text, offset = (np.array([p[k] for p in pieces]) for k in (0, 1))
+    size = np.array([len(p[2]) for p in pieces])
+    base = np.cumsum(size) - size
+    h = gram_hashes(np.concatenate([p[2] for p in pieces]))
+    key = (h & ~np.uint64((1 << 24) - 1)) | np.arange(len(h), dtype="u8")
+    span, width = length - GRAM + 1, 1
+    while width * 2 <= span:
+        key = np.minimum(key[: len(key) - width], key[width:])
+        width *= 2
+    key = np.minimum(key[: len(key) - (span - width)], key[span - width :])
+    windows = size - length + 1
+    owner = np.repeat(np.arange(len(pieces)), windows)
+    place = np.arange(len(owner)) + np.repeat(base - (np.cumsum(windows) - windows), windows)
+    anchor = (key[place] & np.uint64((1 << 24) - 1)).astype("i8")  # inside the window, so never the same for two pieces
+    first = np.flatnonzero(np.diff(anchor, prepend=-1))
+    count = np.diff(first, append=len(anchor))
+    own, anchor, place = owner[first], anchor[first], place[first]
+    return text[own], place - base[own] + offset[own], count, anchor - place, h[anchor]
+
+
 def as_bytes(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), "u1")
 
@@ -81,8 +105,7 @@ def anchor_counts(rows: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [segments(as_bytes(t), length)[3] for t in batch.column(1).to_pylist()]
-            h, k = np.unique(np.concatenate([np.zeros(0, "u8"), *found]), return_counts=True)
+            h, k = np.unique(segments([as_bytes(t) for t in batch.column(1).to_pylist()], length)[4], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view("i8")), pa.array(k.astype("i8"))], ["h", "k"])
 
     return rows.select("_id", "_text").mapInArrow(run, "h long, k long").groupBy("h").agg(F.sum("k").alias("k"))
@@ -100,18 +123,14 @@ def segment_rows(rows: DataFrame, repeated: DataFrame, length: int) -> DataFrame
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 chunk = batch.slice(at, 64)
-                keys, places, rows_of = [], [], []
-                for i, text in enumerate(chunk.column(1).to_pylist()):
-                    data = as_bytes(text)
-                    first, count, before, h = segments(data, length)
-                    hit = np.flatnonzero(in_filter(h, shared.value))
-                    raw, own = data.tobytes(), {}
-                    for j in hit.tolist():
-                        a = int(first[j])
-                        own.setdefault((int(h[j].view("i8")), raw[a : a + int(count[j]) + length - 1], int(before[j])), []).append(a)
-                    keys.extend(own)
-                    places.extend(own.values())
-                    rows_of.extend([i] * len(own))
+                raw = [(t or "").encode("utf-8", "surrogatepass") for t in chunk.column(1).to_pylist()]
+                found = segments([np.frombuffer(r, "u1") for r in raw], length)
+                hit = np.flatnonzero(in_filter(found[4], shared.value))
+                own = {}
+                for i, a, n, before, h in zip(*(x[hit].tolist() for x in found[:4]), found[4][hit].view("i8").tolist()):
+                    own.setdefault((h, raw[i][a : a + n + length - 1], before, i), []).append(a)
+                keys, places = list(own), list(own.values())
+                rows_of = [k[3] for k in keys]
                 digest = np.frombuffer(b"".join([xxhash.xxh3_128_digest(k[1]) for k in keys]), "<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -149,6 +168,16 @@ class Suffixes:
         out[open_] = lo
         return out
 
+    def windows(self, x: np.ndarray) -> np.ndarray:
+        """Hashes of the ``length`` bytes at each place, whatever the place."""
+        return (self.prefix[x + self.length] - self.prefix[x]) * self.power[len(self.data) - x]
+
+    def equal_bytes(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether the ``length`` bytes at two places are equal."""
+        rows = np.lib.stride_tricks.sliding_window_view(self.data, self.length)
+        parts = [(rows[x[k : k + PAIRS]] == rows[y[k : k + PAIRS]]).all(axis=1) for k in range(0, len(x), PAIRS)]
+        return np.concatenate([np.zeros(0, bool), *parts])
+
     def less(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether x's suffix comes before y's, and whether they are equal."""
         n = self.common(x, y)
@@ -209,9 +238,28 @@ def equal_windows(h: np.ndarray, before: np.ndarray, segs: list[bytes], length:
     owner, inside, group = owner[many], inside[many], group[many]
     if not len(owner):
         return marks
-    cuts = np.flatnonzero(np.diff(group, prepend=-1))
     flat = np.zeros(counts.sum(), bool)
     offset = np.cumsum(counts) - counts
+    split = lambda: [flat[o : o + c] for o, c in zip(offset, counts)]
+    # windows without an equal hash in their group have no equal; where all bytes of a class agree it needs no sort
+    start = base[owner] + inside
+    key = (suffixes.windows(start) ^ group.astype("u8") * np.uint64(0xD6E8FEB86659FD93)) * BASE
+    order = np.argsort(key)
+    new = np.flatnonzero(np.concatenate(([True], key[order[1:]] != key[order[:-1]])))
+    size = np.diff(new, append=len(order))
+    of = np.repeat(np.arange(len(new)), size)
+    at = np.flatnonzero(of[1:] == of[:-1])
+    x, y = order[at], order[at + 1]
+    differ = (group[x] != group[y]) | ~suffixes.equal_bytes(start[x], start[y])
+    sort = np.zeros(len(new), bool)
+    sort[of[at[differ]]] = True
+    sure = order[(size > 1)[of] & ~sort[of]]
+    flat[offset[owner[sure]] + inside[sure]] = True
+    rest = np.sort(order[sort[of]])
+    owner, inside, group = owner[rest], inside[rest], group[rest]
+    if not len(owner):
+        return split()
+    cuts = np.flatnonzero(np.diff(group, prepend=-1))
     stops = [0, *(np.searchsorted(cuts, k) for k in range(WINDOWS, len(group), WINDOWS)), len(cuts)]
     for a, b in zip(stops[:-1], stops[1:]):  # whole groups, about WINDOWS elements together
         if a == b:
@@ -224,12 +272,10 @@ def equal_windows(h: np.ndarray, before: np.ndarray, segs: list[bytes], length:
         done = suffixes.merge_sort(start, begin, size)
         x, y = start[done[:-1]], start[done[1:]]
         near = np.flatnonzero((begin[:-1] == begin[1:]) & suffixes.same(x, y, length))
-        # the bytes decide: equal hashes alone mark nothing
-        real = [bool((data[p : p + length] == data[q : q + length]).all()) for p, q in zip(x[near].tolist(), y[near].tolist())]
-        near = near[np.array(real, bool)] if len(near) else near
+        near = near[suffixes.equal_bytes(x[near], y[near])]  # the bytes decide: equal hashes alone mark nothing
         hit = np.concatenate((done[near], done[near + 1])) + lo
         flat[offset[owner[hit]] + inside[hit]] = True
-    return [flat[o : o + c] for o, c in zip(offset, counts)]
+    return split()
 
 
 def only_listed(found: DataFrame, hashes: DataFrame) -> DataFrame:
@@ -291,16 +337,17 @@ def equal_marks(found: DataFrame, length: int, max_group: int) -> tuple[DataFram
     return alone, marks.unionByName(listed.select("h", "d1", "d2", "w").mapInArrow(pack, schema))
 
 
-def covered(n: int, found: list[dict], length: int) -> np.ndarray:
+def covered(n: int, starts: list[bytes], windows: list[int], masks: list[bytes | None], length: int) -> np.ndarray:
     """Which of n bytes lie under an equal window."""
-    edge = np.zeros(n + 1, "i8")
-    for x in found:
-        starts = np.frombuffer(x["starts"], "<i8")
-        count = x["windows"]
-        w = np.arange(count) if x["mask"] is None else np.flatnonzero(np.unpackbits(np.frombuffer(x["mask"], "u1"), bitorder="little"))
-        at = (starts[:, None] + w[None, :]).ravel()
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + length, -1)
+    whole = [i for i, m in enumerate(masks) if m is None]
+    first = [np.frombuffer(b"".join([starts[i] for i in whole]), "<i8")]
+    behind = [first[0] + np.repeat(np.array([windows[i] for i in whole], "i8") - 1 + length, [len(starts[i]) // 8 for i in whole])]
+    for s, m in zip(starts, masks):
+        if m is not None:
+            at = (np.frombuffer(s, "<i8")[:, None] + np.flatnonzero(np.unpackbits(np.frombuffer(m, "u1"), bitorder="little"))).ravel()
+            first.append(at)
+            behind.append(at + length)
+    edge = np.bincount(np.concatenate(first), minlength=n + 1) - np.bincount(np.concatenate(behind), minlength=n + 1)
     return np.cumsum(edge[:n]) > 0
 
 
@@ -327,9 +374,14 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for at in range(0, batch.num_rows, 64):
                 chunk = batch.slice(at, 64)
                 sizes, spans, kept = [], [], []
-                for text, found in zip(chunk.column(1).to_pylist(), chunk.column(2).to_pylist()):
+                lists = chunk.column(2)
+                ends = lists.offsets.to_pylist()
+                entries = lists.values.slice(ends[0], ends[-1] - ends[0])
+                marks = [entries.field(c).to_pylist() for c in ("starts", "windows", "mask")]
+                for text, a, b, listed in zip(chunk.column(1).to_pylist(), ends, ends[1:], lists.is_valid().to_pylist()):
                     data = as_bytes(text)
-                    gone = covered(len(data), found or [], length)
+                    own = slice(a - ends[0], b - ends[0]) if listed else slice(0)
+                    gone = covered(len(data), *(m[own] for m in marks), length)
                     edges = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype("i1")))
                     sizes.append(len(data))
                     spans.append([{"start": a, "end": b} for a, b in zip(edges[::2].tolist(), edges[1::2].tolist())])
